@@ -259,7 +259,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     found = durable(texts.filter(F.octet_length("text") >= SPAN).select("rid", "text").mapInArrow(shard, "rid long, pos int, l int, r int, h long, ck long"), "repeat-anchors")
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("ck").alias("lo"), F.max("ck").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = durable(found.join(often, "h"), "repeat-again")
+    # written first, so that a very common anchor is an even side of the join and its rows can be split
+    again = durable(found.join(durable(often, "repeat-often"), "h"), "repeat-again")
     discard(found)
     kinds = durable(again.filter("mixed").groupBy("h", "ck").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "l", "r")).alias("x")), "repeat-kinds")
     ctx = _contexts(texts.select("rid", "text"), kinds.select("h", "ck", "x.*"))
