@@ -59,7 +59,7 @@ def _luhn(x: Column) -> Column:
 
 
 def _octets(x: Column) -> Column:
-    return F.forall(F.split(x, r"\."), lambda p: (F.char_length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.expr("try_cast(0 as int)"), F.lit(0)) + F.lpad(F.substring(F.ltrim(p, F.lit("0")), 1, 3), 3, "0").cast("int") <= 255))
+    return F.forall(F.split(x, r"\."), lambda p: (F.char_length(F.ltrim(p, F.lit("0"))) <= 3) & (F.lpad(F.substring(F.ltrim(p, F.lit("0")), 1, 3), 3, "0").cast("int") <= 255))
 
 
 def _phone_ok(x: Column) -> Column:
