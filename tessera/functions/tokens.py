@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Token patterns by name; each operator says which it takes.
 PATTERNS = {"hyphen": r"[a-z0-9]+(?:[-'][a-z0-9]+)*", "plain": r"[a-z0-9]+", "word": r"[a-z][a-z0-9_-]{2,}"}
@@ -48,3 +52,15 @@ def number_conflict(a: Column, b: Column) -> Column:
 
 def contains_text(needle: Column, haystack: Column, least: int = 30) -> Column:
     return (F.length(needle) >= least) & F.contains(haystack, needle)
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching share of two texts by longest common blocks, 0 where either is empty; no built-in has this measure."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def word_cues(x: Column, cues: list[str], short: int = 3) -> Column:
+    """How many cues occur in x: short ones as whole words, others as substrings."""
+    low = F.lower(x)
+    return sum(((F.rlike(low, F.lit(rf"\b{c}\b")) if len(c) <= short else F.contains(low, F.lit(c))).cast("int") for c in cues), F.lit(0))

@@ -67,3 +67,62 @@ def url_hosts(pages: DataFrame) -> DataFrame:
     """(host, n_pages): pages by the host of their address."""
     host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
     return pages.groupBy(host.alias("host")).agg(F.count("*").alias("n_pages"))
+
+
+def overlap_by_label(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
+    """(label, mean_overlap, mean_tokens, upper_median): token overlap of two texts, and token counts of the first."""
+    ta, tb = K.tokenize(F.col(a), "plain"), K.tokenize(F.col(b), "plain")
+    rows = df.select(label, K.jaccard(F.array_distinct(ta), F.array_distinct(tb)).alias("o"), F.size(ta).alias("n"))
+    counts = rows.groupBy(label, "n").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(label)
+    # the upper median from counts of distinct lengths, so no list of a label's rows is built
+    mid = counts.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("t", F.sum("c").over(w)).filter(F.col("upto") > F.floor(F.col("t") / 2)).groupBy(label).agg(F.min("n").alias("upper_median"))
+    return rows.groupBy(label).agg(F.round(F.avg("o"), 6).alias("mean_overlap"), F.round(F.avg("n"), 6).alias("mean_tokens")).join(mid, label)
+
+
+def label_cues(df: DataFrame, key: str, text: str, label: str, top: int = 5, least: int = 5) -> DataFrame:
+    """(label, term, rate, other_rate): the terms most over-represented in a label's texts against all others."""
+    rows = df.select(key, label, F.explode(F.array_distinct(K.tokenize(F.col(text), "plain"))).alias("term"))
+    c = rows.groupBy(label, "term").agg(F.count("*").alias("c"))
+    total = c.groupBy("term").agg(F.sum("c").alias("t"))
+    size = df.groupBy(label).agg(F.count("*").alias("n"))
+    n = df.agg(F.count("*").alias("all"))
+    r = c.filter(F.col("c") >= least).join(total, "term").join(F.broadcast(size), label).crossJoin(F.broadcast(n))
+    r = r.select(label, "term", F.round(F.col("c") / F.col("n"), 6).alias("rate"), F.round(F.try_divide(F.col("t") - F.col("c"), F.col("all") - F.col("n")), 6).alias("other_rate"))
+    w = Window.partitionBy(label).orderBy(F.desc(F.round(F.col("rate") - F.coalesce("other_rate", F.lit(0.0)), 6)), "term")
+    return r.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).drop("rn")
+
+
+def prefix_distribution(df: DataFrame, text: str, label: str, words: int = 4) -> DataFrame:
+    """(prefix, n, dominant, share): rows of each prefix and its most frequent label, the smallest on ties."""
+    c = df.select(T.prefix_key(F.col(text), words).alias("prefix"), label).groupBy("prefix", label).agg(F.count("*").alias("c"))
+    best = F.min(F.struct((-F.col("c")).alias("m"), F.col(label).alias("l")))
+    return c.groupBy("prefix").agg(F.sum("c").alias("n"), best.alias("b")).select("prefix", "n", F.col("b.l").alias("dominant"), F.round(-F.col("b.m") / F.col("n"), 6).alias("share"))
+
+
+def purity_lift(df: DataFrame, text: str, positive: str, least: int = 2, lift: float = 0.2) -> DataFrame:
+    """(term, df, purity): terms whose share of positive texts is more than `lift` from that of all texts."""
+    t = df.select(F.col(positive).cast("long").alias("y"), F.explode(F.array_distinct(K.tokenize(F.col(text), "plain"))).alias("term"))
+    c = t.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("p")).filter(F.col("df") >= least)
+    base = df.agg(F.avg(F.col(positive).cast("long")).alias("base"))
+    pure = F.col("p") / F.col("df")
+    return c.crossJoin(F.broadcast(base)).filter(F.abs(pure - F.col("base")) > lift).select("term", "df", F.round(pure, 6).alias("purity"))
+
+
+def mask_cues(x, cues: list[str]):
+    """x without the cues as whole words, longest first, with its punctuation closed up."""
+    words = "|".join(sorted(cues, key=lambda c: (-len(c), c)))
+    out = T.normalize_space(F.regexp_replace(x, rf"(?i)\b(?:{words})\b", ""))
+    out = F.regexp_replace(F.regexp_replace(out, r"\s+([,.])", "$1"), r",\s*,", ",")
+    return T.normalize_space(F.regexp_replace(out, r"\s+and\s+\.", "."))
+
+
+def template_risk(df: DataFrame, group: str, key: str, text: str, limit: float = 0.6) -> DataFrame:
+    """(key columns, sibling_mean, template_like): a row's mean token similarity to the rest of its group.
+
+    Groups are claim groups of a few rows each; pairs never leave their group.
+    """
+    t = df.select(group, key, F.array_distinct(K.tokenize(F.col(text))).alias("t"))
+    o = t.select(F.col(group).alias("g2"), F.col(key).alias("k2"), F.col("t").alias("t2"))
+    pairs = t.join(o, (F.col(group) == F.col("g2")) & (F.col(key) != F.col("k2")))
+    return pairs.groupBy(group, key).agg(F.round(F.avg(K.jaccard(F.col("t"), F.col("t2"))), 6).alias("sibling_mean")).withColumn("template_like", F.col("sibling_mean") > limit)

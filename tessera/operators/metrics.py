@@ -90,3 +90,48 @@ def bootstrap_rate(df: DataFrame, group: str, positive: str, times: int = 100) -
     ci = each.agg(F.round(F.percentile("rate", 0.025), 6).alias("low"), F.round(F.percentile("rate", 0.975), 6).alias("high"))
     point = sums.agg(F.round(F.sum("p") / F.sum("n"), 6).alias("rate"))
     return point.crossJoin(ci)
+
+
+def best_threshold(df: DataFrame, score: str, positive: str) -> DataFrame:
+    """One row (threshold, f1): the best F1 of distinct scores but the least, which calls all positive; ties to the smaller."""
+    c = threshold_cells(df, score, positive)
+    low = c.agg(F.min("threshold").alias("low"))
+    f1 = F.round(F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), 6)
+    return c.crossJoin(F.broadcast(low)).filter("threshold > low").select("threshold", f1.alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
+
+
+def grid_search(df: DataFrame, a: str, b: str, truth: str, grid_a: list[float], grid_b: list[float]) -> DataFrame:
+    """(ta, tb, f1) of every pair of thresholds: positive where a >= ta and b < tb.
+
+    Rows fold into cells of the grid first (how many thresholds each score passes), so the pairs of thresholds meet
+    at most (len(grid_a) + 1) * (len(grid_b) + 1) cells, whatever the number of rows.
+    """
+    passed = lambda c, grid: sum(((F.col(c) >= t).cast("int") for t in sorted(grid)), F.lit(0))
+    cells = df.groupBy(passed(a, grid_a).alias("ia"), passed(b, grid_b).alias("ib")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("n"))
+    at = lambda grid: F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(sorted(grid))]))
+    met = cells.withColumn("ga", at(grid_a)).withColumn("gb", at(grid_b))
+    hit = (F.col("ia") >= F.col("ga.i")) & (F.col("ib") < F.col("gb.i"))
+    out = met.groupBy(F.col("ga.t").alias("ta"), F.col("gb.t").alias("tb")).agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("called"), F.sum("p").alias("p"))
+    return out.select("ta", "tb", F.round(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("called") + F.col("p")), F.lit(0.0)), 6).alias("f1"))
+
+
+def mcnemar(df: DataFrame, first_right: str, second_right: str) -> DataFrame:
+    """One row (b, c, p_value): rows that only the first or only the second has right, exact two-sided binomial test."""
+    cells = df.agg(F.count_if(F.col(first_right) & ~F.col(second_right)).alias("b"), F.count_if(~F.col(first_right) & F.col(second_right)).alias("c"))
+    n, k = F.col("b") + F.col("c"), F.least("b", "c")
+    # log of n choose i by its recurrence, then the tail up to k
+    step = lambda acc, i: F.struct((acc["l"] + F.log((n - i + 1) / i)).alias("l"), (acc["s"] + F.exp(acc["l"] + F.log((n - i + 1) / i) - n * F.log(F.lit(2.0)))).alias("s"))
+    start = F.struct(F.lit(0.0).alias("l"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
+    tail = F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), k), lambda i: i > 0), start, step, lambda acc: acc["s"])
+    return cells.select("b", "c", F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p_value"))
+
+
+def spread(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(label, n, mean, std, q1, median, q3) of a score; std is the population's."""
+    q = lambda p: F.round(F.percentile(score, p), 6)
+    return df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+
+
+def long_scores(df: DataFrame, key: list[str], scores: list[str]) -> DataFrame:
+    """(key, variant, score): one row for each score column."""
+    return df.unpivot(key, scores, "variant", "score")

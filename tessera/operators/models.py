@@ -49,3 +49,69 @@ def vector_centroids(df: DataFrame, key: str, vector: str, label: str) -> DataFr
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     pairs = own.join(F.broadcast(packed)).withColumn("cosine", F.round(dot(F.col("x"), F.col("c")) / (F.sqrt(dot(F.col("x"), F.col("x"))) * F.col("cn")), 6))
     return pairs.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cosine"), "predicted"))).filter("rn = 1").select(key, "predicted", "cosine")
+
+
+def top_vocabulary(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, term, w): sublinear unit-length tf-idf over the `size` most frequent terms of one and two words, ties by term."""
+    toks = K.tokenize(F.col(text), "plain")
+    terms = df.select(key, F.explode(F.concat(toks, K.ngrams(toks, 2))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    stats = terms.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(size)
+    n = df.agg(F.count("*").alias("n"))
+    w = terms.join(F.broadcast(stats), "term").crossJoin(F.broadcast(n))
+    w = w.select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """(label, weight): n / (classes * rows of the class)."""
+    c = df.groupBy(label).agg(F.count("*").alias("c"))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("c").alias("n"), F.count("*").alias("k")))).select(label, F.round(F.col("n") / (F.col("k") * F.col("c")), 6).alias("weight"))
+
+
+def majority(df: DataFrame, label: str) -> DataFrame:
+    """One row: the most frequent label, the smallest on ties."""
+    return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1)
+
+
+def length_rule(train: DataFrame, rows: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(key, predicted): 1 where a text is longer than train's median, or the reverse if that is right on less than half of train."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    mid = train.agg(F.percentile(n, 0.5).alias("mid"))
+    right = train.crossJoin(F.broadcast(mid)).agg(F.avg(((n > F.col("mid")).cast("int") == F.col(label)).cast("int")).alias("acc"))
+    rule = F.broadcast(mid.crossJoin(right))
+    call = (n > F.col("mid")).cast("int")
+    return rows.crossJoin(rule).select(key, F.when(F.col("acc") < 0.5, 1 - call).otherwise(call).alias("predicted"))
+
+
+def nearest_profile(train: DataFrame, rows: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
+    """(key, predicted): the class whose mean of standardised features is nearest; population deviations, 1 for a constant."""
+    stats = train.agg(*[f(c).alias(f"{c}_{n}") for c in features for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    z = lambda c: (F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") == 0, 1.0).otherwise(F.col(f"{c}_s"))
+    cent = train.crossJoin(F.broadcast(stats)).groupBy(F.col(label).alias("predicted")).agg(*[F.avg(z(c)).alias(f"{c}_c") for c in features])
+    own = rows.crossJoin(F.broadcast(stats)).select(key, *[z(c).alias(c) for c in features])
+    far = F.round(sum(((F.col(c) - F.col(f"{c}_c")) * (F.col(c) - F.col(f"{c}_c")) for c in features), F.lit(0.0)), 6)
+    # one row a class: as many as there are labels
+    return own.crossJoin(F.broadcast(cent)).groupBy(key).agg(F.min(F.struct(far.alias("d"), "predicted")).alias("best")).select(key, F.col("best.predicted").alias("predicted"))
+
+
+def temperature(df: DataFrame, p: str, positive: str, grid: list[float]) -> DataFrame:
+    """(t, loss): mean log loss of sigmoid(logit(p) / t) at every t, so that the least can be taken."""
+    x = F.least(F.lit(1 - 1e-7), F.greatest(F.lit(1e-7), F.col(p)))
+    # equal scores share a row, so the grid meets distinct scores only
+    by = df.groupBy(x.alias("x")).agg(F.sum(F.col(positive).cast("long")).alias("pos"), F.count("*").alias("n"))
+    q = 1 / (1 + F.exp(-F.log(F.col("x") / (1 - F.col("x"))) / F.col("t")))
+    return by.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).groupBy("t").agg(F.round(-F.sum(F.col("pos") * F.log(q) + (F.col("n") - F.col("pos")) * F.log(1 - q)) / F.sum("n"), 6).alias("loss"))
+
+
+def calibrate(df: DataFrame, key: str, p: str, positive: str) -> DataFrame:
+    """(key, isotonic, platt): scores mapped by isotonic regression and by a logistic curve, both fitted on df."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = VectorAssembler(inputCols=[p], outputCol="features").transform(df.select(key, F.col(p), F.col(positive).cast("double").alias("label")))
+    iso = IsotonicRegression(featuresCol="features", labelCol="label", predictionCol="isotonic").fit(rows)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", probabilityCol="prob", maxIter=50).fit(rows)
+    return lr.transform(iso.transform(rows)).select(key, F.col("isotonic"), vector_to_array("prob")[1].alias("platt"))

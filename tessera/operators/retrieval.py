@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import tokens as K
 
+# Texts that stand for a missing one.
+PLACEHOLDERS = ("197", "nan", "none", "null", "n/a", "na", "todo", "tbd", "-")
+
 
 def postings(units: DataFrame, keys: list[str], text: str, kind: str = "hyphen") -> DataFrame:
     """(keys, dl, term, tf): term counts of each unit and its length."""
@@ -64,3 +68,20 @@ def best_sentence(candidates: DataFrame, sentences: DataFrame, on: str, query_id
     scored = candidates.join(sentences, on).withColumn("score", F.round(K.dice(K.tokenize(F.col("claim")), K.tokenize(F.col("sentence"))) * penalty, 6))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), on, "sent_id")
     return scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(query_id, on, "sent_id", "score")
+
+
+def alignment(pairs: DataFrame, key: str, found: str, claim: str, high: float = 0.60, partial: float = 0.20, least: int = 10) -> DataFrame:
+    """(key, alignment, similarity): how a found text sits against a claim.
+
+    Missing texts first, then containment either way, then the larger of block matching and token overlap, where
+    differing numbers make a conflict. Pairs are top-ranked rows, a few for each claim.
+    """
+    a, b = T.normalize_space(F.lower(F.coalesce(F.col(found), F.lit("")))), T.normalize_space(F.lower(F.coalesce(F.col(claim), F.lit(""))))
+    rows = pairs.select(key, F.col(found).alias("f"), F.col(claim).alias("c"), a.alias("a"), b.alias("b"))
+    shared = K.jaccard(F.array_distinct(K.tokenize(F.col("a"))), F.array_distinct(K.tokenize(F.col("b"))))
+    rows = rows.withColumn("similarity", F.round(F.greatest(K.sequence_ratio("a", "b"), shared), 6))
+    missing = (F.length("a") < least) | F.col("a").isin(*PLACEHOLDERS) | F.rlike("a", F.lit("^[0-9]+$")) | (F.col("b") == "")
+    within = F.contains("b", F.col("a")) | F.contains("a", F.col("b"))
+    kind = F.when(missing, "missing_or_invalid").when(within, "exact_or_contained").when((F.col("similarity") >= partial) & K.number_conflict(F.col("f"), F.col("c")), "conflict_candidate")
+    kind = kind.when(F.col("similarity") >= high, "high_overlap").when(F.col("similarity") >= partial, "partial_overlap").otherwise("low_or_unrelated")
+    return rows.select(key, kind.alias("alignment"), F.when(missing, 0.0).when(within, 1.0).otherwise(F.col("similarity")).alias("similarity"))
