@@ -108,7 +108,13 @@ def header_footer_filter(spark, d):
     return corpus.repeated_lines(_t(spark, d, "documents"))
 
 
-@query()
+_SECTION = "CASE WHEN block = '' THEN 'unknown' " + " ".join("WHEN regexp_matches(substr(lower(block), 1, 300), '" + p.replace("'", "''") + f"') THEN '{h}'" for p, h in T.SECTIONS) + " ELSE 'unknown' END"
+
+
+@query(f"""WITH b AS (SELECT doc_id, i, p[i] AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(i))
+, o AS (SELECT *, {_SECTION} AS own, len(list_filter(string_split_regex(block, '\\s+'), lambda t: t <> '')) AS n_words FROM b WHERE trim(block) <> '')
+, c AS (SELECT *, last_value(CASE WHEN n_words < 10 AND own <> 'unknown' THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM o)
+SELECT doc_id, CASE WHEN own <> 'unknown' THEN own ELSE coalesce(carried, 'unknown') END AS section, count(*) AS n_blocks, sum(n_words)::BIGINT AS n_words FROM c GROUP BY 1, 2""")
 def section_carry(spark, d):
     return corpus.blocks(_t(spark, d, "documents")).groupBy("doc_id", "section").agg(F.count("*").alias("n_blocks"), F.sum("n_words").alias("n_words"))
 
@@ -164,13 +170,20 @@ def recall_mrr(spark, d):
     return retrieval.recall_mrr(ranked, hits, claims, "item_id", ["doc_id"])
 
 
-@query()
+@query(f"""{_BM25}, {_SENT}, c AS (SELECT item_id, doc_id, list_distinct({_TOKENS.format('text')}) AS a FROM r JOIN benchmark USING (item_id) WHERE rank <= 5)
+, e AS (SELECT item_id, doc_id, sent_id, a, list_distinct({_TOKENS.format('sentence')}) AS z, len(list_filter(string_split_regex(sentence, '\\s+'), lambda t: t <> '')) AS n FROM c JOIN sent USING (doc_id))
+, g AS (SELECT *, round(coalesce(2.0 * len(list_intersect(a, z)) / nullif(len(a) + len(z), 0), 0.0) * CASE WHEN n < 8 THEN 0.5 WHEN n > 60 THEN 0.7 ELSE 1.0 END, 6) AS score FROM e)
+SELECT item_id, doc_id, sent_id::INTEGER AS sent_id, score FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, sent_id) = 1""")
 def dice_best_sentence(spark, d):
     top = _ranked(spark, d).filter("rank <= 5").join(_t(spark, d, "benchmark").withColumnRenamed("text", "claim"), "item_id").select("item_id", "doc_id", "claim")
     return retrieval.best_sentence(top, corpus.sentences(_t(spark, d, "documents")), "doc_id", "item_id")
 
 
-@query()
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents), c AS (SELECT doc_id, ((s - 1) // 150)::INTEGER AS chunk, {_NORMAL.format("array_to_string(w[s : s + 199], ' ')")} AS hay FROM w, unnest(range(1, len(w) + 1, 150)) AS t(s) WHERE len(w[s : s + 199]) >= 10)
+SELECT DISTINCT doc_id, chunk, item_id FROM c JOIN (SELECT item_id, {_NORMAL.format('text')} AS needle FROM benchmark) q ON length(needle) >= 30 AND contains(hay, needle)""")
 def claim_chunks(spark, d):
     return corpus.chunk_hits(corpus.chunks(_t(spark, d, "documents")), _t(spark, d, "benchmark"))
 
@@ -377,7 +390,12 @@ def centroid_predict(spark, d):
     return models.vector_centroids(_t(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
+, t AS (SELECT lang, term, count(*) AS c FROM (SELECT lang, unnest(w) AS term FROM d WHERE doc_id % 5 <> 0) GROUP BY ALL), m AS (SELECT lang, sum(c) AS m FROM t GROUP BY lang), v AS (SELECT count(DISTINCT term) AS v FROM t)
+, p AS (SELECT lang, count(*) / sum(count(*)) OVER ()::DOUBLE AS p FROM d WHERE doc_id % 5 <> 0 GROUP BY lang)
+, k AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d WHERE doc_id % 5 = 0) WHERE term IN (SELECT term FROM t) GROUP BY ALL)
+, s AS (SELECT d.doc_id, p.lang, round(ln(any_value(p)) + coalesce(sum(tf * ln((coalesce(c, 0) + 0.7::DOUBLE) / (m + 0.7::DOUBLE * v))), 0), 4) AS score FROM d CROSS JOIN p JOIN m ON m.lang = p.lang CROSS JOIN v LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.lang = p.lang AND t.term = k.term WHERE d.doc_id % 5 = 0 GROUP BY d.doc_id, p.lang)
+SELECT doc_id, lang AS predicted FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1""")
 def naive_bayes(spark, d):
     docs = _t(spark, d, "documents")
     return models.naive_bayes(docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0"), "doc_id", "text", "lang")
