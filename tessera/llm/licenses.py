@@ -1,12 +1,11 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies them.
+"""License scans: shingles shared with a template retrieve it, containment over all their positions verifies it.
 
-DataFrame functions only. A window is as many shingles long as the template it is compared with, so a full or nearly
-full quotation has a window of high similarity; the number of bands is set from the lowest similarity that counts.
+DataFrame functions only. Every position of every template shingle is kept, so inserted words, whatever their number,
+cost a quotation only the shingles they break; no window length or offset decides what is seen.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import DataFrame
@@ -47,27 +46,40 @@ def words(text) -> F.Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _windows(starts, size, wanted) -> F.Column:
-    return F.filter(F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("h", i + 1, F.lit(size)).alias("g"))), lambda x: F.arrays_overlap(x["g"], wanted))
+def _stretches() -> F.Column:
+    """(last, n, before, width, s, e) of a text with positions p against template t: the stretches of scan().
 
+    One pass over the positions keeps where each template shingle was last seen. The need-th latest of these is where
+    the shortest stretch that ends here and reaches the threshold starts; the found-th latest, where the one with all.
+    """
+    own = F.filter(F.transform("p", lambda q: F.struct(q["i"].alias("i"), F.array_position(F.col("t"), q["x"]).alias("j"))), lambda q: q["j"] > 0)
+    one = lambda x: F.lit(x).cast("int")
+    start = F.struct(F.array_repeat(one(-1), F.size("t")).alias("last"), F.lit(0).cast("long").alias("n"), one(-1).alias("before"), one(2147483647).alias("width"), one(-1).alias("s"), one(-1).alias("e"))
+
+    def step(acc, q):
+        last = F.transform(acc["last"], lambda v, k: F.when(k + 1 == q["j"], q["i"]).otherwise(v))
+        seen = F.transform(F.array(last), lambda v: F.struct(v.alias("last"), F.sort_array(v, False).alias("d")))
+        ends = F.transform(seen, lambda v: F.struct(v["last"].alias("last"), F.get(v["d"], F.col("need") - 1).alias("enough"), F.get(v["d"], F.col("found") - 1).alias("all")))
+
+        def after(v):
+            more, closer = v["enough"] > acc["before"], (v["all"] >= 0) & (q["i"] - v["all"] < acc["width"])
+            keep = lambda new, old: F.when(closer, new).otherwise(acc[old]).alias(old)
+            return F.struct(v["last"].alias("last"), (acc["n"] + more.cast("long")).alias("n"), F.greatest(acc["before"], v["enough"]).alias("before"), keep(q["i"] - v["all"], "width"), keep(v["all"], "s"), keep(q["i"], "e"))
+
+        return F.get(F.transform(ends, after), F.lit(0))
 
-def bands_for(shingle_count: int, threshold: float, stride: int, miss: float = 1e-4) -> int:
-    """Bands of one minimum each, so that a window at the threshold collides with probability 1 - miss at least."""
-    if shingle_count == 1:
-        return 1
-    inside = math.ceil(threshold * shingle_count) - stride // 2
-    similarity = max(1, inside) / (2 * shingle_count - max(1, inside))
-    return math.ceil(math.log(miss) / math.log(1 - similarity)) if similarity < 1 else 1
+    return F.aggregate(own, start, step)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """(doc_id, license, containment, start_word, end_word, n_windows): templates that a document quotes.
 
-    containment: share of the template's distinct shingles in the best window, at least threshold; start_word and
-    end_word bound the first window that has it. Templates (a dict, so bounded by the caller) must have five words.
-    Null, empty and short texts quote nothing; a repeated row or id gives its rows once; ties take the earliest
-    window; other columns are ignored; an empty table gives an empty result. Map side only, apart from the final
-    grouping by document and template of what was verified.
+    containment: share of the template's distinct shingles in the text, at least threshold; start_word and end_word
+    bound the shortest stretch that holds them, the earliest of equals; n_windows counts the stretches that reach the
+    threshold and hold no shorter one that does. Templates (a dict, so bounded by the caller) must have five words.
+    Null, empty and short texts quote nothing; a repeated row or id gives its rows once, with the best of its texts;
+    other columns are ignored; an empty table gives an empty result. Exact. Map side only, apart from dropping
+    repeated rows of texts that share a shingle and the final grouping by document and template of what was verified.
     """
     spark = docs.sparkSession
     given = TEMPLATES if templates is None else templates
@@ -86,32 +98,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     docs = docs.select("doc_id", "text").filter(hit)
     # an explode of one element keeps the optimiser from moving the filter below and repeating the words in it
     w = docs.select("doc_id", F.explode(F.array(words(F.col("text").cast("string")))).alias("w")).select("doc_id", F.explode(F.array(shingles(F.col("w")))).alias("h"))
-    # without any shingle of a template no window can reach the threshold
-    near = durable(w.filter(F.arrays_overlap("h", array(every) if every else F.array().cast("array<bigint>"))).distinct(), "license-shingles")
-    parts = []
-    for size in sorted({len(v) for v in sets.values()}):
-        own = {k: v for k, v in sets.items() if len(v) == size}
-        stride = max(1, size // 8)
-        bands = bands_for(size, threshold, stride, miss)
-        seeds = [(b * 0x9E3779B97F4A7C15 + 1) % (1 << 62) for b in range(bands)]
-        low = lambda a, s: F.array_min(F.transform(a, lambda x: F.xxhash64(x, F.lit(s))))
-        own_array = array(sorted({x for v in own.values() for x in v}))
-        # windows are cut and kept or dropped inside the row, so that no row repeats its document's whole array
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - 1), F.lit(stride))
-        cut = _windows(starts, size, own_array)
-        windows = near.filter(F.arrays_overlap("h", own_array)).select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.i", "x.g")
-        minima = windows.withColumn("m", F.array(*[low(F.col("g"), s) for s in seeds]))
-        sides = spark.createDataFrame([(k, v) for k, v in own.items()], "license string, t array<bigint>").withColumn("tm", F.array(*[low(F.col("t"), s) for s in seeds]))
-        keyed = minima.select("doc_id", "i", "g", F.posexplode("m").alias("b", "v"))
-        posted = sides.select("license", "t", F.posexplode("tm").alias("b", "v"))
-        hit = keyed.join(F.broadcast(posted), ["b", "v"]).select("doc_id", "i", "license", (F.size(F.array_intersect("g", "t")) / F.lit(float(size))).alias("containment")).filter(F.col("containment") >= threshold)
-        parts.append(hit.withColumn("n", F.lit(size)))
-    if not parts:
+    # without any shingle of a template no text can reach the threshold
+    some = w.filter(F.arrays_overlap("h", array(every) if every else F.array().cast("array<bigint>")))
+    hits = F.filter(F.transform("h", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains(array(every), p["x"]))
+    near = durable(some.select("doc_id", hits.alias("p")).distinct(), "license-shingles")
+    if not sets:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, containment double, start_word long, end_word long, n_windows long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = F.struct(-F.col("containment"), F.col("i"), F.col("n"))
-    return found.groupBy("doc_id", "license").agg(F.min(best).alias("x"), F.count_distinct("i").alias("n_windows")).select(
-        "doc_id", "license", (-F.col("x.col1")).alias("containment"), F.col("x.i").cast("long").alias("start_word"), (F.col("x.i") + F.col("x.n") + SHINGLE - 1).cast("long").alias("end_word"), "n_windows"
+    least = {k: next(m for m in range(1, len(v) + 1) if m / len(v) >= threshold or m == len(v)) for k, v in sets.items()}
+    sides = F.broadcast(spark.createDataFrame([(k, v, least[k]) for k, v in sets.items()], "license string, t array<bigint>, need int"))
+    pairs = near.withColumn("found", F.array_distinct("p.x")).join(sides, F.arrays_overlap("found", "t")).withColumn("found", F.size(F.array_intersect("found", "t")))
+    pairs = pairs.withColumn("containment", F.col("found") / F.size("t").cast("double")).filter(F.col("containment") >= threshold)
+    best = F.struct(-F.col("containment"), F.col("x.width"), F.col("x.s"), F.col("x.e"))
+    return pairs.withColumn("x", _stretches()).groupBy("doc_id", "license").agg(F.min(best).alias("b"), F.sum("x.n").alias("n_windows")).select(
+        "doc_id", "license", (-F.col("b.col1")).alias("containment"), F.col("b.s").cast("long").alias("start_word"), (F.col("b.e") + SHINGLE).cast("long").alias("end_word"), "n_windows"
     )

@@ -203,6 +203,39 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_with_insertions(spark):
+    given = licenses.TEMPLATES
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use'
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"
+    texts = [f"{'x ' * n}{t} tail" for n in range(3) for t in (mit, bsd, gpl)]
+    for name in ("mit-grant", "gpl-notice", "bsd-redistribution"):
+        ws = given[name].split()
+        for at in range(0, len(ws), 3):
+            texts += [" ".join(["pad"] * (at % 4) + ws[:at] + new + ws[at + gone :]) for new, gone in ((["changed"], 1), (["one"], 0), (["one", "two", "three"], 0), (["more"] * 60, 0))]
+    texts += [given["mit-grant"] + " and " + bsd + " " + mit]
+
+    def grams(t):
+        w = re.findall(licenses.WORD, t.lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = {}
+    for i, t in enumerate(texts):
+        g = grams(t)
+        for name, body in given.items():
+            own = set(grams(body))
+            both = own & set(g)
+            if len(both) >= 0.8 * len(own):
+                at = [k for k, x in enumerate(g) if x in both]
+                spans = [(k, next((e for e in at if both <= set(g[k : e + 1])), None)) for k in at]
+                width, k = min((e - k, k) for k, e in spans if e is not None)
+                need = {(k, next((e for e in at if e >= k and len(both & set(g[k : e + 1])) >= 0.8 * len(own)), None)) for k in at}
+                n = len({e for _, e in need if e is not None})
+                want[i, name] = (len(both) / len(own), k, k + width + 5, n)
+    got = {(r.doc_id, r.license): (r.containment, r.start_word, r.end_word, r.n_windows) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and {(n, k) for n in range(0, 9, 3) for k in ("mit-grant",)} <= set(got)
+
+
 def brute(texts):
     raw = [(t or "").encode() for t in texts]
     count = {}
