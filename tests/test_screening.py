@@ -2,12 +2,15 @@
 
 import difflib
 import hashlib
+from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
 from tessera.operators import audit, errors, metrics, models, retrieval, sampling, validation
+from tessera.plans import catalog, screening  # noqa: F401
 
 
 def one(spark, expr):
@@ -94,3 +97,23 @@ def test_isotonic_is_monotone(spark):
     for c in ("isotonic", "platt"):
         values = [r[c] for r in rows]
         assert all(a <= b + 1e-12 for a, b in zip(values, values[1:], strict=False)) and 0 <= values[0] and values[-1] <= 1
+
+
+def test_mcnemar_over_all_candidates(spark):
+    sf, part = "/root/testdata/sf0.001", " WHERE cid % 37 = 0 AND grp < 60"
+    sql = catalog.oracle_sql()["mcnemar_exact"]
+    c = duckdb.connect()
+    c.sql(f"create view orders as select * from '{sf}/orders.parquet'")
+    want = c.sql(sql.replace(part, "")).fetchall()[0]
+    got = tuple(catalog.queries()["mcnemar_exact"](spark, sf).first())
+    assert got[:2] == want[:2] and got[2] == pytest.approx(want[2], abs=2e-6)
+
+
+def test_mcnemar_of_many_pairs(spark):
+    b, c = 40_000, 40_350
+    df = spark.range(b + c).select((F.col("id") < b).alias("one"), (F.col("id") >= b).alias("two"))
+    n, total, term = b + c, 0, 1
+    for i in range(b + 1):
+        total += term
+        term = term * (n - i) // (i + 1)
+    assert metrics.mcnemar(df, "one", "two").first().p_value == pytest.approx(float(Fraction(2 * total, 2**n)), abs=2e-6)
