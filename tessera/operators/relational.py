@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
@@ -15,7 +15,13 @@ def first_source(primary: DataFrame, fallback: DataFrame, key: str, value: str)
 
 
 def pareto(df: DataFrame, key: str, dims: list[str]) -> DataFrame:
-    """Keys that no other row matches in all dims and beats in one. For small tables of methods: a theta anti-join."""
+    """Keys that no other row matches in all dims and beats in one; a null in a dim neither beats nor is beaten.
+
+    Two dims: the best second value of each first value against a running maximum over higher first values, within
+    buckets and then among what these leave. Other numbers of dims, for small tables of methods: a theta anti-join.
+    """
+    if len(dims) == 2:
+        return _front(df, key, *dims)
     other = df.select(*[F.col(c).alias(f"o_{c}") for c in [key, *dims]])
     no_worse = F.lit(True)
     better = F.lit(False)
@@ -25,6 +31,18 @@ def pareto(df: DataFrame, key: str, dims: list[str]) -> DataFrame:
     return df.join(other, no_worse & better, "left_anti").select(key)
 
 
+def _front(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    best = df.filter(known).groupBy(F.col(a).alias("f_a")).agg(F.max(b).alias("f_b")).withColumn("bucket", F.pmod(F.xxhash64("f_a"), F.lit(64)))
+
+    def kept(x, *part):
+        above = F.max("f_b").over(Window.partitionBy(*part).orderBy(F.desc("f_a")).rowsBetween(Window.unboundedPreceding, -1))
+        return x.withColumn("above", above).filter(F.col("above").isNull() | (F.col("above") < F.col("f_b"))).drop("above")
+
+    front = kept(kept(best, "bucket")).select("f_a", "f_b")
+    return df.filter(known).join(front, (F.col(a) == F.col("f_a")) & (F.col(b) == F.col("f_b")), "left_semi").select(key).unionByName(df.filter(~known).select(key))
+
+
 def group_similarity(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
     """(group, n_pairs, mean_jaccard): mean token similarity of the pairs of a group.
 

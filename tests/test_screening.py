@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
-from tessera.operators import audit, errors, metrics, models, retrieval, sampling, validation
+from tessera.operators import audit, errors, metrics, models, relational, retrieval, sampling, validation
 from tessera.plans import catalog, screening  # noqa: F401
 
 
@@ -117,3 +117,13 @@ def test_mcnemar_of_many_pairs(spark):
         total += term
         term = term * (n - i) // (i + 1)
     assert metrics.mcnemar(df, "one", "two").first().p_value == pytest.approx(float(Fraction(2 * total, 2**n)), abs=2e-6)
+
+
+def test_pareto_over_all_suppliers(spark, tmp_path):
+    rows = [(i, round((i * 7331 % 997) * 1.5, 2)) for i in range(1, 301)] + [(400, 2000.0), (401, None)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    m = {k: (a, k * 7919 % 101) for k, a in rows if a is not None}
+    want = {k for k, x in m.items() if not any(y[0] >= x[0] and y[1] >= x[1] and y != x for y in m.values())} | {401}
+    assert {r.s_suppkey for r in catalog.queries()["pareto_front"](spark, str(tmp_path)).collect()} == want and 400 in want
+    three = spark.createDataFrame([(1, 1, 1, 2), (2, 1, 1, 1), (3, 2, 0, 0)], "k int, a int, b int, c int")
+    assert {r.k for r in relational.pareto(three, "k", ["a", "b", "c"]).collect()} == {1, 3}
