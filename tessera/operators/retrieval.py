@@ -70,6 +70,27 @@ def best_sentence(candidates: DataFrame, sentences: DataFrame, on: str, query_id
     return scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(query_id, on, "sent_id", "score")
 
 
+def closest_window(pairs: DataFrame, key: str, text: str, claim: str, least: int = 10) -> DataFrame:
+    """(key, claim, found): the run of sentences of the whole text that is closest to the claim; one row for each key.
+
+    The text itself where it contains the claim. Else, of the runs of one sentence up to one more than the claim has
+    (three at least), at every offset, one of `least` characters within the claim, then the highest Dice overlap, then
+    the earliest and shortest. A missing text gives null.
+    """
+    plain = lambda c: T.normalize_space(F.lower(F.coalesce(c, F.lit(""))))
+    rows = pairs.select(key, F.col(claim).alias("claim"), F.col(text).alias("t"))
+    rows = rows.withColumn("whole", (plain(F.col("claim")) != "") & F.contains(plain(F.col("t")), plain(F.col("claim"))))
+    longest = F.greatest(F.lit(3), F.size(T.split_sentences(F.coalesce("claim", F.lit("")))) + 1)
+    parts = rows.filter("NOT whole").select(key, "claim", T.split_sentences(F.col("t")).alias("s"), longest.alias("m"))
+    at = parts.select("*", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("at")).filter("size(s) > 0")
+    runs = at.select(key, "claim", "at", F.slice("s", F.col("at"), F.col("m")).alias("s")).select(key, "claim", "at", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("n"))
+    runs = runs.select(key, "claim", "at", "n", F.array_join(F.slice("s", F.lit(1), F.col("n")), " ").alias("found"))
+    inside = (F.length(plain(F.col("found"))) >= least) & F.contains(plain(F.col("claim")), plain(F.col("found")))
+    order = F.struct((~inside).alias("outside"), (-F.round(K.dice(K.tokenize(F.col("claim")), K.tokenize(F.col("found"))), 6)).alias("far"), "at", "n")
+    best = runs.groupBy(key).agg(F.min_by("found", order).alias("best"))
+    return rows.join(best, key, "left").select(key, "claim", F.when(F.col("whole"), F.col("t")).otherwise(F.col("best")).alias("found"))
+
+
 def alignment(pairs: DataFrame, key: str, found: str, claim: str, high: float = 0.60, partial: float = 0.20, least: int = 10) -> DataFrame:
     """(key, alignment, similarity): how a found text sits against a claim.
 

@@ -257,11 +257,10 @@ def anchor_sentence(spark, d):
 
 @query()
 def alignment_class(spark, d):
-    """How the best-ranked document's first sentences sit against the claim, by containment, numbers and similarity."""
+    """How the best-ranked document's closest sentences sit against the claim, by containment, numbers and similarity."""
     top = _ranked(spark, d).filter("rank = 1").join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     pair = top.join(_t(spark, d, "benchmark").withColumnRenamed("text", "claim"), "item_id")
-    found = F.array_join(F.slice(T.split_sentences(F.col("text")), 1, 3), " ")
-    return retrieval.alignment(pair.select("item_id", found.alias("found"), "claim"), "item_id", "found", "claim")
+    return retrieval.alignment(retrieval.closest_window(pair, "item_id", "text", "claim"), "item_id", "found", "claim")
 
 
 # -- lexical models

@@ -127,3 +127,16 @@ def test_pareto_over_all_suppliers(spark, tmp_path):
     assert {r.s_suppkey for r in catalog.queries()["pareto_front"](spark, str(tmp_path)).collect()} == want and 400 in want
     three = spark.createDataFrame([(1, 1, 1, 2), (2, 1, 1, 1), (3, 2, 0, 0)], "k int, a int, b int, c int")
     assert {r.k for r in relational.pareto(three, "k", ["a", "b", "c"]).collect()} == {1, 3}
+
+
+def test_alignment_reads_the_whole_text(spark, tmp_path):
+    fill = " ".join(f"Other filler number{i} stands here alone." for i in range(40))
+    quoted, close = "The model gains three points on the harder set. It loses none elsewhere.", "Deep frost damaged seven vineyards along the northern river"
+    docs = [(1, f"{fill} {quoted} {fill}"), (2, f"{fill} {close} valley. {fill}"), (3, f"{fill} Nothing else.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    claims = [(1, quoted.replace(" It", "\n it")), (2, close + " delta."), (3, "Else zebra quartz violins hum softly under marble domes tonight.")]
+    spark.createDataFrame(claims, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: r.alignment for r in catalog.queries()["alignment_class"](spark, str(tmp_path)).collect()}
+    assert got == {1: "exact_or_contained", 2: "high_overlap", 3: "low_or_unrelated"}
+    empty = spark.createDataFrame([(1, None, "a claim"), (2, "", None)], "k int, t string, c string")
+    assert {r.k: r.found for r in retrieval.closest_window(empty, "k", "t", "c").collect()} == {1: None, 2: None}
