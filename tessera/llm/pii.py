@@ -1,9 +1,9 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 The fixed patterns give base spans. Base spans and key-shaped strings are the seeds of a bootstrap: the word and marks
-before an identifier, with the shape of the identifier, form a lexical pattern; patterns and the distinct strings they
-precede form a graph on which trust spreads for a few rounds from the seeds; patterns that end up trusted mark every
-string they precede, strings no seed had among them.
+before an identifier form a lexical pattern, alone and with the shape of the identifier; patterns and the distinct
+strings they precede form a graph on which trust spreads from the seeds; trusted patterns mark every string they
+precede, strings no seed had among them, and what is marked supports further patterns until none is added.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Strings that may be identifiers: eight or more letters, digits and joiners with a digit among them.
-_TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9](?:[A-Za-z0-9]|[_-](?=[A-Za-z0-9])){7,255}+(?![A-Za-z0-9])"
+_TOKEN = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][_-])(?=(?:[A-Za-z]|[_-](?=[A-Za-z0-9]))*+[0-9])[A-Za-z0-9](?:[A-Za-z0-9]|[_-](?=[A-Za-z0-9])){7,}+"
 #: Seeds beside the base spans: access-key ids and long hexadecimal keys.
-_KEY = r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,128})$"
+_KEY = r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,})$"
 
 
 def _located(text: Column, pattern: str, kind: int, wanted) -> Column:
@@ -80,32 +80,58 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _pattern(context: Column, string: Column) -> Column:
-    """The lexical pattern of an occurrence: last word before it, the marks between, and the shape of the string; null without a word."""
-    word = F.lower(F.regexp_extract(context, r"(\p{L}+)[^\p{L}]*$", 1))
-    marks = F.regexp_replace(F.regexp_extract(context, r"\p{L}+([^\p{L}]*)$", 1), r"\s+", "")
-    shape = F.when(F.rlike(string, F.lit("^[0-9]+$")), "digits").when(F.rlike(string, F.lit("^[0-9a-f]+$")), "hex").when(F.rlike(string, F.lit("^[A-Z0-9]+$")), "upper").when(F.rlike(string, F.lit("^[A-Za-z0-9_-]+$")), "mixed").otherwise("other")
-    return F.when(F.char_length(word) > 0, F.concat_ws("|", word, F.substring(marks, 1, 8), shape))
+def _context(before: Column) -> Column:
+    """The lexical pattern of what stands before a string: its last word and the marks after that; null without a word."""
+    word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
+    marks = F.regexp_replace(F.regexp_extract(before, r"\p{L}+([^\p{L}]*)$", 1), r"\s+", "")
+    return F.when(F.char_length(word) > 0, F.concat_ws("|", word, F.substring(marks, 1, 8)))
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = 2, least: float = 0.8, support: int = 3) -> DataFrame:
-    """Patterns to trust, from occurrences (pattern, string, seed boolean).
+def _shape(string: Column) -> Column:
+    return F.when(F.rlike(string, F.lit("^[0-9]+$")), "digits").when(F.rlike(string, F.lit("^[0-9a-f]+$")), "hex").when(F.rlike(string, F.lit("^[A-Z0-9]+$")), "upper").when(F.rlike(string, F.lit("^[A-Za-z0-9_-]+$")), "mixed").otherwise("other")
+
 
-    Edges join each pattern to each distinct string it precedes, so neither copies nor frequent strings weigh more.
-    A pattern's score is the mean trust of its strings, with one untrusted string added; a string's trust is 1 for a
-    seed and else one minus the product of (1 - score) of its patterns. Trusted: score >= least and at least
-    ``support`` seed strings. Hot patterns meet only aggregates: each round is two grouped sums and an equi-join.
+def trusted_patterns(seen: DataFrame, rounds: int = 2, least: float = 0.8, support: int = 3) -> DataFrame:
+    """Patterns to trust, from occurrences (context, pattern, string, seed boolean); pattern is the context with a shape.
+
+    Edges join each context to each distinct string it precedes, so neither copies nor frequent strings weigh more.
+    The score of a pattern, and of a context over all shapes, is the mean trust of its strings, with one untrusted
+    string added; a string's trust is 1 for a seed or a string accepted before and else one minus the product of
+    (1 - score) of its contexts, each by its better level. Trusted, after ``rounds`` scorings: score >= least and at
+    least ``support`` strings of trust 1. Strings of trusted patterns are accepted and all is scored again, until no
+    pattern is added; both sets only grow, so that ends. Hot patterns meet only aggregates and equi-joins.
     """
-    # a string that a pattern precedes once is as good as one it precedes a thousand times
-    edges = durable(seen.filter(F.col("pattern").isNotNull()).groupBy("pattern", "string").agg(F.max("seed").alias("seed")), "pii-edges")
-    trust = edges.select("pattern", "string", F.col("seed").cast("double").alias("trust"))
-    for i in range(rounds):
-        score = trust.groupBy("pattern").agg((F.sum("trust") / (F.count("*") + 1)).alias("score"), F.sum((F.col("trust") >= 1).cast("int")).alias("seeds"))
-        if i == rounds - 1:
-            break
-        far = edges.join(score.filter("seeds > 0"), "pattern").groupBy("string").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("far"))
-        trust = durable(edges.join(far, "string", "left").select("pattern", "string", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("far", F.lit(0.0))).alias("trust")), "pii-trust")
-    return score.filter((F.col("score") >= least) & (F.col("seeds") >= support)).select("pattern")
+    # a string that a context precedes once is as good as one it precedes a thousand times
+    edges = durable(seen.filter(F.col("context").isNotNull()).groupBy("context", "pattern", "string").agg(F.max("seed").alias("seed")), "pii-edges")
+    sure, known = edges.withColumn("sure", F.col("seed")), 0
+    while True:
+        trust = sure.withColumn("trust", F.col("sure").cast("double"))
+        for i in range(rounds):
+            score = lambda c: trust.groupBy(F.col(c).alias(f"by_{c}")).agg((F.sum("trust") / (F.count("*") + 1)).alias(f"{c}_score"), F.sum(F.col("sure").cast("int")).alias("sures"))  # noqa: B023, E731
+            levels = [score("context"), score("pattern")]
+            if i == rounds - 1:
+                break
+            near = trust
+            for c, level in zip(("context", "pattern"), levels, strict=True):
+                near = near.join(level.filter("sures > 0").drop("sures"), F.col(c) == F.col(f"by_{c}"), "left")
+            far = near.withColumn("score", F.greatest("context_score", "pattern_score")).filter("score is not null").groupBy("string").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("far"))
+            trust = durable(sure.join(far, "string", "left").select("context", "pattern", "string", "sure", F.when(F.col("sure"), 1.0).otherwise(F.coalesce("far", F.lit(0.0))).alias("trust")), "pii-trust")
+        # a context ends in marks and a pattern in the name of a shape, so the two cannot be confused
+        context, pattern = [x.filter((F.col(f"{c}_score") >= least) & (F.col("sures") >= support)).select(F.col(f"by_{c}").alias("pattern")) for c, x in zip(("context", "pattern"), levels, strict=True)]
+        good = durable(context.unionByName(pattern), "pii-good")
+        n = good.count()
+        if n == known:
+            return good
+        known = n
+        accepted = _marked(edges, good).filter("good").select("string").distinct().withColumn("accepted", F.lit(True))
+        sure = durable(edges.join(accepted, "string", "left").select("context", "pattern", "string", (F.col("seed") | F.col("accepted").isNotNull()).alias("sure")), "pii-sure")
+
+
+def _marked(x: DataFrame, good: DataFrame) -> DataFrame:
+    """x with good: whether its pattern or its context is trusted."""
+    for c in ("context", "pattern"):
+        x = x.join(good.select(F.col("pattern").alias(f"by_{c}")), F.col(c) == F.col(f"by_{c}"), "left")
+    return x.withColumn("good", F.col("by_context").isNotNull() | F.col("by_pattern").isNotNull()).drop("by_context", "by_pattern")
 
 
 def find(docs: DataFrame, **graph) -> DataFrame:
@@ -124,10 +150,9 @@ def find(docs: DataFrame, **graph) -> DataFrame:
     clear = F.filter("maybe", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     rows = durable(rows.withColumn("maybe", clear), "pii-rows")
     once = rows.filter((F.size("base") > 0) | (F.size("maybe") > 0)).groupBy("text_key").agg(F.first("base").alias("base"), F.first("maybe").alias("maybe"))
-    seen = once.select("text_key", F.explode(F.concat("base", "maybe")).alias("x")).select("text_key", "x.k", "x.s", "x.e", F.col("x.t").alias("string"), _pattern(F.col("x.c"), F.col("x.t")).alias("pattern"), ((F.col("x.k") < 4) | F.rlike("x.t", F.lit(_KEY))).alias("seed"))
-    seen = durable(seen, "pii-seen")
-    good = trusted_patterns(seen, **graph).withColumn("good", F.lit(True))
-    added = seen.filter("k = 4").join(good, "pattern", "left").filter("seed or good").groupBy("text_key").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
+    seen = once.select("text_key", F.explode(F.concat("base", "maybe")).alias("x")).select("text_key", "x.k", "x.s", "x.e", F.col("x.t").alias("string"), _context(F.col("x.c")).alias("context"), ((F.col("x.k") < 4) | F.rlike("x.t", F.lit(_KEY))).alias("seed"))
+    seen = durable(seen.withColumn("pattern", F.concat_ws("|", "context", F.when(F.col("context").isNotNull(), _shape(F.col("string"))))), "pii-seen")
+    added = _marked(seen.filter("k = 4"), trusted_patterns(seen, **graph)).filter("seed or good").groupBy("text_key").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     order = lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"])
     return rows.select("doc_id", "text_key", bare(F.col("base")).alias("base")).join(added, "text_key", "left").select("doc_id", "text_key", "base", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")), order).alias("spans"))

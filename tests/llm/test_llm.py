@@ -196,6 +196,18 @@ def test_pii_bootstrap_finds_unseen(spark):
     assert got[20] == "id:13:23" and got[21] == ""
 
 
+def test_pii_bootstrap_reaches_other_shapes(spark):
+    hexes = [f"{i * 0xABCDEF123:040x}" for i in range(1, 61)]
+    new = ["ghp_Ab12Cd34Ef56", "sk-Test9Key8Part", "123e4567-e89b-12d3-a456-426614174000", "Zx9" * 120, "q" * 100 + "7", "AB12CD34EF", "n5-new-five-x", "eight_8_eight"]
+    late = "Lone_5tring_Late"
+    texts = [f'token = "{x}" end' for x in hexes + new] + [f"alias: {x} end" for x in [*new, late]]
+    texts += [f"room {x} free" for x in ("12345678", "a-b-c-d-e-1", new[0])] + ["sum " + "0a" * 100 + " end", "word abcdefghij--1 end", "a-" * 50_000 + "b"]
+    got = [r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:68] == [f"id:9:{9 + len(x)}" for x in hexes + new]
+    assert got[68:77] == [f"id:7:{7 + len(x)}" for x in [*new, late]]
+    assert got[77:] == ["", "", "", "id:4:204", "", ""]
+
+
 def test_licenses(spark, none):
     rows = [(1, "x y " + licenses.TEMPLATES["gpl-3.0"] + " z"), (2, "Released under the\nMIT License"), (3, "license to nothing at all here"), (4, None), (5, ""), (6, licenses.TEMPLATES["mit-grant"].replace("free of charge", "at no cost"))]
     got = {(r.doc_id, r.license): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
