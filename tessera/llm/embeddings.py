@@ -157,6 +157,11 @@ def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, w long")
 
 
+def _lengths(reps: DataFrame) -> list[int]:
+    """The lengths that two or more distinct vectors have, all of them; a single vector has nothing to link with."""
+    return sorted(r.dim for r in reps.groupBy("dim").count().filter("count > 1").collect())
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding).
 
@@ -178,11 +183,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     reps = durable(own.filter(fine).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "vectors")
     # in range for the sums of squares, however large or small the components are
     scaled = reps.withColumn("embedding", F.transform("embedding", lambda c: c / F.array_max(F.transform("embedding", F.abs))))
-    parts = [_linked(scaled.filter(F.col("dim") == d), d, least) for (d,) in sorted(reps.select("dim").distinct().limit(1000).collect())]
-    empty = spark.createDataFrame([], "a long, b long, w long")
-    found = empty
-    for p in parts:
-        found = found.unionByName(p)
+    found = spark.createDataFrame([], "a long, b long, w long")
+    for i, d in enumerate(_lengths(reps)):
+        # ends the lineage now and then, so that many lengths do not make one plan
+        found = durable(found, "vector-links") if i % 50 == 49 else found
+        found = found.unionByName(_linked(scaled.filter(F.col("dim") == d), d, least))
     found = durable(found, "vector-links")
     degree = found.filter("b is null").groupBy(F.col("a").alias("d_id")).agg(F.sum("w").alias("w"))
     comp = components(found.filter("b is not null").select("a", "b")).select(F.col("id").alias("c_id"), F.col("component"))

@@ -69,6 +69,15 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_many_lengths(spark):
+    two = spark.range(4400).select((F.col("id") % 2200).cast("int").alias("dim")).filter("dim < 1100 or dim % 2 = 0").dropDuplicates(["dim"])
+    reps = two.unionByName(two.filter("dim < 1100"))
+    assert embeddings._lengths(reps) == list(range(1100))
+    rows = [(d, [1.0] * d) for d in range(1, 1051)] + [(5000 + d, [1.0] * (d - 1) + [1.01]) for d in (2, 1050)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (0, i) for i, _ in rows}, 2: (1, 2), 5002: (1, 2), 1050: (1, 1050), 6050: (1, 1050)}
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
