@@ -130,6 +130,14 @@ def substring_overlap(spark, d):
     return _t(spark, d, "benchmark").select("item_id", F.contains(z, F.substring(a, 30, 10)).alias("overlaps"))
 
 
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON length(b.text) >= 30 AND contains(d.text, b.text)")
+def text_containment(spark, d):
+    """Claims of thirty characters or more that stand whole in a document, wherever in it; every pair is compared."""
+    claims = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(claims), K.contains_text(F.col("claim"), F.col("text"))).select("item_id", "doc_id")
+
+
 # -- retrieval
 
 _BM25 = f"""WITH u AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM u)

@@ -82,3 +82,10 @@ def test_capped_queue_is_greedy(spark):
 def test_minmax_of_a_constant(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0)], "k long, v double")
     assert [r.v_norm for r in scoring.scaled(df, ["v"]).collect()] == [0.5, 0.5]
+
+
+def test_containment_of_whole_texts(spark, tmp_path):
+    claim = "a passage that stands far down in one document only"
+    spark.createDataFrame([(1, "x " * 500 + claim + " y"), (2, claim[:40]), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, claim), (8, "x x"), (9, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in catalog.queries()["text_containment"](spark, str(tmp_path)).collect()] == [(7, 1)]
