@@ -1,7 +1,14 @@
-"""64-bit hashes of bytes, words and sliding strings in numpy, the same in every process."""
+"""64-bit hashes of bytes, words and sliding strings, the same in every process.
+
+Spans are quick and can collide by construction: they choose and group, and what they group is compared by its bytes.
+digest() and WordDigests are of BLAKE2b: different words or strings are taken as equal with a chance of 2 ** -64 a pair
+(2 ** -128 for digest), whatever they look like.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -43,6 +50,26 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def digest(data: bytes) -> bytes:
+    """128 bits."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+class WordDigests(dict):
+    """64 bits of a word's BLAKE2b; short words are remembered, up to a bound."""
+
+    ROOM = 1 << 19
+    LONGEST = 64
+
+    def __missing__(self, word: bytes) -> int:
+        got = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"tessera-word").digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.ROOM:
+                self.clear()
+            self[word] = got
+        return got
+
+
 def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 with links x-y, the least node of each node's component."""
     lab = np.arange(n)
