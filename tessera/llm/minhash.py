@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, discard, durable, small_batches
-from tessera.llm.hashing import Spans, mix, roots
+from tessera.llm.common import components, discard, durable, fresh, join_counted, numbered, runs, small_batches, tasks
+from tessera.llm.hashing import WordDigests, digest, mix, roots
 
 COORDINATES = 64
 WORDS = 5
@@ -40,34 +40,28 @@ def agreement(percent: int) -> int:
     return max(1, math.floor(COORDINATES * p - 5 * math.sqrt(COORDINATES * p * (1 - p))))
 
 
+_WORD = WordDigests()
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
     A-Z become a-z; words are runs without space and bytes 9-13; a shingle is five words; with one to four words the
-    whole sequence is the only shingle; without words the set is empty.
+    whole sequence is the only shingle; without words the set is empty. A shingle is the sum of its words' digests, each
+    times an odd number for its place.
     """
-    if not texts:
-        return []
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    upper = (data >= 65) & (data <= 90)
-    data = np.where(upper, data + 32, data).astype(np.uint8)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    turn = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
-    start, end = turn[::2], turn[1::2]
-    word = Spans(data).of(start, end)
-    edge = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    first = np.searchsorted(start, edge)
     out = []
-    five = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
-        five += word[k : k + len(five)] * _PLACE[k]
-    five = mix(five)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        n = b - a
+    for t in texts:
+        words = t.lower().split()  # of bytes: A-Z only, and just the white space named above
+        n = len(words)
+        word = np.fromiter(map(_WORD.__getitem__, words), np.uint64, n)
         if n >= WORDS:
-            out.append(np.unique(five[a : b - WORDS + 1]))
+            five = word[: n - WORDS + 1] * _PLACE[0]
+            for k in range(1, WORDS):
+                five += word[k : k + len(five)] * _PLACE[k]
+            out.append(np.unique(mix(five)))
         elif n:
-            whole = (int((word[a:b] * _PLACE[:n]).sum(dtype=np.uint64)) + int(n) * 0xA0761D6478BD642F) % (1 << 64)
+            whole = (int((word * _PLACE[:n]).sum(dtype=np.uint64)) + n * 0xA0761D6478BD642F) % (1 << 64)
             out.append(mix(np.array([whole], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -100,7 +94,7 @@ def sketches(docs: DataFrame, prefix: int) -> DataFrame:
                 pairs = (sig[:, :prefix] | (np.arange(prefix, dtype=np.uint64) << np.uint64(32))).astype(np.int64)
                 for i, p, row in zip(some, pairs.tolist(), (sig & np.uint64(255)).astype(np.uint8), strict=True):
                     s = sets[i]
-                    keys[i] = np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64).tobytes()
+                    keys[i] = digest(s.tobytes())
                     posts[i], low[i] = p, row.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "set_key", "prefix", "sketch"])
 
@@ -133,27 +127,6 @@ def _links(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, n
     return ids[far], ids[root[far]]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The runs of equal leading columns in sorted batches. A run is bounded by two blocks."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [np.asarray(b.column(i)) for i in range(keys)]
-        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        edges = [0, *cut.tolist(), b.num_rows]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            now = tuple(c[lo] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _sides(t: pa.Table) -> tuple[dict, dict | None]:
     """Members of a group's two blocks; the second None where the group is one block."""
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -176,19 +149,23 @@ def _dealt(rows: DataFrame, key: str, blocks) -> DataFrame:
     """rows with (i, j, block): each once for every pair of blocks of its group that holds its own."""
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    return rows.withColumn("block", block).withColumn("x", F.explode(pairs)).select(key, F.col("x.i").alias("i"), F.col("x.j").alias("j"), "block", *[c for c in rows.columns if c not in (key, "members", "weight")]).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return rows.withColumn("block", block).withColumn("x", F.explode(pairs)).select(key, F.col("x.i").alias("i"), F.col("x.j").alias("j"), "block", *[c for c in rows.columns if c not in (key, "members", "weight")]).repartition(tasks(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def candidate_links(reps: DataFrame, least: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect every pair of classes whose signatures agree in `least` coordinates."""
+    """Links (a, b) that connect every pair of classes whose signatures agree in `least` coordinates.
+
+    reps: a row for each class, of distinct ids, with n_shingles, prefix and sketch; other columns are ignored, a class
+    has words; an empty table gives an empty result.
+    """
     posted = durable(reps.select("id", F.explode("prefix").alias("pair")), "postings")
-    lists = posted.groupBy("pair").agg(F.count("*").alias("members")).filter("members > 1")
-    rows = posted.join(lists, "pair").join(reps.select("id", F.col("n_shingles").alias("n"), "sketch"), "id")
+    lists = durable(posted.groupBy("pair").agg(F.count("*").alias("members")).filter("members > 1"), "lists")
+    rows = join_counted(posted, lists.withColumn("shared", F.lit(True)), ["pair"], "members", posted.count()).drop("shared").join(reps.select("id", F.col("n_shingles").alias("n"), "sketch"), "id")
     dealt = _dealt(rows, "pair", F.ceil(F.col("members") / BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for t in _groups(batches, 3):
+        for t in runs(batches, 3):
             one, two = _sides(t)
             if not len(one["id"]) or (two is not None and not len(two["id"])):
                 continue
@@ -202,8 +179,8 @@ def candidate_links(reps: DataFrame, least: int, percent: int) -> DataFrame:
                 a, b = [], []
         yield _emit(a, b)
 
-    links = durable(dealt.mapInArrow(run, "a long, b long"), "candidates")
-    discard(posted)
+    links = durable(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
+    discard(posted, lists)
     return links
 
 
@@ -235,10 +212,13 @@ def _similar(one: dict, two: dict | None, x: np.ndarray, y: np.ndarray, percent:
 
 
 def confirmed_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, least: int, percent: int) -> DataFrame:
-    """Links that connect every similar pair of classes within the candidate components (id, component)."""
+    """Links that connect every similar pair of classes within the candidate components (id, component).
+
+    docs holds the text of every id of reps; rows and columns beyond are ignored. Empty clusters give an empty result.
+    """
     sized = clusters.join(reps.select("id", F.col("n_shingles").alias("n"), "sketch", "set_key"), "id")
     sizes = sized.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
-    wanted = sized.join(sizes, "component").select(F.col("id"), F.col("component").alias("cluster"), "n", "sketch", "members", "weight")
+    wanted = join_counted(sized, sizes, ["component"], "members", clusters.count()).select(F.col("id"), F.col("component").alias("cluster"), "n", "sketch", "members", "weight")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "cluster", "n", "sketch", "members", "weight", "text")
 
@@ -252,7 +232,7 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for t in _groups(batches, 3):
+        for t in runs(batches, 3):
             one, two = _sides(t)
             if not len(one["id"]) or (two is not None and not len(two["id"])):
                 continue
@@ -272,42 +252,74 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, least
     return durable(dealt.mapInArrow(run, "a long, b long"), "confirmed")
 
 
+def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id long, distinct and not null; text): tables (doc_id, n_shingles, set_key) and (set_key, root, n).
+
+    The second has a row for each distinct set that is not empty: the smallest doc_id reachable, and how many rows have it.
+    """
+    least = agreement(percent)
+    own = durable(sketches(rows, COORDINATES - least + 1), "sketches")
+    reps = durable(own.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    maybe = candidate_links(reps, least, percent)
+    clusters = durable(components(maybe), "clusters")
+    links = confirmed_links(rows, reps, clusters, least, percent)
+    found = components(links).withColumnRenamed("component", "root")
+    named = durable(reps.join(found, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"), "n"), "named")
+    discard(reps, maybe, clusters, links)
+    return own, named
+
+
+def _rooted(own: DataFrame, named: DataFrame) -> DataFrame:
+    """own with root, null where the set is empty; a very common set does not gather in one task."""
+    total, own = own.count(), own.select("doc_id", "n_shingles", "set_key")
+    some = join_counted(own.filter("set_key is not null"), named, ["set_key"], "n", total).drop("n")
+    return some.unionByName(own.filter("set_key is null").withColumn("root", F.lit(None).cast("long")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
     Documents link where 100 * common >= percent * united distinct shingles; component_id is the smallest doc_id
     reachable, the document's own included; kept says that it is the document's own. A pair that reaches the threshold
     is missed only if its signatures agree in fewer than agreement(percent) of the coordinates, about once in a
-    million at the threshold itself and less above it.
-    Null and empty texts have no shingles and link with nothing. Repeated rows get equal results. Rows with a null
-    doc_id are linked with nothing: component_id null, kept true. Other columns are ignored; an empty table gives an
-    empty result.
+    million at the threshold itself and less above it. Two different shingles count as one with a chance of 2 ** -64.
+    Null and empty texts have no shingles and link with nothing. Every row is judged by its own text: repeated rows get
+    equal results, and an id repeated with different texts has a row, and may have a component, for each. Rows with a
+    null doc_id are linked with nothing: component_id null, kept true. Other columns are ignored; an empty table gives
+    an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    least = agreement(percent)
-    own = durable(sketches(docs, COORDINATES - least + 1), "sketches")
-    reps = durable(own.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
-    maybe = candidate_links(reps, least, percent)
-    clusters = durable(components(maybe), "clusters")
-    links = confirmed_links(docs, reps, clusters, least, percent)
-    found = components(links).withColumnRenamed("component", "root")
-    named = reps.join(found, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
-    out = own.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    small_batches(docs.sparkSession)
+    known = docs.filter("doc_id is not null").select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, plain = numbered(known, "rid")
+    own, named = _classes(rows.select(F.col("rid").alias("doc_id"), "text"), percent)
+    if plain:
+        out = _rooted(own, named).select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    else:  # numbers ascend with ids, so the least number is of the least id
+        ids = rows.select(F.col("rid").alias("root"), F.col("doc_id").cast("long").alias("component_id"))
+        roots_ = named.groupBy("root").agg(F.count("*").alias("classes")).join(ids, "root")
+        by_id = join_counted(named, roots_, ["root"], "classes", named.count()).select("set_key", F.col("component_id").alias("root"), "n")
+        found = _rooted(own, by_id).withColumnRenamed("root", "component_id")
+        named_rows = rows.select("rid", F.col("doc_id").cast("long").alias("id")).join(found.withColumnRenamed("doc_id", "rid"), "rid")
+        out = named_rows.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    out = out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    unnamed = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bare = sketches(unnamed, 1).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(bare)
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id, once even where its row is repeated.
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, of repeated rows any one.
 
-    Rows with a null doc_id stay as they are. Columns are those of docs.
+    Every row is judged by its own text, so an id repeated with different texts keeps a row for each that has no
+    duplicate. Rows without words and rows with a null doc_id stay as they are. Columns are those of docs, whatever
+    their names; an empty table gives an empty result. Texts are shuffled once at most, by row number.
     """
-    found = near_duplicates(docs, percent)
-    gone = durable(found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if twice.isEmpty():
-        return left
-    single = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return single.unionByName(left.filter("doc_id is null"))
+    small_batches(docs.sparkSession)
+    rid = fresh(docs.columns, "rid")
+    rows, _ = numbered(docs.filter("doc_id is not null"), rid)
+    own, named = _classes(rows.select(F.col(rid).alias("doc_id"), F.col("text").cast("string").alias("text")), percent)
+    gone = fresh([*docs.columns, rid], "gone")
+    out = durable(_rooted(own, named).filter("root != doc_id").select(F.col("doc_id").alias(gone)), "gone")
+    discard(own, named)
+    left = rows.join(out.hint("shuffle_hash"), F.col(rid) == F.col(gone), "left_anti").drop(rid)
+    return left.unionByName(docs.filter("doc_id is null"))
