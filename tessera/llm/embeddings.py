@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, durable, ship
+from tessera.llm.common import components, discard, durable, join_counted, runs, small_batches, tasks
 from tessera.llm.hashing import roots
 
 AXES = 4
 #: Vectors of the bounded sample that the principal axes are taken from; they order the join and change no result.
 AXES_SAMPLE = 20_000
-STRETCH = 4096  # vectors of one row, joined within a task
+STRETCH_BYTES = 2 << 20  # of the vectors of one row, joined within a task
+BLOCK = 8  # stretches of a block; two blocks meet in one task, so a stretch is sent once for each block it meets
 LEAF = 512
 FAN = 8  # intervals in an interval of the next level
 
@@ -65,11 +66,13 @@ def _join(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, same: b
     return cat(xs), cat(ys)
 
 
-def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
-    """(a, b, w): for distinct vectors of one dimension, b null: a has w links more; else a and b are connected."""
+def _linked(reps: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, w): for distinct vectors of one dimension, b null: a has w links more; else a and b are connected.
+
+    Beside it, the written table it reads."""
     spark = reps.sparkSession
     eps = math.sqrt(max(0.0, 2 - 2 * least)) * (1 + 1e-9) + 1e-9
-    axes = min(AXES, dim)
+    axes, stretch = min(AXES, dim), max(64, min(4096, STRETCH_BYTES // (8 * dim)))
     sample = np.array([r[0] for r in reps.orderBy(F.xxhash64("id")).limit(AXES_SAMPLE).select("embedding").collect()], float)
     _, v = np.linalg.eigh(np.cov(_unit(sample).T.reshape(dim, -1)) if len(sample) > 1 else np.eye(dim))
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(v[:, ::-1][:, :axes]))  # dim x 4 numbers
@@ -107,10 +110,10 @@ def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
         for b in batches:
             held.append(b)
             have += b.num_rows
-            while have >= STRETCH:
+            while have >= stretch:
                 t = pa.Table.from_batches(held)
-                yield out(t.slice(0, STRETCH))
-                held, have = t.slice(STRETCH).to_batches(), have - STRETCH
+                yield out(t.slice(0, stretch))
+                held, have = t.slice(stretch).to_batches(), have - stretch
         if have:
             yield out(pa.Table.from_batches(held))
 
@@ -133,28 +136,38 @@ def _linked(reps: DataFrame, dim: int, least: float) -> DataFrame:
         kid = level.withColumn("up", F.floor(F.col("node") / FAN))
         side = lambda s: kid.select(F.col("up").alias(f"{s}_up"), F.col("node").alias(f"{s}_node"), *[F.col(c).alias(f"{s}_{c}") for c in box])  # noqa: B023, E731
         pairs = pairs.join(side("a"), F.col("a") == F.col("a_up")).join(side("b"), F.col("b") == F.col("b_up")).filter((F.col("a_node") <= F.col("b_node")) & ~_box_apart(axes, eps)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    data = numbered.select("node", "ids", "ns", "xs")
-    named = lambda s: data.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "ns", "xs")])
-    joined = pairs.join(named("a"), "a").join(named("b"), "b").repartition("a", "b")
+    # a pair of blocks gets each of its stretches once, however many pairs of stretches are left in it
+    met = pairs.withColumn("i", F.floor(F.col("a") / BLOCK)).withColumn("j", F.floor(F.col("b") / BLOCK))
+    need = met.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    data = need.join(numbered.select("node", "ids", "ns", "xs"), "node").select("i", "j", "node", "ids", "ns", "xs")
+    data = data.repartition(tasks(spark), "i", "j").sortWithinPartitions("i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                same = r["a"] == r["b"]
-                (xa, xb) = (_unit(np.frombuffer(r[k], float).reshape(-1, dim)) for k in ("a_xs", "b_xs"))
-                ids = np.concatenate([np.frombuffer(r[k], np.int64) for k in (("a_ids",) if same else ("a_ids", "b_ids"))])
-                ns = np.concatenate([np.frombuffer(r[k], np.int64) for k in (("a_ns",) if same else ("a_ns", "b_ns"))])
-                x, y = _join(xa, xa @ shared.value, xb, xb @ shared.value, same, eps, least)
-                y = y if same else y + len(xa)
-                w = np.bincount(x, ns[y], len(ids)) + np.bincount(y, ns[x], len(ids))
-                some = np.flatnonzero(w)
-                root = roots(len(ids), x, y)
-                far = np.flatnonzero(root != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((ids[some], ids[far]))), pa.array([*([None] * len(some)), *ids[root[far]].tolist()], pa.int64()), pa.array(np.concatenate((w[some], np.zeros(len(far)))).astype(np.int64))], ["a", "b", "w"]
-                )
-
-    return joined.mapInArrow(run, "a long, b long, w long")
+        for t in runs(batches, 2):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            part = {}
+            for r in t.select(["node", "ids", "ns", "xs"]).to_pylist():
+                x = _unit(np.frombuffer(r["xs"], float).reshape(-1, dim))
+                part[r["node"]] = (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64), x, x @ shared.value)
+            at = dict(zip(part, np.cumsum([0, *(len(v[0]) for v in part.values())]), strict=False))
+            ids, ns = (np.concatenate([v[k] for v in part.values()]) for k in (0, 1))
+            xs, ys = [], []
+            for p in part:
+                for q in part:
+                    if p <= q and p // BLOCK == i and q // BLOCK == j:
+                        x, y = _join(part[p][2], part[p][3], part[q][2], part[q][3], p == q, eps, least)
+                        xs.append(x + at[p])
+                        ys.append(y + at[q])
+            x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+            w = np.bincount(x, ns[y], len(ids)) + np.bincount(y, ns[x], len(ids))
+            some = np.flatnonzero(w)
+            root = roots(len(ids), x, y)
+            far = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((ids[some], ids[far]))), pa.array([*([None] * len(some)), *ids[root[far]].tolist()], pa.int64()), pa.array(np.concatenate((w[some], np.zeros(len(far)))).astype(np.int64))], ["a", "b", "w"]
+            )
+
+    return data.mapInArrow(run, "a long, b long, w long"), rows
 
 
 def _lengths(reps: DataFrame) -> list[int]:
@@ -173,9 +186,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    small_batches(spark)
     x = F.transform("embedding", lambda c: c.cast("double"))
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
     big = F.array_max(F.transform("embedding", F.abs))
@@ -184,15 +195,23 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     # in range for the sums of squares, however large or small the components are
     scaled = reps.withColumn("embedding", F.transform("embedding", lambda c: c / F.array_max(F.transform("embedding", F.abs))))
     found = spark.createDataFrame([], "a long, b long, w long")
+    used: list[DataFrame] = []
     for i, d in enumerate(_lengths(reps)):
-        # ends the lineage now and then, so that many lengths do not make one plan
-        found = durable(found, "vector-links") if i % 50 == 49 else found
-        found = found.unionByName(_linked(scaled.filter(F.col("dim") == d), d, least))
+        if i % 50 == 49:  # ends the lineage now and then, so that many lengths do not make one plan
+            found, old = durable(found, "vector-links"), [*used, found]
+            discard(*old)
+            used = [found]
+        links, rows = _linked(scaled.filter(F.col("dim") == d), d, least)
+        found = found.unionByName(links)
+        used.append(rows)
     found = durable(found, "vector-links")
+    discard(*used)
     degree = found.filter("b is null").groupBy(F.col("a").alias("d_id")).agg(F.sum("w").alias("w"))
     comp = components(found.filter("b is not null").select("a", "b")).select(F.col("id").alias("c_id"), F.col("component"))
     named = reps.join(degree, F.col("id") == F.col("d_id"), "left").join(comp, F.col("id") == F.col("c_id"), "left")
-    named = named.select(F.col("embedding").alias("rep_embedding"), (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))
-    out = own.withColumn("fine", fine).join(named, F.col("fine") & (F.col("embedding") == F.col("rep_embedding")), "left")
+    named = durable(named.select("embedding", "n", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("root")), "vector-names")
+    discard(reps, found)
+    bare = own.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
+    out = join_counted(own.filter(fine), named, ["embedding"], "n", vectors.count()).select("vec_id", "n_links", "root").unionByName(bare)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
