@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +35,11 @@ def _spells(sizes: list[int]) -> Iterator[slice]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's padded bytes as a progressive JPEG file."""
+    """(doc_id, n_bytes, media): each text's padded bytes as a progressive JPEG file.
+
+    Null text counts as empty. Repeated rows keep a row each; other columns are ignored; an empty table gives an empty
+    result.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,22 +60,27 @@ def _read(files: list[bytes]) -> list[tuple[jpeg.Image, list[np.ndarray], np.nda
     return list(zip(images, planes, jpeg.rgb_all(images, planes), strict=True))
 
 
-def tensors(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with height, width and rgb (binary, height x width x 3 bytes) of each file; null files give nulls."""
+def tensors(media: DataFrame, column: str = "media", payload: bool = False) -> DataFrame:
+    """media with height, width and rgb (binary, height x width x 3 bytes) of each file, and the payload read back if asked.
+
+    Null files give nulls; any file that is not progressive JPEG raises. Columns of these names are replaced, others
+    pass through; repeated rows keep a row each; an empty table gives an empty result. Row-wise, without a shuffle.
+    """
     small_batches(media.sparkSession)
-    kept = media.drop("height", "width", "rgb")
+    kept = media.drop("height", "width", "rgb", *(["payload"] if payload else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column(b.schema.names.index(column)).to_pylist()
             for part in _spells([len(f or b"") for f in files]):
                 got = iter(_read([f for f in files[part] if f is not None]))
-                pics = [None if f is None else next(got)[2] for f in files[part]]
-                size = lambda i: pa.array([None if p is None else p.shape[i] for p in pics], pa.int32())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*(c[part.start : part.stop] for c in b.columns), size(0), size(1), pa.array([None if p is None else p.tobytes() for p in pics], pa.binary())], [*b.schema.names, "height", "width", "rgb"])
+                seen = [None if f is None else next(got) for f in files[part]]
+                size = lambda i: pa.array([None if x is None else x[2].shape[i] for x in seen], pa.int32())  # noqa: B023, E731
+                more = [pa.array([None if x is None else jpeg.payload(x[0], x[1]) for x in seen], pa.binary())] if payload else []
+                yield pa.RecordBatch.from_arrays([*(c[part.start : part.stop] for c in b.columns), size(0), size(1), pa.array([None if x is None else x[2].tobytes() for x in seen], pa.binary()), *more], [*b.schema.names, "height", "width", "rgb", *(["payload"] if payload else [])])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, height int, width int, rgb binary")
+    return kept.mapInArrow(run, f"{fields}, height int, width int, rgb binary" + (", payload binary" if payload else ""))
 
 
 def feature(picture: np.ndarray) -> str:
@@ -88,23 +95,21 @@ def feature(picture: np.ndarray) -> str:
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every document.
 
-    Everything after n_bytes is of the stored file read back. Null text counts as empty: one unit of padding. Equal
-    texts give equal values; repeated rows and ids keep a row each; other columns are ignored; an empty table gives an
-    empty result. Row-wise, without a shuffle; memory follows the longest text.
+    Everything after n_bytes is of the stored file read back; feature is of the tensor stored in the row. Null text
+    counts as empty: one unit of padding. Equal texts give equal values; repeated rows and ids keep a row each; other
+    columns are ignored; an empty table gives an empty result. Row-wise, without a shuffle; memory follows the longest
+    text.
     """
-    media = store(docs)
+    read = tensors(store(docs), payload=True)
+    sums = read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "height", "width", "rgb",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = b.column(2).to_pylist()
-            cols: list[list] = [[] for _ in range(6)]
-            for part in _spells([len(f) for f in files]):
-                for f, (img, planes, pic) in zip(files[part], _read(files[part]), strict=True):
-                    raw = jpeg.payload(img, planes)
-                    for c, v in zip(cols, (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature(pic)), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            pics = zip(*(b.column(i).to_pylist() for i in (7, 8, 9)), strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array([feature(np.frombuffer(x, np.uint8).reshape(h, w, 3)) for h, w, x in pics], pa.string())], [*b.schema.names[:7], "feature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return sums.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
