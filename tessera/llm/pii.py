@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import discard, durable, fresh
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _SPAN = "array<struct<k:int,s:int,e:int,t:string,c:string>>"
@@ -29,10 +29,12 @@ _KEY = r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,})$"
 
 
 def _located(text: Column, pattern: str, kind: int, wanted) -> Column:
-    """Spans of the matches of pattern that are wanted, from the lengths of the pieces between them and of themselves."""
+    """Spans of the matches of pattern that are wanted, from the lengths of the pieces between them and of themselves.
+
+    c is the context of a match in the piece before it, which reaches back to the match before or to the start."""
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("g"), F.substring(g, -48, 48).alias("c"), h.alias("h"), F.char_length(h).alias("n")))
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("g"), _context(g).alias("c"), h.alias("h"), F.char_length(h).alias("n")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, x):
@@ -67,7 +69,7 @@ def _phone_ok(x: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Base spans, by start and then kind: (k, s, e, t, c) with the matched string and up to 48 characters before it."""
+    """Base spans, by start and then kind: (k, s, e, t, c) with the matched string and its context."""
     none = F.array().cast(_SPAN)
     return F.array_sort(
         F.concat(
@@ -81,10 +83,14 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(before: Column) -> Column:
-    """The lexical pattern of what stands before a string: its last word and the marks after that; null without a word."""
-    word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
-    marks = F.regexp_replace(F.regexp_extract(before, r"\p{L}+([^\p{L}]*)$", 1), r"\s+", "")
-    return F.when(F.char_length(word) > 0, F.concat_ws("|", word, F.substring(marks, 1, 8)))
+    """The lexical pattern of what stands before a string: its last word and the marks after that, whole; null without a word.
+
+    Read from the end backwards, so that it costs what it takes and no more, however long the piece is.
+    """
+    back = F.reverse(before)
+    word = F.lower(F.reverse(F.regexp_extract(back, r"^[^\p{L}]*+(\p{L}++)", 1)))
+    marks = F.regexp_replace(F.reverse(F.regexp_extract(back, r"^([^\p{L}]*+)\p{L}", 1)), r"\s+", "")
+    return F.when(F.char_length(word) > 0, F.concat_ws("|", word, marks))
 
 
 def _shape(string: Column) -> Column:
@@ -115,16 +121,20 @@ def trusted_patterns(seen: DataFrame, rounds: int = 2, least: float = 0.8, suppo
             for c, level in zip(("context", "pattern"), levels, strict=True):
                 near = near.join(level.filter("sures > 0").drop("sures"), F.col(c) == F.col(f"by_{c}"), "left")
             far = near.withColumn("score", F.greatest("context_score", "pattern_score")).filter("score is not null").groupBy("string").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("far"))
-            trust = durable(sure.join(far, "string", "left").select("context", "pattern", "string", "sure", F.when(F.col("sure"), 1.0).otherwise(F.coalesce("far", F.lit(0.0))).alias("trust")), "pii-trust")
+            old, trust = trust, durable(sure.join(far, "string", "left").select("context", "pattern", "string", "sure", F.when(F.col("sure"), 1.0).otherwise(F.coalesce("far", F.lit(0.0))).alias("trust")), "pii-trust")
+            discard(old)
         # a context ends in marks and a pattern in the name of a shape, so the two cannot be confused
         context, pattern = [x.filter((F.col(f"{c}_score") >= least) & (F.col("sures") >= support)).select(F.col(f"by_{c}").alias("pattern")) for c, x in zip(("context", "pattern"), levels, strict=True)]
         good = durable(context.unionByName(pattern), "pii-good")
+        discard(trust)
         n = good.count()
         if n == known:
+            discard(edges, sure)
             return good
         known = n
         accepted = _marked(edges, good).filter("good").select("string").distinct().withColumn("accepted", F.lit(True))
-        sure = durable(edges.join(accepted, "string", "left").select("context", "pattern", "string", (F.col("seed") | F.col("accepted").isNotNull()).alias("sure")), "pii-sure")
+        old, sure = sure, durable(edges.join(accepted, "string", "left").select("context", "pattern", "string", (F.col("seed") | F.col("accepted").isNotNull()).alias("sure")), "pii-sure")
+        discard(old, good)
 
 
 def _marked(x: DataFrame, good: DataFrame) -> DataFrame:
@@ -135,7 +145,7 @@ def _marked(x: DataFrame, good: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, **graph) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key (md5 of the text), base and spans.
+    """One row for each row of docs: doc_id, text_key (sha256 of the text), base and spans.
 
     base and spans are arrays of (k, s, e): index into KINDS, start and end in code points, end exclusive, by start
     and then kind; spans holds base and what the bootstrap adds (kind id: key-shaped seeds, and strings that a trusted
@@ -144,18 +154,22 @@ def find(docs: DataFrame, **graph) -> DataFrame:
     result. Texts are read once; what is shuffled are spans and contexts only.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.md5(text.cast("binary")).alias("text_key"), text.alias("t")).select(
+    rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_key"), text.alias("t")).select(
         "doc_id", "text_key", base_spans(F.col("t")).alias("base"), F.when(F.rlike("t", F.lit("[0-9]")), _located(F.col("t"), _TOKEN, 4, lambda h: F.lit(True))).otherwise(F.array().cast(_SPAN)).alias("maybe")
     )
     clear = F.filter("maybe", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     rows = durable(rows.withColumn("maybe", clear), "pii-rows")
     once = rows.filter((F.size("base") > 0) | (F.size("maybe") > 0)).groupBy("text_key").agg(F.first("base").alias("base"), F.first("maybe").alias("maybe"))
-    seen = once.select("text_key", F.explode(F.concat("base", "maybe")).alias("x")).select("text_key", "x.k", "x.s", "x.e", F.col("x.t").alias("string"), _context(F.col("x.c")).alias("context"), ((F.col("x.k") < 4) | F.rlike("x.t", F.lit(_KEY))).alias("seed"))
+    seen = once.select("text_key", F.explode(F.concat("base", "maybe")).alias("x")).select("text_key", "x.k", "x.s", "x.e", F.col("x.t").alias("string"), F.col("x.c").alias("context"), ((F.col("x.k") < 4) | F.rlike("x.t", F.lit(_KEY))).alias("seed"))
     seen = durable(seen.withColumn("pattern", F.concat_ws("|", "context", F.when(F.col("context").isNotNull(), _shape(F.col("string"))))), "pii-seen")
-    added = _marked(seen.filter("k = 4"), trusted_patterns(seen, **graph)).filter("seed or good").groupBy("text_key").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
+    good = trusted_patterns(seen, **graph)
+    added = _marked(seen.filter("k = 4"), good).filter("seed or good").groupBy("text_key").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     order = lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"])
-    return rows.select("doc_id", "text_key", bare(F.col("base")).alias("base")).join(added, "text_key", "left").select("doc_id", "text_key", "base", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")), order).alias("spans"))
+    out = rows.select("doc_id", "text_key", bare(F.col("base")).alias("base")).join(added, "text_key", "left").select("doc_id", "text_key", "base", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")), order).alias("spans"))
+    out = durable(out, "pii-found")
+    discard(rows, seen, good)
+    return out
 
 
 def joined(spans: Column) -> Column:
@@ -174,18 +188,20 @@ def report(docs: DataFrame, **graph) -> DataFrame:
 def redact(docs: DataFrame, **graph) -> DataFrame:
     """docs with each found span replaced by its kind in brackets (n_chars follows, where docs has it); rows and other columns stay.
 
-    Overlapping spans become one replacement named for the first. Null texts stay null.
+    Overlapping spans become one replacement named for the first. Null texts stay null, empty ones empty; repeated rows
+    and ids keep a row each; columns may have any names; an empty table gives an empty result.
     """
-    found = find(docs, **graph).filter(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("pii_spans")).withColumnRenamed("text_key", "pii_key")
+    key, spans = (fresh(docs.columns, f"pii_{c}") for c in ("key", "spans"))
+    found = find(docs, **graph).filter(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias(spans)).withColumnRenamed("text_key", key)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.element_at(names, x["k"] + 1))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
+        new = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.element_at(names, x["k"] + 1))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
 
-    done = F.aggregate("pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    out = docs.withColumn("pii_key", F.md5(F.col("text").cast("binary"))).join(found, "pii_key", "left").withColumn("text", F.when(F.col("pii_spans").isNull(), F.col("text")).otherwise(done))
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    out = docs.withColumn(key, F.sha2(F.col("text").cast("binary"), 256)).join(found, key, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(done))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("pii_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
