@@ -3,7 +3,8 @@
 A byte goes if a string of SPAN bytes that covers it also starts anywhere else. Suffixes are kept only where every such
 string must hold one: at anchors, the positions whose hash of GRAM bytes is the least of a window (so which one a string
 holds depends on its own bytes alone). Each map task is a shard that gives its anchors with hashes of what stands around
-them. Anchors that occur once are done with; so are those whose whole surroundings recur. The suffixes left, and the
+them. Anchors that occur once are done with; so are those whose whole surroundings recur, by a digest of 128 bits: no
+cheaper hash removes a byte. The suffixes left, and the
 reversed prefixes before them, are merged across shards by iterative interleave refinement: all suffixes of an anchor
 start as one interval, each round splits the intervals that still have company by the next eight bytes, and the round
 and byte where neighbours part is their common prefix. No suffix is compared again once it is alone. A string of SPAN
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, durable, small_batches
-from tessera.llm.hashing import Spans, mix
+from tessera.llm.common import discard, durable, join_counted, numbered, small_batches, tasks
+from tessera.llm.hashing import Spans, digest
 
 SPAN = 200
 GRAM = 32
@@ -51,43 +52,37 @@ def _least_in_windows(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, position, left, right, hash, context hash) of the anchors of texts.
+    """(text, position, left, right, hash, and two halves of a context digest) of the anchors of texts.
 
-    left and right: bytes at hand around the anchor, AROUND at most; the context hash is over all of them.
+    left and right: bytes at hand around the anchor, AROUND at most; the digest is over how many and all of them.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, np.uint8)
     size = np.array([len(t) for t in texts])
     end = np.cumsum(size)
     w = AROUND + 1
-    found, hashes, contexts = [], [], []
+    found, hashes = [], []
     for lo in range(0, max(0, len(data) - SPAN + 1), CHUNK):
         hi = min(len(data), lo + CHUNK + SPAN - 1)
-        # what stands before the chunk is needed for the context of its first anchors
-        off = max(0, lo - AROUND)
-        stop = min(len(data), hi + AROUND)
-        spans = Spans(data[off:stop])
-        at = np.arange(lo - off, hi - off - GRAM + 1)
-        h = spans.of(at, at + GRAM)
+        h = _gram_hashes(data[lo:hi])
         key = (h & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - np.arange(len(h), dtype=np.uint64))
         least = _least_in_windows(key, w)
         start = np.arange(lo, lo + len(least))
         inside = start + SPAN <= end[np.searchsorted(end, start, "right")]
         pos = np.unique(0xFFFFFF - (least[inside] & np.uint64(0xFFFFFF)).astype(np.int64))
         whole = pos + lo
-        doc = np.searchsorted(end, whole, "right")
-        left = np.minimum(whole - (end - size)[doc], AROUND)
-        right = np.minimum(end[doc] - whole - GRAM, AROUND)
         found.append(whole)
         hashes.append(h[pos])
-        contexts.append(mix(spans.of(whole - left - off, whole + GRAM + right - off) ^ left.astype(np.uint64)))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z, z
+        return z, z, z, z, z, z, z
     at = np.concatenate(found)
     at, first = np.unique(at, return_index=True)  # chunks overlap
     doc = np.searchsorted(end, at, "right")
-    begin = (end - size)[doc]
-    return doc, at - begin, np.minimum(at - begin, AROUND), np.minimum(end[doc] - at - GRAM, AROUND), np.concatenate(hashes)[first].view(np.int64), np.concatenate(contexts)[first].view(np.int64)
+    left, right = np.minimum(at - (end - size)[doc], AROUND), np.minimum(end[doc] - at - GRAM, AROUND)
+    sums = b"".join([digest(bytes((n,)) + raw[p - n : p + GRAM + r]) for p, n, r in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)])
+    context = np.frombuffer(sums, np.int64).reshape(-1, 2)
+    return doc, at - (end - size)[doc], left, right, np.concatenate(hashes)[first].view(np.int64), context[:, 0], context[:, 1]
 
 
 def interleave(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,42 +146,47 @@ def reach(group: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarr
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, ck, l, r, body, lk, rk): one context for each distinct surroundings of an anchor, with hashes of its halves."""
-    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("pos", "h", "ck", "l", "r")).alias("at"))
-    rows = texts.join(asked.hint("shuffle_hash"), "rid").select("text", "at")
+    """(h, rid, pos, l, r, body, lk, rk): surroundings of the wanted anchors, with hashes of their halves."""
+    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("pos", "h", "l", "r")).alias("at"))
+    rows = texts.join(asked.hint("shuffle_hash"), "rid").select("text", "rid", "at")
+    names = ("h", "rid", "pos", "l", "r", "body", "lk", "rk")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = lambda s: int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "ck", "l", "r", "body", "lk", "rk")}
-            for text, at in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: dict[str, list] = {k: [] for k in names}
+            for text, rid, at in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for x in at:
                     p, left, right = x["pos"], x["l"], x["r"]
-                    for k in ("h", "ck", "l", "r"):
-                        out[k].append(x[k])
-                    out["body"].append(bytes(AROUND - left) + text[p - left : p + GRAM + right] + bytes(AROUND - right))
-                    half = lambda s: int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
-                    out["lk"].append(half(text[p - HALF : p]) if left >= HALF else None)
-                    out["rk"].append(half(text[p + GRAM : p + GRAM + HALF]) if right >= HALF else None)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], list(out))
+                    body = bytes(AROUND - left) + text[p - left : p + GRAM + right] + bytes(AROUND - right)
+                    lk, rk = half(text[p - HALF : p]) if left >= HALF else None, half(text[p + GRAM : p + GRAM + HALF]) if right >= HALF else None
+                    for k, v in zip(names, (x["h"], rid, p, left, right, body, lk, rk), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(names))
 
-    return durable(rows.mapInArrow(run, "h long, ck long, l int, r int, body binary, lk long, rk long"), "repeat-contexts")
+    return durable(rows.mapInArrow(run, "h long, rid long, pos int, l int, r int, body binary, lk long, rk long"), "repeat-contexts")
 
 
 def _compared(ctx: DataFrame) -> DataFrame:
-    """(h, ck, ml, mr) of contexts that share a string of SPAN bytes with another context of their anchor."""
+    """(rid, pos, ml, mr) of contexts that share a string of SPAN bytes with another context of their anchor.
+
+    Groups of up to MERGED suffixes are merged in a task; larger ones are spread, each string of SPAN bytes by its
+    digest. Both find the same strings.
+    """
     # a string has half of AROUND bytes or more on one side: only contexts that share that half need to meet
     half = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lk").alias("half")), F.struct(F.lit(1).alias("side"), F.col("rk").alias("half"))))
-    keyed = ctx.withColumn("x", half).filter("x.half is not null").select("h", "ck", "l", "r", F.col("x.side").alias("side"), F.col("x.half").alias("half"), "body")
-    sizes = keyed.groupBy("h", "side", "half").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(sizes, ["h", "side", "half"])
-    few = rows.filter(F.col("n") <= MERGED).repartition("h", "side", "half").sortWithinPartitions("h", "side", "half")
+    keyed = ctx.withColumn("x", half).filter("x.half is not null").select("h", "rid", "pos", "l", "r", F.col("x.side").alias("side"), F.col("x.half").alias("half"), "body")
+    sizes = keyed.groupBy("h", "side", "half").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True))
+    rows = join_counted(keyed, sizes, ["h", "side", "half"], "n", 2 * ctx.count()).drop("shared")
+    few = rows.filter(F.col("n") <= MERGED).repartition(tasks(ctx.sparkSession), "h", "side", "half").sortWithinPartitions("h", "side", "half")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         have = 0
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            h, ck, side, half = (np.asarray(t.column(c)) for c in ("h", "ck", "side", "half"))
+            h, rid, pos, side, half = (np.asarray(t.column(c)) for c in ("h", "rid", "pos", "side", "half"))
             left, right = np.asarray(t.column("l")), np.asarray(t.column("r"))
             rows = np.frombuffer(b"".join(t.column("body").to_pylist()), np.uint8).reshape(len(h), -1)
             step = (h[1:] != h[:-1]) | (side[1:] != side[:-1]) | (half[1:] != half[:-1])
@@ -198,9 +198,9 @@ def _compared(ctx: DataFrame) -> DataFrame:
                     continue
                 a, b = reach(group[own], left[own], right[own], rows[own], rights)
                 hit = a >= 0
-                for g, v in zip(got, (h[own][hit], ck[own][hit], a[hit], b[hit]), strict=True):
+                for g, v in zip(got, (rid[own][hit], pos[own][hit], a[hit], b[hit]), strict=True):
                     g.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(g) if g else np.zeros(0), k) for g, k in zip(got, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "ck", "ml", "mr"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(g) if g else np.zeros(0), k) for g, k in zip(got, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["rid", "pos", "ml", "mr"])
 
         for b in batches:
             if not b.num_rows:
@@ -225,12 +225,16 @@ def _compared(ctx: DataFrame) -> DataFrame:
                 body = r["body"]
                 keys = [hashlib.blake2b(body[x : x + SPAN], digest_size=16).digest() for x in rights]
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([r["h"]] * n, pa.int64()), pa.array([r["ck"]] * n, pa.int64()), pa.array(list(rights), pa.int32()), pa.array(keys, pa.binary())], ["h", "ck", "right", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["h"]] * n, pa.int64()), pa.array([r["rid"]] * n, pa.int64()), pa.array([r["pos"]] * n, pa.int32()), pa.array(list(rights), pa.int32()), pa.array(keys, pa.binary())], ["h", "rid", "pos", "right", "string"])
 
-    many = rows.filter(F.col("n") > MERGED).select("h", "ck", "l", "r", "side", "body").mapInArrow(strings, "h long, ck long, right int, string binary").distinct()
-    often = many.groupBy("h", "right", "string").agg(F.count("*").alias("n")).filter("n > 1")
-    hot = many.join(often, ["h", "right", "string"]).select("h", "ck", (AROUND - F.col("right")).alias("ml"), F.col("right").alias("mr"))
-    return few.mapInArrow(merge, "h long, ck long, ml int, mr int").unionByName(hot).groupBy("h", "ck").agg(F.max("ml").alias("ml"), F.max("mr").alias("mr"))
+    many = rows.filter(F.col("n") > MERGED).select("h", "rid", "pos", "l", "r", "side", "body").mapInArrow(strings, "h long, rid long, pos int, right int, string binary").distinct()
+    many = durable(many, "repeat-strings")
+    often = many.groupBy("h", "right", "string").agg(F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True))
+    hot = join_counted(many, often, ["h", "right", "string"], "n", many.count()).select("rid", "pos", (AROUND - F.col("right")).alias("ml"), F.col("right").alias("mr"))
+    out = few.mapInArrow(merge, "rid long, pos int, ml int, mr int").unionByName(hot).groupBy("rid", "pos").agg(F.max("ml").alias("ml"), F.max("mr").alias("mr"))
+    out = durable(out, "repeat-compared")
+    discard(many)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -244,33 +248,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = kind in ("bigint", "int", "smallint", "tinyint")
-    if plain and texts.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
-        texts = texts.withColumn("rid", F.col("doc_id").cast("long"))
-    else:  # ids that do not tell rows apart are replaced by row numbers, fixed by writing them
-        texts = durable(texts.withColumn("rid", F.monotonically_increasing_id()), "repeat-rows")
+    texts, _ = numbered(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "rid")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid = np.asarray(b.column(0))
-            doc, pos, left, right, h, ck = anchors(b.column(1).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), pa.array(pos, pa.int32()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(h), pa.array(ck)], ["rid", "pos", "l", "r", "h", "ck"])
-
-    found = durable(texts.filter(F.octet_length("text") >= SPAN).select("rid", "text").mapInArrow(shard, "rid long, pos int, l int, r int, h long, ck long"), "repeat-anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("ck").alias("lo"), F.max("ck").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
-    # written first, so that a very common anchor is an even side of the join and its rows can be split
-    again = durable(found.join(durable(often, "repeat-often"), "h"), "repeat-again")
-    discard(found)
-    kinds = durable(again.filter("mixed").groupBy("h", "ck").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "l", "r")).alias("x")), "repeat-kinds")
-    ctx = _contexts(texts.select("rid", "text"), kinds.select("h", "ck", "x.*"))
-    # surroundings that recur as a whole need no company; the others have what they share
-    whole = F.struct(F.least("l", F.lit(AROUND)).alias("ml"), F.least("r", F.lit(AROUND)).alias("mr"))
-    once = kinds.filter("n = 1").select("h", "ck", F.lit(True).alias("once"))
-    mixed = again.filter("mixed").join(once, ["h", "ck"], "left").join(_compared(ctx), ["h", "ck"], "left").withColumn("m", F.when(F.col("once"), F.struct("ml", "mr")).otherwise(whole))
-    runs = again.filter("not mixed").withColumn("m", whole).select("rid", "pos", "m").unionByName(mixed.select("rid", "pos", "m")).filter("m.ml + m.mr >= " + str(AROUND))
-    cuts = runs.groupBy("rid").agg(F.collect_list(F.struct((F.col("pos") - F.col("m.ml")).alias("s"), (F.col("pos") + GRAM + F.col("m.mr")).alias("e"))).alias("cuts"))
+            doc, pos, left, right, h, ck, ck2 = anchors(b.column(1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), pa.array(pos, pa.int32()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(h), pa.array(ck), pa.array(ck2)], ["rid", "pos", "l", "r", "h", "ck", "ck2"])
+
+    found = durable(texts.filter(F.octet_length("text") >= SPAN).select("rid", "text").mapInArrow(shard, "rid long, pos int, l int, r int, h long, ck long, ck2 long"), "repeat-anchors")
+    both = [F.min(c).alias(f"lo_{c}") for c in ("ck", "ck2")] + [F.max(c).alias(f"hi_{c}") for c in ("ck", "ck2")]
+    often = found.groupBy("h").agg(F.count("*").alias("n"), *both).filter("n > 1").select("h", "n", ((F.col("lo_ck") != F.col("hi_ck")) | (F.col("lo_ck2") != F.col("hi_ck2"))).alias("mixed"))
+    often = durable(often, "repeat-often")
+    again = durable(join_counted(found, often, ["h"], "n", found.count()).drop("n"), "repeat-again")
+    discard(found, often)
+    kinds = durable(again.filter("mixed").groupBy("h", "ck", "ck2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "l", "r")).alias("x")).select("h", "n", "x.*"), "repeat-kinds")
+    ctx = _contexts(texts.select("rid", "text"), kinds)
+    shared = _compared(ctx)
+    # surroundings that recur as a whole need no company; the others, known by place, have what they share
+    whole = F.struct(F.col("l").alias("ml"), F.col("r").alias("mr"))
+    once = kinds.filter("n = 1").select("rid", "pos")
+    alone = once.join(shared, ["rid", "pos"]).select("rid", "pos", F.struct("ml", "mr").alias("m"))
+    repeated = again.filter("mixed").join(once, ["rid", "pos"], "left_anti").unionByName(again.filter("not mixed"))
+    cover = repeated.select("rid", "pos", whole.alias("m")).unionByName(alone).filter("m.ml + m.mr >= " + str(AROUND))
+    cuts = cover.groupBy("rid").agg(F.collect_list(F.struct((F.col("pos") - F.col("m.ml")).alias("s"), (F.col("pos") + GRAM + F.col("m.mr")).alias("e"))).alias("cuts"))
     cuts = durable(cuts, "repeat-cuts")
+    discard(again, kinds, ctx, shared)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
