@@ -56,9 +56,12 @@ def digest(data: bytes) -> bytes:
 
 
 class WordDigests(dict):
-    """64 bits of a word's BLAKE2b; short words are remembered, up to a bound."""
+    """64 bits of a word's BLAKE2b; short words are remembered, up to a bound.
 
-    ROOM = 1 << 19
+    Workers live on between stages, so the bound (about 6 MB) is what this costs all of them.
+    """
+
+    ROOM = 1 << 15
     LONGEST = 64
 
     def __missing__(self, word: bytes) -> int:
