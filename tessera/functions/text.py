@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Section patterns, in the order in which they are tried.
 SECTIONS = (
@@ -26,10 +30,16 @@ def normalize_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def normalize_quotes(x: Column) -> Column:
-    """Typographic quotes, dashes and spaces to plain ones, zero-width characters away."""
-    plain = F.translate(x, "‘’“”–—−   ", "''\"\"---   ")
-    return F.regexp_replace(plain, "[​‌‍﻿]", "")
+@F.pandas_udf(StringType())
+def composed(x: pd.Series) -> pd.Series:
+    """Canonical composition (NFC) of texts, for which there is no built-in."""
+    return x.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def normalize_unicode(x: Column) -> Column:
+    """NFC, typographic quotes, dashes, ellipses and spaces to plain ones, zero-width spaces away; null to the empty text."""
+    plain = F.translate(composed(F.coalesce(x, F.lit(""))), "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0\u2009\u200a\u202f\u200b", "''\"\"--    ")
+    return F.replace(plain, F.lit("\u2026"), F.lit("..."))
 
 
 def normalize_plain(x: Column) -> Column:
@@ -38,16 +48,56 @@ def normalize_plain(x: Column) -> Column:
 
 
 def dehyphenate(x: Column) -> Column:
-    """Join words that a hyphen and a line break part."""
-    return F.regexp_replace(x, r"([A-Za-z0-9_])-\n\s*([A-Za-z0-9_])", "$1$2")
+    """Join words that a hyphen and a line break part, first those without and then those with space after the break."""
+    for gap in (r"\n", r"\n\s+"):
+        x = F.regexp_replace(x, r"([\p{L}\p{N}_])-" + gap + r"([\p{L}\p{N}_])", "$1$2")
+    return x
+
+
+def paragraphs(x: Column) -> Column:
+    """Pieces between blank lines, trimmed, as they stand: empty ones are kept so that places can be counted."""
+    return F.transform(F.split(x, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
 
 
 def repair_linebreaks(x: Column) -> Column:
     """Paragraphs stay apart, single line breaks become spaces."""
-    parts = F.transform(F.split(x, r"\n\s*\n"), lambda p: normalize_space(p))
+    lines = F.regexp_replace(x, r"\r\n?", "\n")
+    parts = F.transform(F.split(lines, r"\n\s*\n"), lambda p: F.regexp_replace(F.regexp_replace(F.replace(p, F.lit("\n"), F.lit(" ")), r"[ \t]+", " "), r"^\s+|\s+$", ""))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
+def clean_page(x: Column) -> Column:
+    return repair_linebreaks(dehyphenate(normalize_unicode(x)))
+
+
+def clean_chunk(x: Column) -> Column:
+    """A retrieved chunk with hyphenated breaks joined, `n/m` page marks gone and single spaces."""
+    joined = F.regexp_replace(F.coalesce(x, F.lit("")), r"-\s*\n\s*", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"\b\d+\s*/\s*\d+\b", ""), r"\s+", " "))
+
+
+#: Steps that clean a retrieved chunk, in order. Captions and headings are looked for after lines were joined, so only
+#: at the start of the text and as the whole of it.
+MARKUP = (
+    (r"\[(?:RANK|PDF|PAGE)[^\]]*\]", ""),
+    (r"([A-Za-z0-9_])-\s+([A-Za-z0-9_])", "$1$2"),
+    (r"\s+", " "),
+    (r"https?://\S+", " "),
+    (r"\[\d+(?:\s*,\s*\d+)*\]", " "),
+    (r"^(?i:figure|table|fig\.?|tab\.?)\s*\d+[:.]", " "),
+    (r"^(?i:references|acknowledgments?|bibliography)\s*$", ""),
+    (r"\s+", " "),
+)
+
+
+def clean_markup(x: Column) -> Column:
+    """A retrieved chunk without markers, word breaks, addresses, citations, a caption at its start, or a heading of references."""
+    x = F.coalesce(x, F.lit(""))
+    for pattern, new in MARKUP:
+        x = F.regexp_replace(x, pattern, new)
+    return F.trim(x)
+
+
 def strip_controls(x: Column) -> Column:
     return F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
@@ -73,15 +123,42 @@ def section_hint(x: Column) -> Column:
     return out.otherwise("unknown")
 
 
+# Words whose full stop ends no sentence, wherever they stand, inside other words too; and the endings
+# after which a selected chunk's pieces are joined again.
+ABBREVIATIONS = "et al|i.e|e.g|cf|vs|Fig|Table|Tbl|Eq|Ref|Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|No|Vol|pp|ch|Ch|sec|Sec|approx|min|max|avg|std|U.S|U.K|E.U|al"
+ENDINGS = ("dr.", "mr.", "mrs.", "ms.", "ph.d.", "e.g.", "i.e.", "etc.", "vs.", "fig.", "eq.", "no.", "vol.", "pp.", "p.")
+#: Stands for a full stop that ends no sentence while sentences are cut.
+DOT = "\u0002"
+
+
 def split_sentences(x: Column) -> Column:
-    """Sentences: cut at white space after . ! or ? before a capital, quote or bracket; empty ones dropped."""
-    marked = F.regexp_replace(x, r"([.!?])\s+([A-Z\"(])", "$1" + SEPARATOR + "$2")
-    return F.filter(F.transform(F.split(marked, SEPARATOR), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences: cut at white space after . ! or ? before a capital, quote or bracket; empty ones dropped.
+
+    A full stop after an abbreviation or within a number ends nothing.
+    """
+    kept = F.regexp_replace(x, "(" + ABBREVIATIONS.replace(".", r"\.") + r")\.", "$1" + DOT)
+    kept = F.regexp_replace(kept, r"([0-9])\.([0-9])", "$1" + DOT + "$2")
+    marked = F.regexp_replace(kept, r"([.!?])\s+([A-Z\"(])", "$1" + SEPARATOR + "$2")
+    return F.filter(F.transform(F.split(marked, SEPARATOR), lambda s: F.trim(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
+
+
+def split_chunk(x: Column) -> Column:
+    """Sentences of a cleaned chunk: cut after every . ! or ?, and joined again after a piece that ends as an abbreviation does."""
+    pieces = F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return merge_abbreviations(pieces, list(ENDINGS))
+
+
+def split_bounded(x: Column, low: int = 4, high: int = 80) -> Column:
+    """Sentences of low to high words; longer ones are cut at semicolons, and their parts held to the same bounds."""
+    fits = lambda s: count_words(s).between(low, high)
+    pieces = F.transform(F.split(F.trim(x), r"(?<=[.!?])\s+(?=[A-Z\"(\[])"), lambda s: F.trim(s))
+    cut = lambda s: F.when(count_words(s) > high, F.filter(F.transform(F.split(s, ";"), lambda p: F.trim(p)), fits)).otherwise(F.array(s))
+    return F.flatten(F.transform(F.filter(pieces, lambda s: count_words(s) >= low), cut))
 
 
 def merge_abbreviations(sentences: Column, endings: list[str]) -> Column:
     """Join a sentence to the one before it where that ends with one of the endings."""
-    ends = lambda s: F.exists(F.array(*map(F.lit, endings)), lambda e: F.endswith(s, e))
+    ends = lambda s: F.rlike(s, F.lit("(?i)(?:" + "|".join(e.replace(".", r"\.") for e in endings) + ")$"))
     start = F.array().cast("array<string>")
 
     def step(acc, s):

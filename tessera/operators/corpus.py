@@ -8,16 +8,54 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
-def blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, block_id, block): lines as blocks, numbered as they stand, empty ones dropped, with section carried forward."""
-    raw = docs.select(key, F.posexplode(F.split("text", r"\n")).alias("block_id", "block")).filter(F.trim("block") != "")
-    own = T.section_hint(F.col("block"))
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than said; its rows must be of bounded size."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def repeated_edges(pages: DataFrame, paper: str, page: str, text: str) -> DataFrame:
+    """(paper, n_pages, edges): lines under 120 characters among the first and last three of at least half a paper's pages.
+
+    Three pages at least. A page gives six lines at most, so a paper has twelve such lines at most, whatever its length.
+    """
+    lines = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), lambda s: F.trim(s))
+    ends = F.concat(F.slice(lines, 1, 3), F.reverse(F.slice(F.reverse(lines), 1, 3)))
+    seen = pages.select(paper, page, F.explode(F.array_distinct(F.filter(ends, lambda s: (s != "") & (F.length(s) < 120)))).alias("line"))
+    n = pages.groupBy(paper).agg(F.count("*").alias("n_pages"))
+    often = seen.groupBy(paper, "line").agg(F.count("*").alias("c")).join(small(n), paper).filter((F.col("n_pages") >= 3) & (F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("n_pages") / 2))))
+    return n.join(often.groupBy(paper).agg(F.array_sort(F.collect_set("line")).alias("edges")), paper, "left").select(paper, "n_pages", F.coalesce("edges", F.array().cast("array<string>")).alias("edges"))
+
+
+def clean_pages(docs: DataFrame, paper: str = "source", page: str = "doc_id", text: str = "text") -> DataFrame:
+    """(paper, page, text): pages cleaned, with page numbers and the paper's repeated headers and footers taken out.
+
+    Lines are compared after single line breaks have become spaces, hence whole paragraphs.
+    """
+    pages = docs.select(paper, page, T.clean_page(F.col(text)).alias("text"))
+    edges = repeated_edges(pages, paper, page, "text")
+    keep = lambda s: ~F.rlike(F.trim(s), F.lit("^[0-9]+$")) & ~F.array_contains("edges", F.trim(s))
+    return pages.join(small(edges), paper).select(paper, page, F.array_join(F.filter(F.split("text", "\n"), keep), "\n").alias("text"))
+
+
+def blocks(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, block_id, block, n_words, section): paragraphs of clean pages, numbered as they stand, empty ones dropped.
+
+    A block's section is its own hint, or that of the last heading (a block under ten words with a hint) before it.
+    """
+    raw = pages.select(key, F.posexplode(T.paragraphs(F.col("text"))).alias("block_id", "block")).filter("block != ''")
+    raw = raw.withColumn("block", F.regexp_replace("block", r"[ \t]+", " ")).withColumn("own", T.section_hint(F.col("block"))).withColumn("n_words", T.count_words(F.col("block")))
     w = Window.partitionBy(key).orderBy("block_id").rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("own", own).withColumn("n_words", T.count_words(F.col("block")))
     carried = F.last(F.when((F.col("n_words") < 10) & (F.col("own") != "unknown"), F.col("own")), ignorenulls=True).over(w)
     return raw.withColumn("section", F.when(F.col("own") != "unknown", F.col("own")).otherwise(F.coalesce(carried, F.lit("unknown")))).drop("own")
 
 
+def retrieval_units(blocks_: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
+    """(key, block_id, sentence_id, sentence, n_words, section): sentences of `least` words or more, numbered within a page."""
+    cut = blocks_.select(key, "block_id", "section", F.posexplode(T.split_sentences(F.col("block"))).alias("i", "sentence")).withColumn("n_words", T.count_words(F.col("sentence"))).filter(F.col("n_words") >= least)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("block_id", "i")) - 1
+    return cut.select(key, "block_id", number.alias("sentence_id"), "sentence", "n_words", "section")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sent_id, sentence): sentences of the whole text, numbered from 0."""
     return docs.select(key, F.posexplode(T.split_sentences(F.col("text"))).alias("sent_id", "sentence"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import ordinal
+
 
 def per_label(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """(label, support, precision, recall, f1) of every label that occurs."""
@@ -35,30 +37,26 @@ def top_metrics(df: DataFrame, score: str, key: str, positive: str, cutoffs: tup
 
 
 def threshold_cells(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(threshold, tp, fp, fn) at each distinct score: rows with that score or more are called positive.
+    """(threshold, p, tp, fp, fn) at each distinct score: rows with that score or more are called positive, p have just that.
 
-    Counts come first, so the running sums go over distinct scores, not rows.
+    Counts come first, so the running sums go over distinct scores, not rows, and over ranges of them.
     """
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
-    run = by.select("threshold", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(Window.partitionBy(F.lit(0))).alias("positives"))
-    return run.select("threshold", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"))
+    run = ordinal.running(by, "threshold", {"p": "tp", "n": "called"}).crossJoin(F.broadcast(by.agg(F.sum("p").alias("positives"))))
+    return run.select("threshold", "p", "tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("positives") - F.col("tp")).alias("fn"))
 
 
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: step area under precision over recall, by distinct thresholds."""
-    c = threshold_cells(df, score, positive)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
-    step = c.select((F.col("tp") / (F.col("tp") + F.col("fp"))).alias("p"), ((F.col("tp") - F.coalesce(F.lag("tp").over(w), F.lit(0))) / (F.col("tp") + F.col("fn"))).alias("dr"))
-    return step.agg(F.round(F.sum(F.col("p") * F.col("dr")), 6).alias("average_precision"))
+    step = threshold_cells(df, score, positive).select((F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("p") / (F.col("tp") + F.col("fn"))).alias("dr"))
+    return step.agg(F.round(F.sum(F.col("precision") * F.col("dr")), 6).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: share of positive-negative pairs in the right order, ties half, by cumulative counts of distinct scores."""
-    by = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = by.select("p", (F.col("n") - F.col("p")).alias("q"), F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0)).alias("below"))
-    return run.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"))
+    by = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n")).withColumn("q", F.col("n") - F.col("p"))
+    run = ordinal.running(by, score, {"q": "upto"}, descending=False)
+    return run.agg(F.round(F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"))
 
 
 def weighted_kappa(df: DataFrame, a: str, b: str, tiers: int) -> DataFrame:
@@ -74,8 +72,7 @@ def draws(groups: DataFrame, group: str, times: int) -> DataFrame:
 
     In resample b, slot i draws group (i * 48271 + b * 69621 + i * b * 16807) mod n; weight says how often a group came.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(group)
-    numbered = groups.select(group).distinct().select(group, (F.row_number().over(w) - 1).cast("long").alias("slot"))
+    numbered = ordinal.places(groups.select(group).distinct(), group).select(group, (F.col("_place") - 1).alias("slot"))
     n = numbered.agg(F.count("*").alias("n"))
     spun = numbered.select("slot").crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     at = (F.col("slot") * 48271 + F.col("b") * 69621 + F.col("slot") * F.col("b") * 16807) % F.col("n")
@@ -127,9 +124,11 @@ def mcnemar(df: DataFrame, first_right: str, second_right: str) -> DataFrame:
 
 
 def spread(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(label, n, mean, std, q1, median, q3) of a score; std is the population's."""
-    q = lambda p: F.round(F.percentile(score, p), 6)
-    return df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    """(label, n, mean, std, q1, median, q3) of a score; std is the population's. Quantiles are taken over distinct scores."""
+    by = df.groupBy(label, score).agg(F.count("*").alias("n"))
+    q = lambda p: F.round(F.percentile(score, p, F.col("n")), 6)
+    quantiles = by.groupBy(label).agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    return df.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std")).join(quantiles, label)
 
 
 def long_scores(df: DataFrame, key: list[str], scores: list[str]) -> DataFrame:

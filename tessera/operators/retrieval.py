@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import text as T
 from tessera.functions import tokens as K
@@ -12,37 +20,102 @@ from tessera.functions import tokens as K
 PLACEHOLDERS = ("197", "nan", "none", "null", "n/a", "na", "todo", "tbd", "-")
 
 
-def postings(units: DataFrame, keys: list[str], text: str, kind: str = "hyphen") -> DataFrame:
-    """(keys, dl, term, tf): term counts of each unit and its length."""
-    toks = units.select(*keys, K.tokenize(F.col(text), kind).alias("toks")).withColumn("dl", F.size("toks"))
-    return toks.select(*keys, "dl", F.explode("toks").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+#: Query terms held by a worker at once (about 50 MB); more queries are taken in blocks of that size.
+BLOCK_TERMS = 500_000
 
 
-def bm25(units: DataFrame, keys: list[str], text: str, queries: DataFrame, query_id: str, query_text: str, top: int = 10, k1: float = 1.5, b: float = 0.75, dedup_query: bool = False, scope: list[str] | None = None) -> DataFrame:
-    """(query_id, keys, score, rank): the top units by Okapi BM25.
+def bm25(units: DataFrame, keys: list[str], text: str, queries: DataFrame, query_id: str, query_text: str, top: int = 10, k1: float = 1.5, b: float = 0.75, dedup_query: bool = False, stop: list[str] | None = None) -> DataFrame:
+    """(query_id, keys, score, rank): the top units by Okapi BM25 over all units.
 
-    Query terms count as often as they occur, or once with dedup_query. scope: columns on which query and unit must
-    agree, to rank within documents. Units without a query term are not ranked; ties go by keys. Postings meet only
-    the terms of queries, which prunes them before any score is made.
+    Query terms count as often as they occur, or once with dedup_query; stop words are left out of units and queries.
+    Units without a query term are not ranked (see pad); ties go by keys; a missing text is a unit of no words. Two passes over the units: one counts lengths
+    and, by map-side sums, the documents of the queries' terms; the other scores every unit against the queries where
+    it stands and lets only the best `top` of a partition leave it. So neither postings nor scores are shuffled, and a
+    term that all units and queries share costs additions in memory only. Queries travel in blocks of BLOCK_TERMS.
     """
-    toks = K.tokenize(F.col(query_text))
-    q = queries.select(F.col(query_id).alias("q_id"), *[F.col(c).alias(f"q_{c}") for c in scope or []], F.explode(F.array_distinct(toks) if dedup_query else toks).alias("term"))
-    q = q.groupBy("q_id", *[f"q_{c}" for c in scope or []], "term").agg(F.count("*").alias("qtf"))
-    sized = units.select(*keys, K.tokenize(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = q.select("term").distinct()
-    post = sized.select(*keys, "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    scored = post.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row of totals
-    for c in scope or []:
-        scored = scored.filter(F.col(c) == F.col(f"q_{c}"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("q_id", *keys).agg(F.round(F.sum(part), 4).alias("score"))
+    toks = K.tokenize(F.col(query_text), stop=stop)
+    q = queries.select(F.col(query_id).alias("q_id"), F.explode(F.array_distinct(toks) if dedup_query else toks).alias("term")).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
+    sized = units.select(*keys, K.tokenize(F.coalesce(F.col(text), F.lit("")), stop=stop).alias("toks"))
+    blocks = max(1, -(-q.count() // BLOCK_TERMS))
+    parts = [_scored(sized, keys, q.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i), top, k1, b) for i in range(blocks)]
+    total = parts[0]
+    for more in parts[1:]:
+        total = total.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), *keys))
     return total.withColumn("rank", rank).filter(F.col("rank") <= top).withColumnRenamed("q_id", query_id)
 
 
+def _scored(sized: DataFrame, keys: list[str], q: DataFrame, top: int, k1: float, b: float) -> DataFrame:
+    """(q_id, keys, score): the best `top` units of every partition for each query of a block."""
+    spark = sized.sparkSession
+    rows = q.toPandas().sort_values(["term", "q_id"], ignore_index=True)  # BLOCK_TERMS rows at most, or one query's
+    wanted = F.broadcast(q.select("term").distinct().unionByName(spark.createDataFrame([("",)], "term string")))
+    seen = sized.select(F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("toks"))).alias("term"))
+    counts = seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("words")).toPandas()
+    whole = counts[counts.term == ""]
+    n = int(whole.df.iloc[0]) if len(whole) else 0
+    avgdl = float(whole.words.iloc[0]) / n if n else 0.0
+    terms, first = np.unique(rows.term.to_numpy(str), return_index=True) if len(rows) else (np.zeros(0, str), np.zeros(0, int))
+    ids, at = np.unique(rows.q_id.to_numpy(), return_inverse=True) if len(rows) else (np.zeros(0), np.zeros(0, int))
+    df = counts.set_index("term").df.reindex(terms).fillna(0).to_numpy(float)
+    index = spark.sparkContext.broadcast((terms, np.append(first, len(rows)), at, rows.qtf.to_numpy(float), np.log((n - df + 0.5) / (df + 0.5) + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, edge, qs, qtf, idf = index.value
+        known, many = pa.array(words, pa.string()), max(1, len(ids))
+        best: pd.DataFrame | None = None
+        bar = np.zeros(many)
+        for whole in batches:
+            step = max(1, 4_000_000 // many)
+            for lo in range(0, whole.num_rows, step):
+                part = whole.slice(lo, step)
+                column = part.column(len(keys))
+                dl = np.asarray(pc.list_value_length(column).fill_null(0), float)
+                code = pc.index_in(column.flatten(), known)
+                unit = np.repeat(np.arange(part.num_rows), dl.astype(int))[np.asarray(code.is_valid())]
+                pair, tf = np.unique(unit * len(words) + np.asarray(code.drop_null(), np.int64), return_counts=True)
+                u, t = np.divmod(pair, max(1, len(words)))
+                weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[u] / (avgdl or 1.0)))
+                reps = edge[t + 1] - edge[t]
+                posting = np.repeat(edge[t] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
+                score = np.bincount(np.repeat(u, reps) * many + qs[posting], np.repeat(weight, reps) * qtf[posting], part.num_rows * many).reshape(-1, many)
+                score = np.floor(score * 1e4 + 0.5) / 1e4
+                i, j = np.nonzero((score > 0) & (score >= bar))
+                if not len(i):
+                    continue
+                new = part.select(range(len(keys))).to_pandas().iloc[i].reset_index(drop=True).assign(_q=j, _s=score[i, j])
+                best = new if best is None else pd.concat((best, new), ignore_index=True)
+                best = best.sort_values(["_q", "_s", *keys], ascending=[True, False, *[True] * len(keys)]).groupby("_q", sort=False).head(top)
+                last = best.groupby("_q").agg(c=("_s", "size"), s=("_s", "min"))
+                bar[last.index[last.c == top]] = last.s[last.c == top]
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best.assign(q_id=ids[best["_q"]], score=best["_s"])[["q_id", *keys, "score"]], schema=out, preserve_index=False)
+
+    fields = T_.StructType([q.schema["q_id"], *[sized.schema[k] for k in keys], T_.StructField("score", T_.DoubleType())])
+    out = to_arrow_schema(fields)
+    return sized.mapInArrow(run, fields)
+
+
+def bm25_within(units: DataFrame, scope: str, key: str, text: str, queries: DataFrame, query_text: str, top: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(scope, key, score, rank): the top units of each document for its own query, by BM25 over that document's units only.
+
+    queries (scope, query_text), one row for each document. All counts are within documents, so everything is keyed by
+    scope, and only terms of the query leave a unit.
+    """
+    q = queries.select(scope, K.tokenize(F.col(query_text)).alias("q"))
+    rows = units.select(scope, key, K.tokenize(F.col(text)).alias("toks")).withColumn("dl", F.size("toks")).join(q, scope)
+    all_ = Window.partitionBy(scope)
+    rows = rows.withColumn("n", F.count("*").over(all_)).withColumn("avgdl", F.avg("dl").over(all_)).withColumn("hit", F.array_intersect("toks", "q"))
+    tf = lambda t: F.size(F.filter("toks", lambda x: x == t))
+    qtf = lambda t: F.size(F.filter("q", lambda x: x == t))
+    post = rows.select(scope, key, "dl", "n", "avgdl", F.explode(F.transform("hit", lambda t: F.struct(t.alias("term"), tf(t).alias("tf"), qtf(t).alias("qtf")))).alias("x")).select(scope, key, "dl", "n", "avgdl", "x.*")
+    post = post.withColumn("df", F.count("*").over(Window.partitionBy(scope, "term")))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    total = post.groupBy(scope, key).agg(F.round(F.sum(part), 4).alias("score"))
+    return total.withColumn("rank", F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("score"), key))).filter(F.col("rank") <= top)
+
+
 def pad(ranked: DataFrame, queries: DataFrame, query_id: str, units: DataFrame, key: str, top: int) -> DataFrame:
     """ranked filled to `top` rows a query with the first units by key that it lacks, at score 0."""
     first = units.select(key).orderBy(key).limit(2 * top).withColumn("score", F.lit(0.0))  # a bounded list

@@ -8,13 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics
+from tessera.operators import metrics, ordinal
 
 
 def order_key(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
+def hashed_places(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """df with _place = 1, 2, ... in hashed order of a key that no two rows share; hashes deal themselves to even ranges."""
+    at = F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int")
+    return ordinal.places(df.withColumn("_hash", order_key(seed, key)), "_hash", at).drop("_hash")
+
+
 def per_label(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each label in hashed order. Ranks within labels stop at n, so no label is held whole."""
     w = Window.partitionBy(label).orderBy(order_key(seed, key), key)
@@ -33,7 +39,7 @@ def group_split(df: DataFrame, group: str, train: float = 0.70, dev: float = 0.1
     """df with a split column: whole groups in hashed order, round(train n) of them, round(dev n), the rest."""
     g = df.select(group).distinct()
     n = g.agg(F.count("*").alias("_n"))
-    at = g.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_key(seed, group), group))).crossJoin(F.broadcast(n))
+    at = hashed_places(g, group, seed).withColumnRenamed("_place", "_at").crossJoin(F.broadcast(n))
     first, second = F.bround(F.col("_n") * train), F.bround(F.col("_n") * dev)
     split = F.when(F.col("_at") <= first, "train").when(F.col("_at") <= first + second, "dev").otherwise("test")
     return df.join(at.select(group, split.alias("split")), group)
@@ -58,17 +64,22 @@ def paired_delta(df: DataFrame, a: str, b: str, group: str, times: int = 100) ->
 def prevalence_metrics(df: DataFrame, key: str, score: str, positive: str, rates: list[float], budget: float, seed: int = 42) -> DataFrame:
     """(prevalence, n, reviewed, tp, fp): all positives with just so many negatives, hashed, that positives have the rate.
 
-    The first ceil(budget * n) rows by score are reviewed. Negatives are numbered once for all rates.
+    The first ceil(budget * n) rows by score are reviewed, ties by key. Negatives are numbered once for all rates, over
+    ranges of their hashes; only the rows that tie at the last reviewed score are put in order.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(order_key(seed, key), key)
-    neg = df.filter(~F.col(positive)).select(key, score, F.row_number().over(w).alias("_at")).withColumn("y", F.lit(0))
-    pos = df.filter(positive).select(key, score, F.lit(0).alias("_at"), F.lit(1).alias("y"))
+    neg = hashed_places(df.filter(~F.col(positive)).select(key, F.col(score).alias("s")), key, seed).withColumn("y", F.lit(0).cast("long"))
+    pos = df.filter(positive).select(key, F.col(score).alias("s"), F.lit(0).cast("long").alias("_place"), F.lit(1).cast("long").alias("y"))
     p = pos.agg(F.count("*").alias("_p"))
     rows = pos.unionByName(neg).crossJoin(F.broadcast(p)).withColumn("prevalence", F.explode(F.array(*map(F.lit, rates))))
-    rows = rows.filter(F.col("_at") <= F.floor(F.col("_p") * (1 - F.col("prevalence")) / F.col("prevalence")))
-    ranked = rows.select("prevalence", "y", F.row_number().over(Window.partitionBy("prevalence").orderBy(F.desc(score), key)).alias("rn"), F.count("*").over(Window.partitionBy("prevalence")).alias("n"))
-    seen = F.col("rn") <= F.ceil(F.col("n") * F.lit(budget))
-    return ranked.groupBy("prevalence").agg(F.max("n").alias("n"), F.count_if(seen).alias("reviewed"), F.count_if(seen & (F.col("y") == 1)).alias("tp"), F.count_if(seen & (F.col("y") == 0)).alias("fp"))
+    rows = rows.filter(F.col("_place") <= F.floor(F.col("_p") * (1 - F.col("prevalence")) / F.col("prevalence"))).select("prevalence", key, "s", "y")
+    by = rows.groupBy("prevalence", "s").agg(F.count("*").alias("c"), F.sum("y").alias("t"))
+    total = by.groupBy("prevalence").agg(F.sum("c").alias("n")).withColumn("reviewed", F.ceil(F.col("n") * F.lit(budget)))
+    run = ordinal.running(by, "s", {"c": "upto", "t": "upto_t"}, within=("prevalence",)).join(F.broadcast(total), "prevalence")
+    # the score at which the budget ends, and how many rows of it are within
+    edge = run.filter((F.col("upto") >= F.col("reviewed")) & (F.col("upto") - F.col("c") < F.col("reviewed"))).select("prevalence", "s", "n", "reviewed", (F.col("reviewed") - (F.col("upto") - F.col("c"))).alias("left"), (F.col("upto_t") - F.col("t")).alias("above"))
+    tied = rows.join(F.broadcast(edge), ["prevalence", "s"]).withColumn("rn", F.row_number().over(Window.partitionBy("prevalence").orderBy(key))).filter(F.col("rn") <= F.col("left"))
+    out = tied.groupBy("prevalence", "n", "reviewed").agg((F.max("above") + F.sum("y")).alias("tp"))
+    return out.select("prevalence", "n", "reviewed", "tp", (F.col("reviewed") - F.col("tp")).alias("fp"))
 
 
 def budget_curve(df: DataFrame, key: str, score: str, positive: str, budgets: list[float]) -> DataFrame:
@@ -77,8 +88,8 @@ def budget_curve(df: DataFrame, key: str, score: str, positive: str, budgets: li
     Distinct scores are counted first; within a tie the share of positives is taken evenly, so no order of rows is needed.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("c"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("s"))
-    run = by.select("p", "c", F.sum("c").over(w).alias("upto"), F.sum("p").over(Window.partitionBy(F.lit(0))).alias("all_p"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("c").alias("n"))
+    run = ordinal.running(by, "s", {"c": "upto"}).crossJoin(F.broadcast(total))
     cut = run.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("reviewed", F.ceil(F.col("n") * F.col("budget")))
     part = F.greatest(F.lit(0), F.least(F.col("c"), F.col("reviewed") - (F.col("upto") - F.col("c")))) / F.col("c")
     out = cut.groupBy("budget", "reviewed").agg(F.sum(part * F.col("p")).alias("tp"), F.max("all_p").alias("all_p"))
@@ -91,8 +102,9 @@ def derangement(df: DataFrame, key: str, group: str) -> DataFrame:
     Partner groups repeat their rows where they have fewer. With a single group there is no partner.
     """
     g = df.groupBy(group).agg(F.count("*").alias("_m"))
-    w = Window.partitionBy(F.lit(0)).orderBy(group)
-    nxt = g.select(group, F.coalesce(F.lead(group).over(w), F.first(group).over(w)).alias("_next")).filter(F.col("_next") != F.col(group))
+    at = ordinal.places(g.select(group), group)
+    follow = at.select(F.col(group).alias("_next"), F.col("_place").alias("_to"))
+    nxt = at.crossJoin(F.broadcast(g.agg(F.count("*").alias("_n")))).join(follow, F.col("_to") == F.col("_place") % F.col("_n") + 1).select(group, "_next").filter(F.col("_next") != F.col(group))
     pos = df.select(key, group, (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("_at"))
     other = pos.select(F.col(key).alias("partner"), F.col(group).alias("_next"), F.col("_at").alias("_slot"))
     sizes = g.select(F.col(group).alias("_next"), "_m")

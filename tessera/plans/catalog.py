@@ -59,8 +59,28 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 _W = f"WITH s AS ({_SCORES})"
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[-''][a-z0-9]+)*')"
-_SENT = r"""sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_id, s AS sentence FROM (
-  SELECT doc_id, i, trim(p[i]) AS s FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z"(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(i)) WHERE s <> '')"""
+_ABBR = T.ABBREVIATIONS.replace(".", r"\.")
+
+
+def _cut(x: str) -> str:
+    """SQL for the pieces that sentences are trimmed from."""
+    kept = rf"regexp_replace(regexp_replace({x}, '({_ABBR})\.', '\1' || chr(2), 'g'), '([0-9])\.([0-9])', '\1' || chr(2) || '\2', 'g')"
+    return rf"""string_split(regexp_replace({kept}, '([.!?])\s+([A-Z"(])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
+
+
+_SENT = f"""sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_id, s AS sentence FROM (
+  SELECT doc_id, i, trim(replace(p[i], chr(2), '.')) AS s FROM (SELECT doc_id, {_cut('text')} AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(i)) WHERE s <> '')"""
+
+_W_ = r"[\p{L}\p{N}_]"
+_NFC = "replace(translate(nfc_normalize(coalesce(text, '')), '\u2018\u2019\u201c\u201d\u2013\u2014\u00a0\u2009\u200a\u202f\u200b', '''''\"\"--    '), '\u2026', '...')"
+_JOINED = rf"regexp_replace(regexp_replace({_NFC}, '({_W_})-\n({_W_})', '\1\2', 'g'), '({_W_})-\n\s+({_W_})', '\1\2', 'g')"
+_CLEAN = rf"array_to_string(list_filter(list_transform(string_split_regex(regexp_replace({_JOINED}, '\r\n?', chr(10), 'g'), '\n\s*\n'), lambda p: regexp_replace(regexp_replace(replace(p, chr(10), ' '), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda p: p <> ''), chr(10) || chr(10))"
+#: Clean pages, a source being a paper and its documents the pages.
+_PAGES = rf"""raw AS (SELECT source, doc_id, {_CLEAN} AS text FROM documents), lines AS (SELECT source, doc_id, list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda s: trim(s)) AS l FROM raw)
+, cnt AS (SELECT source, count(*) AS n_pages FROM raw GROUP BY source)
+, edge AS (SELECT source, line FROM (SELECT source, unnest(list_distinct(list_filter(list_concat(l[1:3], l[greatest(1, len(l) - 2):]), lambda s: s <> '' AND length(s) < 120))) AS line FROM lines) JOIN cnt USING (source) GROUP BY source, line, n_pages HAVING n_pages >= 3 AND count(*) >= greatest(3, n_pages // 2))
+, edges AS (SELECT source, n_pages, coalesce((SELECT list(line ORDER BY line) FROM edge WHERE edge.source = cnt.source), []) AS edges FROM cnt)
+, page AS (SELECT source, doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT regexp_full_match(trim(s), '[0-9]+') AND NOT list_contains(edges, trim(s))), chr(10)) AS text FROM raw JOIN edges USING (source))"""
 
 
 # -- text and tokens
@@ -77,10 +97,10 @@ def text_profile(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.sha256_text(F.col("text")).alias("sha"), T.count_words(F.col("text")).alias("n_words"), F.length(T.normalize_space(F.col("text"))).alias("n_clean"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))) AS plain, md5(regexp_replace(text, '([A-Za-z0-9_])-\n\s*([A-Za-z0-9_])', '\1\2', 'g')) AS joined FROM documents")
+@query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))) AS plain, md5({_JOINED}) AS joined, md5({_CLEAN}) AS clean FROM documents")
 def normalize_and_dehyphenate(spark, d):
     x = F.col("text")
-    return _t(spark, d, "documents").select("doc_id", F.md5(T.normalize_plain(x)).alias("plain"), F.md5(T.dehyphenate(x)).alias("joined"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.normalize_plain(x)).alias("plain"), F.md5(T.dehyphenate(T.normalize_unicode(x))).alias("joined"), F.md5(T.clean_page(x)).alias("clean"))
 
 
 @query(f"WITH {_SENT} SELECT doc_id, sent_id, md5(sentence) AS sentence FROM sent")
@@ -104,19 +124,37 @@ def chunk_stride(spark, d):
 
 
 @query("SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3")
-def header_footer_filter(spark, d):
+def repeated_lines(spark, d):
     return corpus.repeated_lines(_t(spark, d, "documents"))
 
 
+@query(rf"WITH {_PAGES} SELECT doc_id, md5(text) AS body, length(text)::INTEGER AS n_chars, len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> ''))::INTEGER AS n_words FROM page")
+def header_footer_filter(spark, d):
+    """Pages after cleaning, without page numbers and without headers and footers that half of the paper's pages share."""
+    x = corpus.clean_pages(_t(spark, d, "documents"))
+    return x.select("doc_id", F.md5("text").alias("body"), F.length("text").alias("n_chars"), T.count_words(F.col("text")).alias("n_words"))
+
+
 _SECTION = "CASE WHEN block = '' THEN 'unknown' " + " ".join("WHEN regexp_matches(substr(lower(block), 1, 300), '" + p.replace("'", "''") + f"') THEN '{h}'" for p, h in T.SECTIONS) + " ELSE 'unknown' END"
+_BLOCKS = rf"""{_PAGES}, b0 AS (SELECT doc_id, i - 1 AS block_id, regexp_replace(regexp_replace(p[i], '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g') AS block FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS p FROM page), unnest(range(1, len(p) + 1)) AS t(i))
+, b1 AS (SELECT *, {_SECTION} AS own, len(list_filter(string_split_regex(block, '\s+'), lambda t: t <> '')) AS n_words FROM b0 WHERE block <> '')
+, b2 AS (SELECT *, last_value(CASE WHEN n_words < 10 AND own <> 'unknown' THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM b1)
+, blk AS (SELECT doc_id, block_id, block, n_words, CASE WHEN own <> 'unknown' THEN own ELSE coalesce(carried, 'unknown') END AS section FROM b2)"""
 
 
-@query(f"""WITH b AS (SELECT doc_id, i, p[i] AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(i))
-, o AS (SELECT *, {_SECTION} AS own, len(list_filter(string_split_regex(block, '\\s+'), lambda t: t <> '')) AS n_words FROM b WHERE trim(block) <> '')
-, c AS (SELECT *, last_value(CASE WHEN n_words < 10 AND own <> 'unknown' THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM o)
-SELECT doc_id, CASE WHEN own <> 'unknown' THEN own ELSE coalesce(carried, 'unknown') END AS section, count(*) AS n_blocks, sum(n_words)::BIGINT AS n_words FROM c GROUP BY 1, 2""")
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_id::INTEGER AS block_id, n_words::INTEGER AS n_words, section, md5(block) AS body FROM blk")
 def section_carry(spark, d):
-    return corpus.blocks(_t(spark, d, "documents")).groupBy("doc_id", "section").agg(F.count("*").alias("n_blocks"), F.sum("n_words").alias("n_words"))
+    """Blocks of clean pages with the section that they are in."""
+    return corpus.blocks(corpus.clean_pages(_t(spark, d, "documents"))).select("doc_id", "block_id", "n_words", "section", F.md5("block").alias("body"))
+
+
+@query(rf"""WITH {_BLOCKS}, s0 AS (SELECT doc_id, block_id, section, i, trim(replace(p[i], chr(2), '.')) AS s FROM (SELECT doc_id, block_id, section, {_cut('block')} AS p FROM blk), unnest(range(1, len(p) + 1)) AS t(i))
+, s1 AS (SELECT *, len(list_filter(string_split_regex(s, '\s+'), lambda t: t <> '')) AS n_words FROM s0 WHERE s <> '')
+SELECT doc_id, block_id::INTEGER AS block_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block_id, i) - 1)::INTEGER AS sentence_id, n_words::INTEGER AS n_words, section, md5(s) AS body FROM s1 WHERE n_words >= 5""")
+def retrieval_units(spark, d):
+    """The corpus that sentences are retrieved from: sentences of five words or more with page, block and section."""
+    x = corpus.retrieval_units(corpus.blocks(corpus.clean_pages(_t(spark, d, "documents"))))
+    return x.select("doc_id", "block_id", "sentence_id", "n_words", "section", F.md5("sentence").alias("body"))
 
 
 @query(f"WITH a AS (SELECT conv_id, turn, list_distinct({_TOKENS.format('text')}) AS t FROM conversations), p AS (SELECT x.conv_id, len(list_intersect(x.t, y.t)) AS i, len(list_distinct(list_concat(x.t, y.t))) AS u FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.turn < y.turn) SELECT conv_id, count(*) AS n_pairs, round(avg(CASE WHEN u = 0 THEN 0.0 ELSE i::DOUBLE / u END), 6) AS mean_jaccard FROM p GROUP BY conv_id")
@@ -140,8 +178,11 @@ def text_containment(spark, d):
 
 # -- retrieval
 
-_BM25 = f"""WITH u AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM u)
-, q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL)
+_STOP = "('" + "','".join(K.STOP_WORDS["retrieval"]) + "')"
+_KEPT = f"list_filter({_TOKENS}, lambda w: w NOT IN {_STOP})"
+
+_BM25 = f"""WITH u AS (SELECT doc_id, {_KEPT.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM u)
+, q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_KEPT.format('text')}) AS term FROM benchmark) GROUP BY ALL)
 , p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM u) WHERE term IN (SELECT term FROM q) GROUP BY ALL)
 , f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 , s AS (SELECT item_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM p JOIN f USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY ALL)
@@ -150,7 +191,7 @@ _BM25 = f"""WITH u AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documen
 
 def _ranked(spark, d):
     docs, claims = _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    return retrieval.bm25(docs, ["doc_id"], "text", claims, "item_id", "text")
+    return retrieval.bm25(docs, ["doc_id"], "text", claims, "item_id", "text", stop=K.STOP_WORDS["retrieval"])
 
 
 @query(_BM25 + " SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
@@ -158,15 +199,33 @@ def bm25_retrieval(spark, d):
     return _ranked(spark, d)
 
 
-@query(f"""WITH {_SENT}, u AS (SELECT doc_id, sent_id, t FROM (SELECT doc_id, sent_id, {_TOKENS.format('sentence')} AS t FROM sent) WHERE len(t) >= 5), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM u)
-, q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark))
-, p AS (SELECT doc_id, sent_id, dl, term, count(*) AS tf FROM (SELECT doc_id, sent_id, len(t) AS dl, unnest(t) AS term FROM u) WHERE term IN (SELECT term FROM q) GROUP BY ALL)
-, f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
-, s AS (SELECT item_id, doc_id, sent_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM p JOIN f USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY ALL)
-SELECT item_id, doc_id, sent_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, sent_id) AS rank FROM s) WHERE rank <= 10""")
+_BM25_S = rf"""{_SENT}, us AS (SELECT doc_id, sent_id, {_KEPT.format('sentence')} AS t FROM sent WHERE len(list_filter(string_split_regex(sentence, '\s+'), lambda w: w <> '')) >= 5), ss AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM us)
+, qs AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_KEPT.format('text')}) AS term FROM benchmark))
+, ps AS (SELECT doc_id, sent_id, dl, term, count(*) AS tf FROM (SELECT doc_id, sent_id, len(t) AS dl, unnest(t) AS term FROM us) WHERE term IN (SELECT term FROM qs) GROUP BY ALL)
+, fs AS (SELECT term, count(*) AS df FROM ps GROUP BY term)
+, cs AS (SELECT item_id, doc_id, sent_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM ps JOIN fs USING (term) JOIN qs USING (term) CROSS JOIN ss GROUP BY ALL)
+, rs AS (SELECT item_id, doc_id, sent_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, sent_id) AS rank FROM cs)"""
+
+
+def _sentences(spark, d):
+    return corpus.sentences(_t(spark, d, "documents")).withColumn("sent_id", F.col("sent_id").cast("long"))
+
+
+def _ranked_sentences(spark, d):
+    units = _sentences(spark, d).filter(T.count_words(F.col("sentence")) >= 5)
+    return retrieval.bm25(units, ["doc_id", "sent_id"], "sentence", _t(spark, d, "benchmark"), "item_id", "text", dedup_query=True, stop=K.STOP_WORDS["retrieval"])
+
+
+@query(f"WITH {_BM25_S} SELECT item_id, doc_id, sent_id, score, rank::INTEGER AS rank FROM rs WHERE rank <= 10")
 def bm25_sentences(spark, d):
-    units = corpus.sentences(_t(spark, d, "documents")).filter(F.size(K.tokenize(F.col("sentence"))) >= 5).withColumn("sent_id", F.col("sent_id").cast("long"))
-    return retrieval.bm25(units, ["doc_id", "sent_id"], "sentence", _t(spark, d, "benchmark"), "item_id", "text", dedup_query=True)
+    return _ranked_sentences(spark, d)
+
+
+@query(_BM25 + """, f10 AS (SELECT item_id, doc_id, score FROM r WHERE rank <= 10), fill AS (SELECT item_id, doc_id, 0.0::DOUBLE AS score FROM (SELECT item_id, doc_id FROM (SELECT item_id FROM benchmark) CROSS JOIN (SELECT doc_id FROM documents)) ANTI JOIN f10 USING (item_id, doc_id))
+SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM f10 UNION ALL SELECT * FROM fill)) WHERE rank <= 10""")
+def bm25_padded(spark, d):
+    """Ten documents for every claim: where fewer hold a term of it, the first others at score 0."""
+    return retrieval.pad(_ranked(spark, d), _t(spark, d, "benchmark"), "item_id", _t(spark, d, "documents"), "doc_id", 10)
 
 
 @query(_BM25 + """, hit AS (SELECT item_id, min(rank) AS first FROM r JOIN benchmark USING (item_id) JOIN documents USING (doc_id) WHERE rank <= 10 AND contains(documents.text, benchmark.text) GROUP BY item_id)
@@ -277,7 +336,7 @@ _CELLS = _W + ", b AS (SELECT p_strong AS threshold, count(*) FILTER (strong) AS
 
 @query(_CELLS + " SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (pos - tp)::BIGINT AS fn FROM c")
 def threshold_sweep(spark, d):
-    return metrics.threshold_cells(_scores(spark, d), "p_strong", "strong")
+    return metrics.threshold_cells(_scores(spark, d), "p_strong", "strong").drop("p")
 
 
 @query(_CELLS + ", e AS (SELECT tp::DOUBLE / (tp + fp) AS pr, (tp - coalesce(lag(tp) OVER (ORDER BY threshold DESC), 0))::DOUBLE / pos AS dr FROM c) SELECT round(sum(pr * dr), 6) AS average_precision FROM e")
@@ -373,9 +432,8 @@ def first_source_wins(spark, d):
     return relational.first_source(a, b, "doc_id", "quality")
 
 
-@query("WITH m AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS a, CAST((s_suppkey * 7919) % 101 AS DOUBLE) AS b FROM supplier WHERE s_suppkey <= 100) SELECT s_suppkey FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))")
+@query("WITH m AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS a, CAST((s_suppkey * 7919) % 101 AS DOUBLE) AS b FROM supplier) SELECT s_suppkey FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))")
 def pareto_front(spark, d):
-    """The front over all suppliers; the SQL above still compares the first hundred only."""
     m = _t(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("a"), ((F.col("s_suppkey") * 7919) % 101).cast("double").alias("b"))
     return relational.pareto(m, "s_suppkey", ["a", "b"])
 
