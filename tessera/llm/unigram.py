@@ -308,11 +308,12 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out: str = "piece_ids", same: str | None = None) -> DataFrame:
     """docs with a column of piece ids (array<int>) of the whole text.
 
     Null text encodes as empty: no pieces. Row-wise map without a shuffle: repeated rows, ties and null ids keep one
-    row each, an empty table stays empty, long texts cost their own length. A column called like ``out`` is replaced.
+    row each, an empty table stays empty, long texts cost their own length. A column called like ``out`` is replaced,
+    and so is ``same``, if given: whether the pieces, decoded where they were made, give the text back.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -328,14 +329,20 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out:
                 ends.append(ends[-1] + len(r))
             flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(r.tobytes() for r in rows))])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
+            more = [pa.array([uni.decode(r) == (t or "") for r, t in zip(rows, b.column(i).to_pylist(), strict=True)], pa.bool_())] if same else []
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, *more], [*b.schema.names, out, *([same] if same else [])])
 
-    kept = docs.drop(out)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    kept = docs.drop(out, *([same] if same else []))
+    extra = [T.StructField(same, T.BooleanType())] if same else []
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), *extra]))
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """docs with the text of their piece ids; a null list gives null, an empty one the empty text."""
+    """docs with the text of their piece ids; a null list gives null, an empty one the empty text.
+
+    Row-wise map without a shuffle: repeated rows and null ids keep a row each, an empty table stays empty. A column
+    called like ``out`` is replaced.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(_model_bytes(model_path))

@@ -134,6 +134,9 @@ def test_unigram(spark, docs, none):
     both = unigram.decode_documents(unigram.encode_documents(docs, path), path)
     assert all(r.decoded == (r.text or "") for r in both.collect())
     assert unigram.encode_documents(none, path).count() == 0
+    marked = docs.withColumn("text", F.when(F.col("doc_id") == 5, unigram.MARK).otherwise(F.col("text"))).withColumn("same", F.lit("x"))
+    coded = unigram.encode_documents(marked, path, same="same").collect()
+    assert {r.same for r in coded if r.doc_id != 5} == {True} and {r.same for r in coded if r.doc_id == 5} == {False}
 
 
 def test_quality(spark):
