@@ -186,13 +186,12 @@ def excluded(path: Column, folders: list[str], suffixes: list[str], names: list[
     return F.when(hit.isNotNull(), F.concat(F.lit("excluded_dir:"), hit)).otherwise(out)
 
 
-def asset_type(path: Column) -> Column:
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    has = lambda *xs: F.rlike(name, F.lit("|".join(xs)))
-    return (
-        F.when(has("hcm"), "hcm_features").when(has(r"\.(pkl|joblib|pickle)$"), "model_artifact").when(has("threshold", "manifest", "readiness_gate", "frozen"), "threshold")
-        .when(has("prediction", "per_item", "r4"), "prediction").when(has("router", "routing", "mixed_framework"), "routing_logic").when(has("candidate"), "candidate_pool").otherwise("other")
-    )
+def asset_type(path: Column, kinds: list[tuple[str, str]]) -> Column:
+    """The kind of the first of (pattern, kind) whose pattern the file's lower-cased name holds; other if none does."""
+    name, out = F.lower(F.element_at(F.split(path, "/"), -1)), F.lit("other")
+    for pattern, kind in reversed(kinds):
+        out = F.when(F.rlike(name, F.lit(pattern)), kind).otherwise(out)
+    return out
 
 
 def decision(eligible: Column, usable: Column) -> tuple[Column, Column]:

@@ -198,17 +198,18 @@ def semantic_suspicion(spark, d):
 
 
 _FOLDERS, _SUFFIXES, _NAMES = ["private", "cache"], [".pkl", ".pdf"], ["raw", "secret", "a"]
+_KINDS = [(r"\.(pkl|joblib|pickle)$", "model_artifact"), ("threshold|manifest", "threshold"), ("prediction|per_item", "prediction"), ("router|routing", "routing_logic"), ("candidate", "candidate_pool")]
 
 
-@query("""WITH p AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'data/private/x' || page_id || '.csv' WHEN 1 THEN 'runs/r4_thresholds_' || page_id || '.json' WHEN 2 THEN 'models/seed_' || page_id || '.pkl' WHEN 3 THEN 'out\\raw_' || page_id || '.txt' ELSE 'docs/q' || page_id || '.md' END AS path FROM pages), s AS (SELECT *, string_split(replace(path, '\\', '/'), '/') AS l FROM p)
+@query("""WITH p AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'data/private/x' || page_id || '.csv' WHEN 1 THEN 'runs/thresholds_' || page_id || '.json' WHEN 2 THEN 'models/seed_' || page_id || '.pkl' WHEN 3 THEN 'out\\raw_' || page_id || '.txt' ELSE 'docs/q' || page_id || '.md' END AS path FROM pages), s AS (SELECT *, string_split(replace(path, '\\', '/'), '/') AS l FROM p)
 SELECT page_id, CASE WHEN len(list_intersect(l, ['private', 'cache'])) > 0 THEN 'excluded_dir:private' WHEN ends_with(lower(l[-1]), '.pkl') THEN 'suffix:.pkl' WHEN ends_with(lower(l[-1]), '.pdf') THEN 'suffix:.pdf' WHEN contains(lower(l[-1]), 'raw') THEN 'file_pattern:raw' WHEN contains(lower(l[-1]), 'secret') THEN 'file_pattern:secret' WHEN contains(lower(l[-1]), 'a') THEN 'file_pattern:a' ELSE '' END AS reason,
-  CASE WHEN contains(string_split(path, '/')[-1], 'hcm') THEN 'hcm_features' WHEN regexp_matches(string_split(path, '/')[-1], '\\.(pkl|joblib|pickle)$') THEN 'model_artifact' WHEN regexp_matches(string_split(path, '/')[-1], 'threshold|manifest|readiness_gate|frozen') THEN 'threshold' WHEN regexp_matches(string_split(path, '/')[-1], 'prediction|per_item|r4') THEN 'prediction' WHEN regexp_matches(string_split(path, '/')[-1], 'router|routing|mixed_framework') THEN 'routing_logic' WHEN contains(string_split(path, '/')[-1], 'candidate') THEN 'candidate_pool' ELSE 'other' END AS kind FROM s""")
+  CASE WHEN regexp_matches(string_split(path, '/')[-1], '\\.(pkl|joblib|pickle)$') THEN 'model_artifact' WHEN regexp_matches(string_split(path, '/')[-1], 'threshold|manifest') THEN 'threshold' WHEN regexp_matches(string_split(path, '/')[-1], 'prediction|per_item') THEN 'prediction' WHEN regexp_matches(string_split(path, '/')[-1], 'router|routing') THEN 'routing_logic' WHEN contains(string_split(path, '/')[-1], 'candidate') THEN 'candidate_pool' ELSE 'other' END AS kind FROM s""")
 def path_rules(spark, d):
     """Why a file is left out of a release, and what kind of asset it is; paths are made from page numbers."""
     i = F.col("page_id")
     name = lambda a, b: F.concat(F.lit(a), i, F.lit(b))
-    path = F.when(i % 5 == 0, name("data/private/x", ".csv")).when(i % 5 == 1, name("runs/r4_thresholds_", ".json")).when(i % 5 == 2, name("models/seed_", ".pkl")).when(i % 5 == 3, name("out\\raw_", ".txt")).otherwise(name("docs/q", ".md"))
-    return _t(spark, d, "pages").select("page_id", rules.excluded(path, _FOLDERS, _SUFFIXES, _NAMES).alias("reason"), rules.asset_type(path).alias("kind"))
+    path = F.when(i % 5 == 0, name("data/private/x", ".csv")).when(i % 5 == 1, name("runs/thresholds_", ".json")).when(i % 5 == 2, name("models/seed_", ".pkl")).when(i % 5 == 3, name("out\\raw_", ".txt")).otherwise(name("docs/q", ".md"))
+    return _t(spark, d, "pages").select("page_id", rules.excluded(path, _FOLDERS, _SUFFIXES, _NAMES).alias("reason"), rules.asset_type(path, _KINDS).alias("kind"))
 
 
 _LABELS = ["supported", "mild", "strong"]

@@ -46,15 +46,15 @@ def test_pdf(spark, tmp_path):
 
 def test_inventory_manifest_and_pages(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "r4_threshold.txt").write_text("one\ftwo\nlines")
+    (tmp_path / "sub" / "late_threshold.txt").write_text("one\ftwo\nlines")
     (tmp_path / "other.txt").write_text("z")
     (tmp_path / "empty.txt").write_text("")
     got = {r.name: (r.length, r.sha256) for r in store.manifest(spark, str(tmp_path)).collect()}
     assert got["other.txt"] == (1, hashlib.sha256(b"z").hexdigest()) and len(got) == 2
-    assert [(r.name, list(r.hits)) for r in store.inventory(spark, str(tmp_path), ["r4", "threshold", "zip"]).collect()] == [("r4_threshold.txt", ["r4", "threshold"])]
+    assert [(r.name, list(r.hits)) for r in store.inventory(spark, str(tmp_path), ["late", "threshold", "zip"]).collect()] == [("late_threshold.txt", ["late", "threshold"])]
     private = spark.createDataFrame([(got["other.txt"][1],)], "sha256 string")
     assert [r.name for r in store.known_hashes(store.manifest(spark, str(tmp_path)), private).collect()] == ["other.txt"]
-    pages = tables.read_pages(spark, str(tmp_path)).filter("path LIKE '%r4%'").orderBy("page_number").collect()
+    pages = tables.read_pages(spark, str(tmp_path)).filter("path LIKE '%late%'").orderBy("page_number").collect()
     assert [(r.page_number, r.page_text) for r in pages] == [(0, "one"), (1, "two\nlines")]
 
 
