@@ -13,13 +13,6 @@ PROFILES = {
 }
 
 
-def minmax(x: Column, w=None) -> Column:
-    """Scaled to 0..1 over the frame; 0.5 where all are equal."""
-    w = w or Window.partitionBy()
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
-    return F.when(hi - lo < 1e-10, 0.5).otherwise((x - lo) / (hi - lo))
-
-
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with <column>_norm of each column: extremes by one aggregate row, so no frame holds the table."""
     ends = df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])

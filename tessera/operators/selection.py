@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,8 +171,3 @@ def standardised(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     out = df.crossJoin(F.broadcast(df.agg(*part)))  # one row
     scale = lambda c: F.when(F.coalesce(F.col(f"{c}_sd"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"{c}_sd"))
     return out.select(*[c for c in df.columns if c not in columns], *[F.round((F.col(c) - F.col(f"{c}_mean")) / scale(c), 6).alias(c) for c in columns])
-
-
-def longest_first(parts: list[Column]) -> Column:
-    """The first text of parts that is not empty."""
-    return reduce(lambda a, b: F.coalesce(a, b), [F.nullif(p, F.lit("")) for p in parts])

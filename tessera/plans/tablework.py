@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import corpus, rules, sampling, simulation, validation
+from tessera.operators import corpus, ordinal, rules, sampling, simulation, validation
 from tessera.plans.catalog import _BLOCKS, _BM25, _PRED, _W, _cut, _predicted, _ranked, _scores, _t, query
 from tessera.sources import store, tables
 
@@ -134,6 +134,29 @@ def artifact_columns(spark, d):
     return spark.createDataFrame([row(n) for n in ("documents", "labels", "pages")], "name string, has_text boolean, has_label boolean, n_columns int")
 
 
+@query("SELECT o_orderkey, o_orderkey % 5 < 3 AS flag FROM orders")
+def boolean_spellings(spark, d):
+    """Flags spelt in several ways in a CSV."""
+    k = F.col("o_orderkey") % 5
+    raw = _t(spark, d, "orders").select("o_orderkey", F.when(k == 0, "True").when(k == 1, " true").when(k == 2, "1").when(k == 3, "no").otherwise("").alias("flag"))
+    back = tables.read_csv(spark, store.write_csv(raw, store.scratch(spark, "flags")), "o_orderkey long, flag string")
+    return back.select("o_orderkey", tables.tolerant_bool(F.col("flag")).alias("flag"))
+
+
+@query(r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace('[RANK=1][PDF=a.pdf] ' || coalesce(text, '') || ' [PAGE=3]', '\[(?:RANK|PDF|PAGE)[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM conversations")
+def stripped_markers(spark, d):
+    x = F.concat(F.lit("[RANK=1][PDF=a.pdf] "), F.coalesce("text", F.lit("")), F.lit(" [PAGE=3]"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.md5(X.strip_markers(x)).alias("plain"))
+
+
+@query(_W + " SELECT domain, count(*) AS n, count(*) FILTER (cid % 5 <> 0) AS n_known, round(avg(p_strong) FILTER (cid % 5 <> 0), 6) AS mean, round(min(p_strong) FILTER (cid % 5 <> 0), 6) AS low, round(max(p_strong) FILTER (cid % 5 <> 0), 6) AS high FROM s GROUP BY domain")
+def nan_free_summary(spark, d):
+    """Summary of a score that is not a number in every fifth row."""
+    s = _scores(spark, d).select("domain", ordinal.nan_free(F.when(F.col("cid") % 5 == 0, float("nan")).otherwise(F.col("p_strong"))).alias("v"))
+    r = lambda x, n: F.round(x, 6).alias(n)
+    return s.groupBy("domain").agg(F.count("*").alias("n"), F.count("v").alias("n_known"), r(F.avg("v"), "mean"), r(F.min("v"), "low"), r(F.max("v"), "high"))
+
+
 # -- unions, first rows and ranks
 
 
