@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 SUPPORTED, MILD, STRONG, CONTRA = 0, 1, 2, 3
 LOW_SELECTOR, HIGH_ENTROPY, HIGH_CONTRA = 0.30, 0.50, 0.30
 FEW_WORDS, MANY_WORDS, MANY_SENTENCES, HIGH_RANK = 5, 50, 3, 5
+# Words of action.
+ACTIONS = """extend extends extended extending add adds added adding improve improves improved improving propose proposes proposed
+    proposing introduce introduces introduced introducing enhance enhances enhanced enhancing boost boosts boosted boosting increase
+    increases increased increasing achieve achieves achieved achieving enable enables enabled enabling optimize optimizes optimized
+    optimizing design designs designed designing develop develops developed developing build builds built building create creates
+    created creating deliver delivers delivered delivering provide provides provided providing""".split()
+
+
+def action_shortcut(claim: Column, evidence: Column) -> Column:
+    """Whether the evidence lacks half of the claim's words of action, rounded down but one at least, even as parts of words."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(claim), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    acts = F.array_intersect(runs, F.array(*map(F.lit, ACTIONS)))
+    alone = F.size(F.filter(acts, lambda w: ~F.contains(F.lower(evidence), w)))
+    return (claim != "") & (evidence != "") & (F.size(acts) > 0) & (alone >= F.greatest(F.lit(1), F.floor(F.size(acts) / 2)))
 
 
 def n_sentences(x: Column) -> Column:

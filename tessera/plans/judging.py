@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import tokens as K
-from tessera.operators import metrics, ordinal, rules
+from tessera.operators import errors, metrics, ordinal, rules
 from tessera.plans.catalog import _PRED, _W, _predicted, _scores, _t, query
 from tessera.plans.evidence import _PAIRS, _TOP, _count_sql, _top, pairs
 
@@ -89,6 +90,18 @@ def scalar_rule_score(spark, d):
     return pairs(spark, d).select("uid", s.alias("score"), (s == F.col("label")).alias("agrees"))
 
 
+_ACTIONS = "[" + ", ".join(map(_q, errors.ACTIONS)) + "]"
+
+
+@query(rf"""WITH {_PAIRS}, a AS (SELECT uid, claim, evidence, list_intersect(list_distinct(regexp_extract_all(lower(claim), '[\p{{L}}\p{{N}}_]+')), {_ACTIONS}) AS acts, {_WORDS.format('evidence')} AS n, CASE WHEN evidence = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(evidence, '[.!?]+'))) END AS ns FROM pr)
+SELECT uid, ns::INTEGER AS n_sentences, (n > 0 AND n < 5) OR n > 50 OR ns >= 3 AS noise, claim <> '' AND evidence <> '' AND len(acts) > 0 AND len(list_filter(acts, lambda w: NOT contains(lower(evidence), w))) >= greatest(1, len(acts) // 2) AS shortcut FROM a""")
+def text_error_tags(spark, d):
+    """The tags that need texts: evidence that is too short, too long or of many sentences, and claims of action without support."""
+    e = F.col("evidence")
+    n = errors.n_sentences(e)
+    return pairs(spark, d).select("uid", n.cast("int").alias("n_sentences"), errors.format_noise(T.count_words(e), F.lit(1), n).alias("noise"), errors.action_shortcut(F.col("claim"), e).alias("shortcut"))
+
+
 # -- screening with known and with retrieved evidence
 
 _STRONG_C, _LIMIT_C = ["the", "all", "with", "must", "will"], ["may", "some", "only", "but"]

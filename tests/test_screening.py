@@ -140,3 +140,9 @@ def test_alignment_reads_the_whole_text(spark, tmp_path):
     assert got == {1: "exact_or_contained", 2: "high_overlap", 3: "low_or_unrelated"}
     empty = spark.createDataFrame([(1, None, "a claim"), (2, "", None)], "k int, t string, c string")
     assert {r.k: r.found for r in retrieval.closest_window(empty, "k", "t", "c").collect()} == {1: None, 2: None}
+
+
+def test_action_shortcut(spark):
+    rows = [("we improve and extend it", "they improved things", True), ("we improve and extend it", "improvements extended", False), ("we build it", "building on sand", False), ("we build it", "no such thing", True), ("nothing here", "x", False), ("we build it", "", False)]
+    got = spark.createDataFrame(rows, "c string, e string, want boolean").select("want", errors.action_shortcut(F.col("c"), F.col("e")).alias("got"))
+    assert all(r.got == r.want for r in got.collect())
