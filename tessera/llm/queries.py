@@ -95,7 +95,7 @@ WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
 , pmf AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM m, unnest(range(0, 22 + ceil(rate + 10 * sqrt(rate))::BIGINT)) AS t(k))
 , cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf)
 , lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source)
-, u AS (SELECT doc_id, source, ('0x' || substr(md5('0:' || CASE WHEN i > 1 THEN i || '/' ELSE '' END || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents JOIN m ON documents.source IS NOT DISTINCT FROM m.source, unnest(range(1, parts + 1)) AS t(i))
+, u AS (SELECT doc_id, documents.source, ('0x' || substr(md5('0:' || CASE WHEN i > 1 THEN i || '/' ELSE '' END || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents JOIN m ON documents.source IS NOT DISTINCT FROM m.source, unnest(range(1, parts + 1)) AS t(i))
 , e AS (SELECT doc_id, sum(len(list_filter(cs, lambda c: c <= u)))::BIGINT AS copies FROM u JOIN lists ON u.source IS NOT DISTINCT FROM lists.source GROUP BY doc_id)
 , d AS (SELECT documents.*, copies FROM documents JOIN e USING (doc_id))
 SELECT doc_id, source, lang, n_chars, text, mix_copy::INTEGER AS mix_copy, md5('order-0:' || doc_id::VARCHAR || ':' || mix_copy::VARCHAR) AS mix_key
