@@ -66,10 +66,6 @@ def number_conflict(a: Column, b: Column) -> Column:
     return (F.size(p) > 0) & (F.size(q) > 0) & ((F.size(F.array_except(p, q)) > 0) | (F.size(F.array_except(q, p)) > 0))
 
 
-def contains_text(needle: Column, haystack: Column, least: int = 30) -> Column:
-    return (F.length(needle) >= least) & F.contains(haystack, needle)
-
-
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching share of two texts by longest common blocks, 0 where either is empty; no built-in has this measure."""

@@ -171,3 +171,77 @@ def standardised(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     out = df.crossJoin(F.broadcast(df.agg(*part)))  # one row
     scale = lambda c: F.when(F.coalesce(F.col(f"{c}_sd"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"{c}_sd"))
     return out.select(*[c for c in df.columns if c not in columns], *[F.round((F.col(c) - F.col(f"{c}_mean")) / scale(c), 6).alias(c) for c in columns])
+
+
+def chunk_sentences(top: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, claim, doc_id, unit, rank, i, n_words, overlap, evidence): sentences of three words or more, with Dice overlap.
+
+    top: ranked chunks as in best_sentences(), a few for each claim; i is the sentence's place in its chunk.
+    """
+    s = top.select(query_id, "claim", "rank", "doc_id", "unit", F.posexplode(T.split_chunk(T.clean_chunk(F.col("text")))).alias("i", "evidence"))
+    s = s.withColumn("n_words", T.count_words(F.col("evidence"))).filter("n_words >= 3")
+    return s.select(query_id, "claim", "doc_id", "unit", "rank", "i", "n_words", _overlap("claim", "evidence").alias("overlap"), "evidence")
+
+
+def two_sentences(top: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, doc_id, unit, rank, score, n_words, reason, evidence): the closest sentence and one beside it.
+
+    The partner is the closest neighbour in the chunk, else the closest other sentence of the chunk, else the next
+    closest of all. Two of one chunk stand in the chunk's order, others in the order of their overlap.
+    """
+    by = Window.partitionBy(query_id).orderBy(F.desc("overlap"), "rank", "i")
+    s = chunk_sentences(top, query_id).withColumn("rn", F.row_number().over(by))
+    for c in ("unit", "doc_id", "i"):
+        s = s.withColumn(f"b_{c}", F.first(c).over(by))
+    same = (F.col("unit") == F.col("b_unit")) & (F.col("doc_id") == F.col("b_doc_id"))
+    s = s.withColumn("near", F.when(F.col("rn") == 1, 0).when(same & (F.abs(F.col("i") - F.col("b_i")) == 1), 1).when(same, 2).otherwise(3))
+    pair = Window.partitionBy(query_id).orderBy("near", "rn")
+    s = s.withColumn("p", F.lead(F.struct("evidence", "i", "near")).over(pair)).filter("rn = 1")
+    text = F.when(F.col("p").isNull(), F.col("evidence")).when((F.col("p.near") < 3) & (F.col("p.i") < F.col("i")), F.concat_ws(" ", "p.evidence", "evidence")).otherwise(F.concat_ws(" ", "evidence", "p.evidence"))
+    reason = F.when(F.col("p").isNull(), "best_only_no_neighbor").otherwise("best+neighbor_overlap")
+    return s.select(query_id, "doc_id", "unit", "rank", F.round("overlap", 6).alias("score"), T.count_words(text).alias("n_words"), reason.alias("reason"), text.alias("evidence"))
+
+
+def length_limited(top: DataFrame, query_id: str, low: int = 10, high: int = 40) -> DataFrame:
+    """(query_id, doc_id, unit, rank, score, n_words, fits, evidence): the closest sentence of low to high words, else of any length."""
+    s = chunk_sentences(top, query_id).withColumn("fits", F.col("n_words").between(low, high))
+    first = Window.partitionBy(query_id).orderBy(F.desc("fits"), F.desc("overlap"), "rank", "i")
+    best = s.withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    return best.select(query_id, "doc_id", "unit", "rank", F.round("overlap", 6).alias("score"), "n_words", "fits", "evidence")
+
+
+def pseudo_labels(top: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, rank, i, n_words, overlap, place, label, evidence): sentences marked for training by their place.
+
+    A sentence that stands in several chunks counts once, in the best of them. By overlap with the known evidence, the
+    column oracle of top, the first 30 % of a claim's sentences are 1 and the last half 0, at least one each; the others
+    are -1. Of equals the earlier sentence comes first.
+    """
+    s = chunk_sentences(top, query_id)
+    s = s.groupBy(query_id, "evidence").agg(F.min(F.struct("rank", "i", "n_words", "overlap")).alias("s")).select(query_id, "evidence", "s.*")
+    known = top.select(query_id, "oracle").distinct()
+    s = s.join(known, query_id).withColumn("aim", F.round(_overlap("oracle", "evidence"), 6))
+    w = Window.partitionBy(query_id)
+    s = s.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("aim"), "rank", "i")) - 1)
+    pos = F.greatest(F.lit(1), F.floor(F.col("n") * 0.30))
+    neg = F.greatest(F.lit(1), F.floor(F.col("n") * 0.50))
+    label = F.when(F.col("place") < pos, 1).when(F.col("place") >= F.col("n") - neg, 0).otherwise(-1)
+    return s.select(query_id, "rank", "i", "n_words", F.round("overlap", 6).alias("overlap"), "place", label.alias("label"), "evidence")
+
+
+def mock_scores(key: Column, score: Column, n_words: Column) -> dict[str, Column]:
+    """Closed-form stand-ins for the scores of a trained cascade, with a jitter that hangs on the key alone."""
+    at = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296
+    span = lambda salt, low, high: low + (high - low) * at(salt)
+    inside = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    base = 0.3 + 0.4 * F.least(F.lit(1.0), score) - F.when((n_words < 8) | (n_words > 60), 0.1).otherwise(0.0)
+    strong = inside(base + span("strong", -0.1, 0.1), 0.05, 0.95)
+    share = F.when(strong > 0.5, strong).otherwise((1 - strong) * 0.3)
+    return {
+        "p_strong": F.round(strong, 6),
+        "p_contra": F.round(inside(0.2 + span("contra", -0.1, 0.15), 0.02, 0.8), 6),
+        "p_svm": F.round(inside(0.3 + span("svm", -0.1, 0.1), 0.05, 0.9), 6),
+        "flag": (strong > 0.5).cast("int"),
+        "vote_share": F.round(share, 6),
+        "entropy": F.round(1.0 - F.abs(share - 0.5) * 2, 6),
+    }

@@ -162,20 +162,6 @@ def token_jaccard_pairs(spark, d):
     return relational.group_similarity(_t(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("WITH b AS (SELECT item_id, x[1] AS a, x[2] AS z FROM (SELECT item_id, list_distinct(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')) AS n, [text[1:60], text[30:120]] AS x FROM benchmark)) SELECT item_id, len(list_distinct(regexp_extract_all(a, '[aeiou]+'))) >= 0 AND instr(z, substr(a, 30, 10)) > 0 AS overlaps FROM b")
-def substring_overlap(spark, d):
-    a, z = F.substring("text", 1, 60), F.substring("text", 30, 91)
-    return _t(spark, d, "benchmark").select("item_id", F.contains(z, F.substring(a, 30, 10)).alias("overlaps"))
-
-
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON length(b.text) >= 30 AND contains(d.text, b.text)")
-def text_containment(spark, d):
-    """Claims of thirty characters or more that stand whole in a document, wherever in it; every pair is compared."""
-    claims = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
-    docs = _t(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(claims), K.contains_text(F.col("claim"), F.col("text"))).select("item_id", "doc_id")
-
-
 # -- retrieval
 
 _STOP = "('" + "','".join(K.STOP_WORDS["retrieval"]) + "')"
