@@ -43,3 +43,22 @@ def two_text_cosine(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame
     square = lambda c: F.sum(F.col(c) * F.col(c) * idf * idf)
     sums = terms.groupBy(*keys).agg(F.sum(F.col("p") * F.col("q")).alias("dot"), square("p").alias("aa"), square("q").alias("bb"))
     return sums.select(*keys, F.round(F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("aa") * F.col("bb"))), F.lit(0.0)), 6).alias("cosine"))
+
+
+def corpus_cosine(df: DataFrame, key: str, a: str, b: str, stop: list[str] | None = None) -> DataFrame:
+    """(key, cosine): cosine of tf-idf weights whose idf is fitted on both texts of all rows; 0 where either has no term.
+
+    Terms are words of two characters or more outside `stop`. The smooth idf ln((1 + n) / (1 + df)) + 1 counts every text
+    of every row once. Null text counts as empty; keys must
+    be unique.
+    """
+    none = F.array().cast("array<string>")
+    side = lambda c, p, q: F.transform(F.filter(F.coalesce(K.tokenize(F.col(c), "plain", stop), none), lambda t: F.length(t) > 1), lambda t: F.struct(t.alias("term"), F.lit(p).alias("p"), F.lit(q).alias("q")))
+    terms = df.select(key, F.explode(F.concat(side(a, 1, 0), side(b, 0, 1))).alias("x")).groupBy(key, "x.term").agg(F.sum("x.p").alias("p"), F.sum("x.q").alias("q"))
+    texts = terms.groupBy("term").agg(F.sum((F.col("p") > 0).cast("int") + (F.col("q") > 0).cast("int")).alias("df"))
+    n = df.agg((2 * F.count("*")).alias("n"))
+    w = terms.join(texts, "term").crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)  # one row
+    square = lambda c: F.sum(F.col(c) * F.col(c) * F.col("idf") * F.col("idf"))
+    sums = w.groupBy(key).agg(F.sum(F.col("p") * F.col("q") * F.col("idf") * F.col("idf")).alias("dot"), square("p").alias("aa"), square("q").alias("bb"))
+    cosine = F.try_divide(F.col("dot"), F.sqrt(F.col("aa")) * F.sqrt(F.col("bb")))
+    return df.select(key).join(sums, key, "left").select(key, F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("cosine"))

@@ -76,6 +76,21 @@ def fold_votes(keys: DataFrame, votes: DataFrame, key: str, split: str, pred: st
     return keys.select(key).join(best, key, "left").select(key, F.coalesce(pred, F.lit(-1)).alias("predicted"), F.coalesce("n_votes", F.lit(0)).alias("n_votes"), F.coalesce("used", F.lit("train_only")).alias("used"))
 
 
+def seed_votes(df: DataFrame, key: str, pred: str, means: list[str], flag: str, labels: list) -> DataFrame:
+    """(key, predicted, means, flag, entropy, n_seeds): one row a key from its predictions under several seeds.
+
+    The most frequent label wins, of equals the first of `labels`; scores are averaged, the flag is set where it is in
+    more than half, and entropy is the mean, not the sum, over labels of -p ln(p + 1e-10).
+    """
+    n = [F.count_if(F.col(pred) == k).alias(f"n{i}") for i, k in enumerate(labels)]
+    g = df.groupBy(key).agg(*n, F.count("*").alias("n_seeds"), *[F.round(F.avg(c), 6).alias(c) for c in means], (F.avg(flag) > 0.5).cast("int").alias("flag"))
+    most = F.greatest(*[F.col(f"n{i}") for i in range(len(labels))])
+    pick = F.coalesce(*[F.when(F.col(f"n{i}") == most, F.lit(k)) for i, k in enumerate(labels)])
+    share = [F.col(f"n{i}") / F.col("n_seeds") for i in range(len(labels))]
+    entropy = sum((-p * F.log(p + 1e-10) for p in share), F.lit(0.0)) / len(labels)
+    return g.select(key, pick.alias("predicted"), *means, "flag", F.round(entropy, 6).alias("entropy"), "n_seeds")
+
+
 def held_out(df: DataFrame, key: str, by: str, most: int, positive: Column, seed: str = "0") -> DataFrame:
     """(side, n, n_positive, n_leaked): a split whose test side is all rows of `most` values of a column.
 

@@ -210,6 +210,18 @@ def length_limited(top: DataFrame, query_id: str, low: int = 10, high: int = 40)
     return best.select(query_id, "doc_id", "unit", "rank", F.round("overlap", 6).alias("score"), "n_words", "fits", "evidence")
 
 
+def weighted_sentence(top: DataFrame, query_id: str, most: int, weight: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, unit, rank, score, n_words, evidence): the best of the first `most` chunks by overlap + weight * chunk score.
+
+    top: as in best_sentences(), with score; of equals the earliest wins.
+    """
+    chunks = top.filter(F.col("rank") <= most)
+    s = chunk_sentences(chunks, query_id).join(chunks.select(query_id, "rank", F.col("score").alias("base")), [query_id, "rank"])
+    s = s.withColumn("score", F.round(F.col("overlap") + weight * F.col("base"), 6))
+    best = s.withColumn("rn", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), "rank", "i"))).filter("rn = 1")
+    return best.select(query_id, "doc_id", "unit", "rank", "score", "n_words", "evidence")
+
+
 def pseudo_labels(top: DataFrame, query_id: str) -> DataFrame:
     """(query_id, rank, i, n_words, overlap, place, label, evidence): sentences marked for training by their place.
 

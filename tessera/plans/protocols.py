@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tokens as K
 from tessera.operators import metrics, protocols, selection
+from tessera.operators import pairs as pair_ops
 from tessera.plans.catalog import _PRED, _W, _predicted, _scores, _t, query
 from tessera.plans.evidence import _CLEANED, _DICE, _MERGED, _PAIRS, _SEL, _TOP, _WORDS, _top, pairs
 
@@ -30,6 +32,22 @@ def select_length_limited_top5(spark, d):
     return selection.length_limited(_top(spark, d), "item_id").withColumn("evidence", F.md5("evidence"))
 
 
+def _weighted_sql(most: int, weight: float) -> str:
+    return f"""WITH {_TOP}, {_CS}, w AS (SELECT cs.*, round(overlap + {weight}::DOUBLE * score, 6) AS score FROM cs JOIN top USING (item_id, rank) WHERE rank <= {most})
+SELECT item_id, doc_id, unit, rank, score, n_words, md5(evidence) AS evidence FROM w QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, i) = 1"""
+
+
+@query(_weighted_sql(5, 0.2))
+def select_best_sentence_top5_bm25weighted(spark, d):
+    """The best sentence of five chunks by overlap and a fifth of the chunk's BM25 score."""
+    return selection.weighted_sentence(_top(spark, d), "item_id", 5, 0.2).withColumn("evidence", F.md5("evidence"))
+
+
+@query(_weighted_sql(3, 0.0))
+def select_best_sentence_top3_overlap(spark, d):
+    return selection.weighted_sentence(_top(spark, d), "item_id", 3).withColumn("evidence", F.md5("evidence"))
+
+
 _PSEUDO = f"""{_TOP}, {_CS}, u AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY item_id, evidence ORDER BY rank, i) = 1)
 , aim AS (SELECT *, round({_DICE.format(_SEL.format('claim'), _SEL.format('evidence'))}, 6) AS aim FROM u), pl AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n, row_number() OVER (PARTITION BY item_id ORDER BY aim DESC, rank, i) - 1 AS place FROM aim)
 , ps AS (SELECT item_id, rank, i::INTEGER AS i, n_words, round(overlap, 6) AS overlap, place::INTEGER AS place, CASE WHEN place < greatest(1, floor(n * 0.30::DOUBLE)) THEN 1 WHEN place >= n - greatest(1, floor(n * 0.50::DOUBLE)) THEN 0 ELSE -1 END AS label, evidence FROM pl)"""
@@ -112,6 +130,16 @@ def best_method(spark, d):
     return protocols.best_method(r, "method", "e1", "e2", "skipped")
 
 
+_SHARES = [f"count(*) FILTER (pred = {k})::DOUBLE / count(*)" for k in range(4)]
+
+
+@query(_PRED + f""" SELECT grp, arg_max(pred, (n, -pred))::INTEGER AS predicted, any_value(p_contra) AS p_contra, any_value(p_strong) AS p_strong, any_value(p_svm) AS p_svm, any_value(flag) AS flag, any_value(entropy) AS entropy, sum(n)::BIGINT AS n_seeds
+FROM (SELECT grp, pred, count(*) AS n FROM x GROUP BY ALL) JOIN (SELECT grp, round(avg(p_contra), 6) AS p_contra, round(avg(p_strong), 6) AS p_strong, round(avg(p_svm), 6) AS p_svm, (avg(flag) > 0.5)::INTEGER AS flag, round(({' + '.join(f'-({p}) * ln({p} + 1e-10)' for p in _SHARES)}) / 4, 6) AS entropy FROM x GROUP BY grp) USING (grp) GROUP BY grp""")
+def seed_votes(spark, d):
+    """One prediction for each group, whose candidates stand for the seeds."""
+    return protocols.seed_votes(_predicted(spark, d), "grp", "pred", ["p_contra", "p_strong", "p_svm"], "flag", [0, 1, 2, 3])
+
+
 # -- folds and held-out splits
 
 
@@ -185,6 +213,17 @@ def held_out_splits(spark, d):
 
 # -- baselines
 
+_LONG = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN (" + ",".join(f"'{w}'" for w in K.STOP_WORDS["selection"]) + "))"
+
+
+@query(rf"""WITH {_PAIRS}, t AS (SELECT uid, unnest({_LONG.format('claim')}) AS term, 1 AS p, 0 AS q FROM pr UNION ALL SELECT uid, unnest({_LONG.format('evidence')}), 0, 1 FROM pr), g AS (SELECT uid, term, sum(p) AS p, sum(q) AS q FROM t GROUP BY ALL)
+, w AS (SELECT term, ln((1 + (SELECT 2 * count(*) FROM pr)) / (1 + sum((p > 0)::INTEGER + (q > 0)::INTEGER))) + 1 AS idf FROM g GROUP BY term), c AS (SELECT uid, sum(p * q * idf * idf) / nullif(sqrt(sum(p * p * idf * idf)) * sqrt(sum(q * q * idf * idf)), 0) AS cosine FROM g JOIN w USING (term) GROUP BY uid)
+SELECT uid, round(coalesce(cosine, 0), 6) AS cosine FROM pr LEFT JOIN c USING (uid)""")
+def claim_evidence_cosine(spark, d):
+    """How alike claims and their evidence are by tf-idf over all claims and evidence."""
+    return pair_ops.corpus_cosine(pairs(spark, d), "uid", "claim", "evidence", K.STOP_WORDS["selection"])
+
+
 _PLAIN = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 _BASE = "SELECT '{0}' AS baseline, count(*) AS n, round(avg(j), 6) AS mean_overlap, round(max(j), 6) AS max_overlap FROM (SELECT len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS j FROM {1} WHERE len(x) > 0 AND len(y) > 0)"
 _TITLE, _BODY = "<title>([^<]*)</title>", "<[^>]*>"

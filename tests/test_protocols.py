@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import protocols, selection
+from tessera.operators import pairs, protocols, selection
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta"
 
@@ -64,3 +64,18 @@ def test_held_out(spark):
     got = {r.side: r for r in protocols.held_out(df, "id", "g", 2, F.col("id") % 2 == 0).collect()}
     assert set(got) == {"train", "dev", "test"} and sum(r.n for r in got.values()) == 200
     assert all(r.n_leaked == 0 for r in got.values()) and 44 <= got["test"].n <= 46
+
+
+def test_seed_votes_and_cosine(spark):
+    df = spark.createDataFrame([(1, 2, 0.2, 1), (1, 0, 0.4, 0), (2, 3, 1.0, 1)], "k int, p int, c double, f int")
+    got = {r.k: r for r in protocols.seed_votes(df, "k", "p", ["c"], "f", [0, 1, 2, 3]).collect()}
+    assert (got[1].predicted, got[1].c, got[1].flag, got[1].n_seeds) == (0, 0.3, 0, 2)
+    assert (got[2].predicted, got[2].flag, got[2].entropy) == (3, 1, 0.0)
+    texts = spark.createDataFrame([(1, "red cat", "red cat"), (2, "red cat", "blue fish"), (3, None, "red"), (4, "", "")], "k int, a string, b string")
+    assert {r.k: r.cosine for r in pairs.corpus_cosine(texts, "k", "a", "b", ["the"]).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_weighted_sentence(spark):
+    top = spark.createDataFrame([(1, "red cat", 1, 7, 0, 9.0, "Blue fish swim."), (1, "red cat", 2, 8, 0, 1.0, "Red cat sleeps.")], "q int, claim string, rank int, doc_id int, unit int, score double, text string")
+    pick = lambda w: selection.weighted_sentence(top, "q", 2, w).first().doc_id
+    assert pick(0.0) == 8 and pick(0.2) == 7
