@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embeddings, licenses, media, minhash, mixing, pii, quality, repeats, tokens, unigram
+from tessera.llm import embeddings, language, licenses, media, minhash, mixing, pii, quality, repeats, resample, tokens, unigram, whitening
 from tessera.llm.common import table
 
 
@@ -56,6 +56,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_minhash_dedup, op4_sentencepiece, op5_quality, op6_mixing, op7_media, op8_pii, op9_licenses, op10_repeats, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_minhash_dedup, op4_sentencepiece, op5_quality, op6_mixing, op7_media, op8_pii, op9_licenses, op10_repeats, op11_importance_resampling, op12_language_id, op13_whitening, pipeline)}
 
 
 _COMPONENTS = """
@@ -100,6 +112,20 @@ WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
 , d AS (SELECT documents.*, copies FROM documents JOIN e USING (doc_id))
 SELECT doc_id, source, lang, n_chars, text, mix_copy::INTEGER AS mix_copy, md5('order-0:' || doc_id::VARCHAR || ':' || mix_copy::VARCHAR) AS mix_key
 FROM d, unnest(range(1, copies + 1)) AS t(mix_copy)""",
+    "op11_importance_resampling": r"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i))
+, d AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+, w AS (SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d)
+, words AS (SELECT DISTINCT word FROM w)
+, bytes AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), (2 * k + 1)::BIGINT, 2))::BIGINT) AS b FROM words)
+, bucket AS (SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc)
+, counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM w JOIN bucket USING (word) GROUP BY bucket)
+, gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM counts)
+, f AS (SELECT id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM w JOIN bucket USING (word) JOIN gain USING (bucket) WHERE side = 0 GROUP BY id)
+, noise AS (SELECT doc_id, ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents)
+, scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM noise LEFT JOIN f ON f.id = doc_id)
+, drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.*, place AS rank FROM scored LEFT JOIN drawn ON drawn.doc_id = scored.doc_id AND place <= n * 10 // 100""",
 }
 
 

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, SF).select(*want.columns)
