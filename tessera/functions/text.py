@@ -74,8 +74,8 @@ def clean_chunk(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(joined, r"\b\d+\s*/\s*\d+\b", ""), r"\s+", " "))
 
 
-#: Steps that clean a retrieved chunk, in order. Captions and headings are looked for after lines were joined, so only
-#: at the start of the text and as the whole of it.
+# Steps that clean a retrieved chunk, in order. Captions and headings are looked for after lines were joined,
+# so only at the start of the text and as the whole of it.
 MARKUP = (
     (r"\[(?:RANK|PDF|PAGE)[^\]]*\]", ""),
     (r"([A-Za-z0-9_])-\s+([A-Za-z0-9_])", "$1$2"),

@@ -18,15 +18,26 @@ PATTERNS = {
     "pair": r"[a-z0-9]+(?:-[a-z0-9]+)?",
 }
 STOP_WORDS = {
-    "selection": """a an the and or but in on at to for of with by from is are was were be been being have has had do does did will
-        would could should may might must shall can this that these those i you he she it we they as if then than so such not no nor
-        just only also too very more most some any all""".split(),
-    "leakage": "a an the and or in on at to for of with is are was were be this that these those it its as by from we our their".split(),
-    "realism": """the a an of to in on for and or but is are was were be been being this that these those it its as with by from at
-        into over under above below between among through during before after not no""".split(),
-    "toy": "a an the and or in on at to for of with is are was were".split(),
+    "selection": [
+        "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+        "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "this", "that",
+        "these", "those", "i", "you", "he", "she", "it", "we", "they", "as", "if", "then", "than", "so", "such", "not", "no", "nor", "just", "only",
+        "also", "too", "very", "more", "most", "some", "any", "all",
+    ],
+    "leakage": [
+        "a", "an", "the", "and", "or", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were", "be", "this", "that", "these", "those",
+        "it", "its", "as", "by", "from", "we", "our", "their",
+    ],
+    "realism": [
+        "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "this", "that",
+        "these", "those", "it", "its", "as", "with", "by", "from", "at", "into", "over", "under", "above", "below", "between", "among", "through",
+        "during", "before", "after", "not", "no",
+    ],
+    "toy": [
+        "a", "an", "the", "and", "or", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were",
+    ],
 }
-STOP_WORDS["retrieval"] = [*STOP_WORDS["selection"], *"each every other another same different new old".split()]
+STOP_WORDS["retrieval"] = [*STOP_WORDS["selection"], "each", "every", "other", "another", "same", "different", "new", "old"]
 
 
 def tokenize(x: Column, kind: str = "hyphen", stop: list[str] | None = None) -> Column:

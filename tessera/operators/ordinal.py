@@ -12,13 +12,17 @@ RANGES = 64
 def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = True, ranges: int = RANGES, within: tuple[str, ...] = (), at: Column | None = None) -> DataFrame:
     """df with sums[c] = the running sum of c up to and with the row, by order, whose values must be distinct within `within`.
 
-    Rows are dealt to ranges of order by approximate quantiles (which move work, never results), or by `at`, a whole
-    number that does not fall as order rises; sums run within ranges and start from the totals of the ranges before, a
-    row each.
+    Rows are dealt to ranges of order by approximate quantiles (which move work, never results), by what a range
+    partitioning of other than plain numbers finds, or by `at`, a whole number that does not fall as order rises; sums
+    run within ranges and start from the totals of the ranges before, a row each.
     """
     if at is None:
         numeric = df.schema[order].dataType.simpleString() in ("double", "float", "int", "bigint", "smallint", "tinyint")
-        cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001))) if numeric else []
+        if numeric:
+            cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001)))
+        else:
+            ends = df.select(order).filter(F.col(order).isNotNull()).repartitionByRange(ranges, order).groupBy(F.spark_partition_id()).agg(F.max(order).alias("end"))
+            cuts = sorted(r.end for r in ends.collect())  # a value a range
         at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col(order))) if cuts else F.lit(0)
     x = df.withColumn("_range", at)
     turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))

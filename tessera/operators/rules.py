@@ -20,9 +20,10 @@ UNNATURAL = (
 )
 NEGATED = (r"\bnot\b", r"\bfails?\b", r"\bfailure\b", r"\bunable\b", r"\bcannot\b", r"\bdoes not\b", r"\bdo not\b", r"\bnever\b")
 FORCED = (
-    "deployment|deploy|deployed|deploying|safety-critical|safety critical|safe deployment|policy|policymaker|policymakers|regulation|regulatory|generalization|generalize|generalizes|generalizability|real-world|real world|production|"
-    "industry|industrial|mission-critical|mission critical|high-stakes|high stakes|robust deployment|trustworthy|reliable deployment"
-).split("|")
+    "deployment", "deploy", "deployed", "deploying", "safety-critical", "safety critical", "safe deployment", "policy", "policymaker", "policymakers", "regulation", "regulatory",
+    "generalization", "generalize", "generalizes", "generalizability", "real-world", "real world", "production", "industry", "industrial", "mission-critical", "mission critical",
+    "high-stakes", "high stakes", "robust deployment", "trustworthy", "reliable deployment",
+)
 # The single-claim audit. Kinds in order of priority.
 PRIORITY = ("not_scientific_claim", "contradiction_too_mechanical", "strong_action_too_forced", "too_extreme", "unnatural_wording", "too_template_like", "mild_strong_boundary_unclear")
 TEMPLATE_OPENING = r"^(the|this|our)\s+(benchmark|method|system|approach|model|results|framework|system)\s+(demonstrates|shows|achieves|provides|enables|ensures|guarantees)"

@@ -13,17 +13,33 @@ SELECTORS = ("raw_top1_chunk", "cleaned_top1_chunk", "first_sentence_top1", "bes
 VARIANTS = ("oracle_clean", "oracle_plus_metadata", "oracle_lengthened", "oracle_plus_metadata_lengthened", "raw_bm25_top1_chunk", "cleaned_bm25_top1_chunk", "canonicalized_best_sentence_top5", "canonicalized_three_sentence_window_top5")
 # Lexicons of claims and evidence.
 LEXICONS = {
-    "claim_action": "deploy|deployment|real-world|real world|production|operational|safe|robust|guarantee|all scenarios|all settings|all environments|replace|should be used|policy|engineering decision|ready for use|in practice|uniformly|without caveat|irrespective|across all|will be|must be|always",
-    "evidence_support": "real-world validation|field deployment|production test|external validation|safety certification|multi-site evaluation|stress test|failure analysis|operational trial|empirical validation|benchmark results|ablation|evaluation|experiments show|results demonstrate|we evaluate|we compare|performance|accuracy|ground truth",
-    "certainty": "will|must|always|guarantee|ensure|definitely|certainly",
-    "deployment": "deploy|deployment|production|operational|field",
-    "metric": "metric|accuracy|precision|recall|f1|score|benchmark|baseline",
-    "scope": "may|might|could|some|subset|narrow|broad|scope|boundary|limit",
+    "claim_action": (
+        "deploy", "deployment", "real-world", "real world", "production", "operational", "safe", "robust", "guarantee", "all scenarios",
+        "all settings", "all environments", "replace", "should be used", "policy", "engineering decision", "ready for use", "in practice", "uniformly",
+        "without caveat", "irrespective", "across all", "will be", "must be", "always",
+    ),
+    "evidence_support": (
+        "real-world validation", "field deployment", "production test", "external validation", "safety certification", "multi-site evaluation",
+        "stress test", "failure analysis", "operational trial", "empirical validation", "benchmark results", "ablation", "evaluation",
+        "experiments show", "results demonstrate", "we evaluate", "we compare", "performance", "accuracy", "ground truth",
+    ),
+    "certainty": (
+        "will", "must", "always", "guarantee", "ensure", "definitely", "certainly",
+    ),
+    "deployment": (
+        "deploy", "deployment", "production", "operational", "field",
+    ),
+    "metric": (
+        "metric", "accuracy", "precision", "recall", "f1", "score", "benchmark", "baseline",
+    ),
+    "scope": (
+        "may", "might", "could", "some", "subset", "narrow", "broad", "scope", "boundary", "limit",
+    ),
 }
 
 
 def terms(name: str) -> list[str]:
-    return LEXICONS[name].split("|")
+    return list(LEXICONS[name])
 
 
 _FIELDS = ("doc_id", "unit", "rank", "score", "n_words", "source_type", "evidence")

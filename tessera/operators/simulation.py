@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
+from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +13,28 @@ from tessera.operators import ordinal, sampling
 STRONG = 2
 
 
+def allotted(n: int, shares: dict[int, float]) -> dict[int, int]:
+    """n rows dealt by shares (which sum to one): label i gets what lies between the rounded ends of its stretch of 0..n."""
+    ends = [math.floor(n * x + 0.5) for x in accumulate(shares.values())]
+    return dict(zip(shares, (b - a for a, b in zip([0, *ends], ends)), strict=True))
+
+
 def composition(prevalence: float, n: int, shares: dict[int, float], positive: int = STRONG) -> dict[int, int]:
-    """Rows of each label in a sample of n with a share of positives; the last of `shares` takes what rounding leaves."""
-    out = {positive: max(1, round(n * prevalence))}
-    rest = n - out[positive]
-    *first, last = shares
-    out |= {k: round(rest * shares[k]) for k in first}
-    out[last] = rest - sum(out[k] for k in first)
-    if out[last] < 0:
-        out[first[0]] += out[last]
-        out[last] = 0
-    return out
+    """Rows of each label in a sample of n: positives by prevalence, one at least, the others by their shares of the rest."""
+    first = max(1, math.floor(n * prevalence + 0.5))
+    return {positive: first} | allotted(n - first, shares)
+
+
+def compositions(df: DataFrame, label: str, positive: int, prevalences: list[float], n: int) -> DataFrame:
+    """(prevalence, label, n): what samples of n are made of, the other labels by the shares that they have in df."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("c"))  # a row a label
+    other = F.col(label) != positive
+    upto = F.sum(F.when(other, F.col("c")).otherwise(0)).over(Window.partitionBy("prevalence").orderBy(label))
+    every = F.sum(F.when(other, F.col("c")).otherwise(0)).over(Window.partitionBy("prevalence"))
+    first = F.greatest(F.lit(1), F.floor(n * F.col("prevalence") + 0.5))
+    end = lambda c: F.floor((n - first) * c / every + 0.5)
+    x = counts.withColumn("prevalence", F.explode(F.array(*map(F.lit, prevalences))))
+    return x.select("prevalence", label, F.when(other, end(upto) - end(upto - F.col("c"))).otherwise(first).cast("long").alias("n"))
 
 
 def drawn(df: DataFrame, key: str, label: str, sizes: dict[int, int], times: int) -> DataFrame:
@@ -57,42 +67,27 @@ def interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), q(0.5, "median"), q(0.025, "low"), q(0.975, "high"))
 
 
-def stratified_membership(df: DataFrame, group: str, label: str, sizes: dict[str, int]) -> DataFrame:
-    """(group, split): groups put one by one, those of rare labels first, where the loss of sizes and label shares is least.
+def stratified_membership(df: DataFrame, group: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """(group, split): whole groups dealt to splits by shares, so that every label is split about alike.
 
-    Each choice depends on all before it, so one task makes it, over a row for each group and label: counts, not rows.
+    A group belongs to the label of which it holds the largest part, the smallest label on ties. The groups of a label
+    stand in hashed order on a line as long as they have rows, and a group gets the split in whose stretch its middle
+    lies: a split misses its share of a label's line by half a group at most at each end. All groups at once, by running
+    sums over ranges of the order.
     """
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(parts), ignore_index=True)
-        if not len(table):
-            return
-        every = table.groupby(label)["n"].sum()
-        labels, total = sorted(every.index), int(every.sum())
-        want = {s: {v: max(1, round(every[v] * size / total)) for v in labels} for s, size in sizes.items()}
-        groups = {g: dict(zip(t[label], t["n"], strict=True)) for g, t in table.groupby(group)}
-        rare = {g: sum(n / max(1, every[v]) for v, n in c.items()) for g, c in groups.items()}
-        have, split_of, names = {s: Counter() for s in sizes}, {}, list(sizes)
-
-        def loss(counts: dict[str, Counter]) -> float:
-            out = 0.0
-            for s, size in sizes.items():
-                out += 4.0 * ((sum(counts[s].values()) - size) / max(1, size)) ** 2
-                out += sum(((counts[s][v] - want[s][v]) / max(1, want[s][v])) ** 2 for v in labels)
-            return out
-
-        for g in sorted(groups, key=lambda g: (-rare[g], g)):
-            def cost(s: str, g=g) -> tuple[float, int]:
-                new = {**have, s: have[s] + Counter(groups[g])}
-                return loss(new) + 100.0 * max(0, sum(new[s].values()) - sizes[s]), names.index(s)
-
-            split_of[g] = min(names, key=cost)
-            have[split_of[g]] += Counter(groups[g])
-        yield pd.DataFrame({group: list(split_of), "split": list(split_of.values())})
-
-    return counts.repartition(1).mapInPandas(assign, f"{group} {kinds[group]}, split string")
+    every = counts.groupBy(label).agg(F.sum("n").alias("all"))
+    part = counts.join(F.broadcast(every), label)  # a row a label
+    own = part.groupBy(group).agg(F.sum("n").alias("_n"), F.max_by(label, F.struct(F.round(F.col("n") / F.col("all"), 9), -F.col(label))).alias("_label"))
+    at = F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int")
+    line = ordinal.running(own.withColumn("_hash", sampling.order_key(seed, group)), "_hash", {"_n": "_end"}, descending=False, within=("_label",), at=at)
+    length = own.groupBy("_label").agg(F.sum("_n").alias("_all"))
+    x = line.join(F.broadcast(length), "_label").withColumn("_middle", (F.col("_end") - F.col("_n") / 2) / F.col("_all"))
+    ends = list(accumulate(shares.values()))
+    split = F.lit(list(shares)[-1])
+    for name, end in reversed(list(zip(shares, ends, strict=True))[:-1]):
+        split = F.when(F.col("_middle") < end, name).otherwise(split)
+    return x.select(group, split.alias("split"))
 
 
 def exact_splits(df: DataFrame, key: str, stratum: str, sizes: dict[str, int], seed: int = 42) -> DataFrame:

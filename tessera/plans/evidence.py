@@ -214,13 +214,14 @@ def retrieval_within_documents(spark, d):
     return every.groupBy("lang").agg(F.count("*").alias("n"), at(1).alias("recall_1"), at(5).alias("recall_5"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query(f"""WITH {_TOP}, k AS (SELECT item_id, unnest([1, 3, 5]) AS k FROM benchmark), j AS (SELECT k.item_id, k.k, string_agg('[RANK=' || rank || '][DOC=' || doc_id || '] ' || text, ' ' ORDER BY rank) AS s, bool_or(contains(text, substr(claim, 1, 40))) AS hit FROM k JOIN top ON top.item_id = k.item_id AND rank <= k.k GROUP BY ALL)
-SELECT item_id, k::INTEGER AS k, length(substr(s, 1, 3000))::INTEGER AS n_chars, md5(substr(s, 1, 3000)) AS joined, hit FROM j""")
+@query(f"""WITH {_TOP}, k AS (SELECT item_id, unnest([1, 3, 5]) AS k FROM benchmark), j AS (SELECT k.item_id, k.k, string_agg('[RANK=' || rank || '][PDF=' || doc_id || '][PAGE=' || unit || '] ' || text, ' ' ORDER BY rank) AS s, bool_or(contains(text, claim)) AS hit FROM k JOIN top ON top.item_id = k.item_id AND rank <= k.k GROUP BY ALL)
+SELECT item_id, k::INTEGER AS k, length(s)::INTEGER AS n_chars, md5(CASE WHEN length(s) > 3000 THEN substr(s, 1, 3000) || '...[TRUNCATED]' ELSE s END) AS joined, hit FROM j""")
 def concatenated_evidence(spark, d):
-    """The first one, three and five chunks of a claim as one marked text of at most 3000 characters, which is the feature."""
+    """The first one, three and five chunks of a claim as one marked text, cut and marked as cut after 3000 characters, which is the feature."""
     top = _top(spark, d).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).filter("rank <= k")
-    part = F.concat(F.lit("[RANK="), F.col("rank"), F.lit("][DOC="), F.col("doc_id"), F.lit("] "), F.col("text"))
+    part = F.concat(F.lit("[RANK="), F.col("rank"), F.lit("][PDF="), F.col("doc_id"), F.lit("][PAGE="), F.col("unit"), F.lit("] "), F.col("text"))
     rows = F.array_sort(F.collect_list(F.struct("rank", part.alias("part"))))  # five rows at most
-    out = top.groupBy("item_id", "k").agg(rows.alias("rows"), F.bool_or(F.contains("text", F.substring("claim", 1, 40))).alias("hit"))
-    joined = F.substring(F.array_join(F.transform("rows", lambda r: r["part"]), " "), 1, 3000)
-    return out.select("item_id", "k", F.length(joined).alias("n_chars"), F.md5(joined).alias("joined"), "hit")
+    out = top.groupBy("item_id", "k").agg(rows.alias("rows"), F.bool_or(F.contains("text", "claim")).alias("hit"))
+    joined = F.array_join(F.transform("rows", lambda r: r["part"]), " ")
+    cut = F.when(F.length(joined) > 3000, F.concat(F.substring(joined, 1, 3000), F.lit("...[TRUNCATED]"))).otherwise(joined)
+    return out.select("item_id", "k", F.length(joined).alias("n_chars"), F.md5(cut).alias("joined"), "hit")

@@ -112,12 +112,12 @@ def _risk_sql(c: str, e: str) -> str:
     return f"CASE WHEN {a} >= 2 AND {b} >= 1 THEN 3 WHEN {a} >= 1 AND {b} >= 1 THEN 2 WHEN {a} >= 1 THEN 1 ELSE 0 END"
 
 
-_SCREEN = f"""{_TOP}, sr AS (SELECT item_id, rank, {_risk_sql('claim', 'text')} AS risk, contains(text, substr(claim, 1, 40)) AS hit FROM top)
+_SCREEN = f"""{_TOP}, sr AS (SELECT item_id, rank, {_risk_sql('claim', 'text')} AS risk, contains(text, claim) AS hit FROM top)
 , sc AS (SELECT b.item_id, (b.item_id % 4)::INTEGER AS label, {_risk_sql('b.text', 'b.text')} AS known, coalesce(max(risk) FILTER (rank = 1), -1) AS first, coalesce(max(risk) FILTER (rank <= 3), -1) AS three, coalesce(bool_or(hit) FILTER (rank = 1), false) AS hit, count(risk) > 0 AS got FROM benchmark b LEFT JOIN sr USING (item_id) GROUP BY b.item_id, b.text)"""
 
 
 def _screen(spark, d):
-    x = _top(spark, d).select("item_id", "rank", rules.cue_risk(F.col("claim"), F.col("text"), _STRONG_C, _LIMIT_C).alias("risk"), F.contains("text", F.substring("claim", 1, 40)).alias("hit"))
+    x = _top(spark, d).select("item_id", "rank", rules.cue_risk(F.col("claim"), F.col("text"), _STRONG_C, _LIMIT_C).alias("risk"), F.contains("text", "claim").alias("hit"))
     by = x.groupBy("item_id").agg(F.max(F.when(F.col("rank") == 1, F.col("risk"))).alias("first"), F.max(F.when(F.col("rank") <= 3, F.col("risk"))).alias("three"), F.bool_or(F.when(F.col("rank") == 1, F.col("hit"))).alias("hit"))
     claims = _t(spark, d, "benchmark").select("item_id", (F.col("item_id") % 4).cast("int").alias("label"), rules.cue_risk(F.col("text"), F.col("text"), _STRONG_C, _LIMIT_C).alias("known"))
     return claims.join(by.withColumn("got", F.lit(True)), "item_id", "left").select("item_id", "label", "known", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("three", F.lit(-1)).alias("three"), F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("got", F.lit(False)).alias("got"))

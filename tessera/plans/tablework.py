@@ -122,16 +122,22 @@ def report_text_check(spark, d):
     return _t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", long_.alias("raw_text"), F.array_max(F.transform(lines, F.length)).alias("longest"))
 
 
-@query("SELECT 'documents' AS name, ['text'] = list_filter(['doc_id', 'text', 'lang', 'source', 'n_chars'], lambda c: c IN ('text', 'claim_text', 'evidence_text')) AS has_text, false AS has_label, 5::INTEGER AS n_columns UNION ALL SELECT 'labels', false, true, 3 UNION ALL SELECT 'pages', false, false, 3")
+@query("SELECT 'documents' AS name, true AS has_text, false AS has_label, 5::INTEGER AS n_columns, (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS n_empty UNION ALL SELECT 'labels', false, true, 3, (SELECT count(*) FROM labels), (SELECT count(*) FROM labels WHERE quality IS NULL OR toxic IS NULL) UNION ALL SELECT 'benchmark', true, false, 2, (SELECT count(*) FROM benchmark), (SELECT count(*) FROM benchmark WHERE coalesce(text, '') = '')")
 def artifact_columns(spark, d):
-    """Which tables hold texts and which labels, by their columns alone."""
+    """Which tables hold texts and which labels, how many rows they have, and in how many a text or label is missing."""
     def row(name):
-        c = _t(spark, d, name).columns
-        return name, bool({"text", "claim_text", "evidence_text"} & set(c)), bool({"quality", "toxic", "label"} & set(c)), len(c)
+        t = _t(spark, d, name)
+        texts, labels = [c for c in t.columns if c in ("text", "claim_text", "evidence_text")], [c for c in t.columns if c in ("quality", "toxic", "label")]
+        empty = F.lit(False)
+        for c in texts:
+            empty |= F.coalesce(F.col(c), F.lit("")) == ""
+        for c in labels:
+            empty |= F.col(c).isNull()
+        return t.agg(F.lit(name).alias("name"), F.lit(bool(texts)).alias("has_text"), F.lit(bool(labels)).alias("has_label"), F.lit(len(t.columns)).alias("n_columns"), F.count("*").alias("n_rows"), F.count_if(empty).alias("n_empty"))
 
     contract = validation.Contract(("doc_id", "text"), ("lang", "source", "n_chars"), ("true_label", "oracle_hit"))
     contract.check(_t(spark, d, "documents"), strict=True)
-    return spark.createDataFrame([row(n) for n in ("documents", "labels", "pages")], "name string, has_text boolean, has_label boolean, n_columns int")
+    return row("documents").unionByName(row("labels")).unionByName(row("benchmark"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 5 < 3 AS flag FROM orders")
@@ -248,15 +254,20 @@ def screening_intervals(spark, d):
     return simulation.interval(m.unpivot(["b"], ["recall", "captured"], "metric", "value"), ["metric"], "value")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({p}::DOUBLE, {k}::BIGINT, {v}::BIGINT)" for p, s in _SIZES.items() for k, v in s.items()) + ") AS t(prevalence, label, n)")
+@query(_W + """, c AS (SELECT label, count(*) AS c FROM s GROUP BY label), p AS (SELECT prevalence, label, CASE WHEN label = 2 THEN 0 ELSE c END AS c, greatest(1, floor(400 * prevalence + 0.5::DOUBLE)) AS first FROM c, unnest([0.01, 0.05, 0.1]::DOUBLE[]) AS t(prevalence))
+, e AS (SELECT *, sum(c) OVER (PARTITION BY prevalence ORDER BY label) AS upto, sum(c) OVER (PARTITION BY prevalence) AS every FROM p)
+SELECT prevalence, label, (CASE WHEN label = 2 THEN first ELSE floor((400 - first) * upto::DOUBLE / every + 0.5::DOUBLE) - floor((400 - first) * (upto - c)::DOUBLE / every + 0.5::DOUBLE) END)::BIGINT AS n FROM e""")
 def sample_compositions(spark, d):
-    return spark.createDataFrame([(p, k, v) for p, s in _SIZES.items() for k, v in s.items()], "prevalence double, label long, n long")
+    """What samples of 400 are made of at three prevalences, other labels as in the table."""
+    return simulation.compositions(_scores(spark, d), "label", 2, [0.01, 0.05, 0.10], 400)
 
 
-@query()
+@query(_W + f""", c AS (SELECT grp, label, count(*) AS n FROM s GROUP BY grp, label), p AS (SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY label), 9) AS part FROM c)
+, o AS (SELECT grp, sum(n) AS n, arg_max(label, (part, -label)) AS own FROM p GROUP BY grp), m AS (SELECT grp, (sum(n) OVER (PARTITION BY own ORDER BY {_H.format('grp')}) - n / 2::DOUBLE) / sum(n) OVER (PARTITION BY own) AS middle FROM o)
+SELECT grp, CASE WHEN middle < 0.6 THEN 'train' WHEN middle < 0.8 THEN 'dev' ELSE 'test' END AS split FROM m""")
 def stratified_membership(spark, d):
-    """Groups dealt to splits by least loss; each choice depends on those before, so SQL cannot say it."""
-    return simulation.stratified_membership(_scores(spark, d).select("grp", "label"), "grp", "label", {"train": 900, "dev": 300, "test": 300})
+    """Whole groups dealt to three splits, alike for every label."""
+    return simulation.stratified_membership(_scores(spark, d).select("grp", "label"), "grp", "label", {"train": 0.6, "dev": 0.2, "test": 0.2})
 
 
 @query(_W + f", r AS (SELECT cid, label, row_number() OVER (PARTITION BY label ORDER BY {_H.format('cid')}, cid) AS place FROM s) SELECT cid, label, CASE WHEN place <= 24 THEN 'train' WHEN place <= 32 THEN 'dev' ELSE 'test' END AS split FROM r WHERE place <= 40")
