@@ -16,6 +16,7 @@ PATTERNS = {
     "word": r"[a-z][a-z0-9_-]{2,}",
     "letter": r"[a-z][a-z0-9_\-]+",
     "pair": r"[a-z0-9]+(?:-[a-z0-9]+)?",
+    "words": r"[\p{L}\p{N}_]{2,}",
 }
 STOP_WORDS = {
     "selection": [
