@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import store
+
 
 @dataclass(frozen=True)
 class Target:
@@ -41,12 +43,17 @@ def fit(df: DataFrame, targets: dict[str, Target], runs: dict[int, Column], c: f
     known = df
     for f in features:
         known = known.filter(F.col(f).isNotNull())
-    scale = {r.run: r for r in scalers(known, features, runs).collect()}  # a row a run
-    packed = known.select(
+    path = store.scratch(spark, "detectors")  # what every step reads: numbers only, however the features were made
+    known.select(
+        *[F.col(f).cast("double").alias(f"x_{f}") for f in features],
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         F.array(*[F.coalesce(e, F.lit(False)) for e in runs.values()]).alias("r"),
         F.array(*[F.coalesce(F.col(t.label).cast("int"), F.lit(-1)) for t in targets.values()]).alias("y"),
-    )
+    ).write.parquet(path)
+    packed = spark.read.parquet(path)
+    mine = packed.select(*[F.col(f"x_{f}").alias(f) for f in features], "r")
+    scale = {r.run: r for r in scalers(mine, features, {k: F.get("r", F.lit(i)) for i, k in enumerate(runs)}).collect()}  # a row a run
+    packed = packed.select("x", "r", "y")
     sides = {}
     for j, t in enumerate(targets):
         for i, k in enumerate(runs):

@@ -85,14 +85,14 @@ def balanced(train: DataFrame, label: str) -> tuple[DataFrame, int]:
     return train.withColumn("_weight", F.element_at(of, F.col(label))), n
 
 
-def logistic(train: DataFrame, label: str, classes: int, c: float = 1.0):
+def logistic(train: DataFrame, label: str, classes: int, c: float = 1.0, tolerance: float = 1e-6):
     """A balanced logistic model of 0-based labels: weighted log loss times c plus half the squared weights, intercepts free."""
     rows, n = balanced(train, label)
     family = "binomial" if classes == 2 else "multinomial"
-    return LogisticRegression(labelCol=label, weightCol="_weight", family=family, regParam=1.0 / (c * n), standardization=False, tol=1e-8, maxIter=500, predictionCol="_said", probabilityCol="_prob", rawPredictionCol="_raw").fit(rows)
+    return LogisticRegression(labelCol=label, weightCol="_weight", family=family, regParam=1.0 / (c * n), standardization=False, tol=tolerance, maxIter=500, predictionCol="_said", probabilityCol="_prob", rawPredictionCol="_raw").fit(rows)
 
 
-def out_of_fold(df: DataFrame, key: str, fold: str, text: Column, label: str, stop: list[str] | None = None, longest: int = 2, least: int = 2, most: int = 1 << 18, c: float = 1.0) -> DataFrame:
+def out_of_fold(df: DataFrame, key: str, fold: str, text: Column, label: str, stop: list[str] | None = None, longest: int = 2, least: int = 2, most: int = 1 << 18, c: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """(key, fold, truth, predicted, p): every row predicted by a model of the other folds' rows and words only.
 
     fold is a small whole number, label anything of few values; p holds the probabilities of the labels in order. Rows
@@ -116,7 +116,7 @@ def out_of_fold(df: DataFrame, key: str, fold: str, text: Column, label: str, st
             train = mine.filter(F.col(fold) != f)
             if train.select("_y").distinct().count() < 2:
                 return None
-            return logistic(train, "_y", len(values), c).transform(mine.filter(F.col(fold) == f)).select(key, fold, "_y", "_said", vector_to_array("_prob").alias("p"))
+            return logistic(train, "_y", len(values), c, tolerance).transform(mine.filter(F.col(fold) == f)).select(key, fold, "_y", "_said", vector_to_array("_prob").alias("p"))
 
         with ThreadPool(FITS) as pool:  # folds are jobs of their own
             done = [g for g in pool.map(fitted, sorted(counts)) if g is not None]
