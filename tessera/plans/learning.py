@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
-from tessera.operators import ensemble, scoring, sparse, thresholds
-from tessera.plans.catalog import _W, _scores, _t, query
+from tessera.operators import containment, corpus, ensemble, resampling, scoring, skyline, sparse, thresholds
+from tessera.plans.catalog import _SENT, _W, _scores, _t, query
 
 # -- the thresholds of the cascade
 
@@ -160,3 +160,77 @@ def detector_votes(spark, d):
     p = ensemble.predictions(_shaped(spark, d), "doc_id", _models(spark, d), TARGETS, _runs(85, 100))
     routed = p.withColumn("pred", scoring.cascade(F.col("p_contra"), F.col("p_strong"), F.col("p_svm"), 0.55, 0.36, 0.5, 0.5))
     return scoring.vote(routed, "doc_id", "pred")
+
+
+# -- intervals by rows
+
+_B = 40
+_DRAWN = f"[{', '.join(repr(c) for c in resampling.CHANCES)}]::DOUBLE[]"
+
+
+def _ranked_sql(name: str, score: str) -> str:
+    u = "('0x' || substr(md5('42|' || b || '|' || cid), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
+    return f"""{name}_w AS (SELECT b, cid, {score} AS score, strong::INTEGER AS p, CASE WHEN b < 0 THEN 1 ELSE len(list_filter({_DRAWN}, lambda c: c <= {u})) END AS w FROM s, unnest(range(-1, {_B})) AS t(b))
+, {name}_c AS (SELECT b, p, w, sum(w) OVER o - w AS n, sum(w * p) OVER o - w * p AS h FROM {name}_w WINDOW o AS (PARTITION BY b ORDER BY score DESC, cid ROWS UNBOUNDED PRECEDING))
+, {name}_m AS (SELECT b, sum(p * w) AS hits, sum(w) AS total, {", ".join(f"sum(p * greatest(0, least(w, {k} - n))) AS k{k}" for k in (20, 50, 100))}, sum(CASE WHEN p = 1 THEN coalesce(list_sum(list_transform(range(1, w + 1), lambda j: (h + j)::DOUBLE / (n + j))), 0) ELSE 0 END) AS area FROM {name}_c GROUP BY b)
+, {name} AS (SELECT b, unnest([{", ".join(f"'precision_at_{k}'" for k in (20, 50, 100))}, {", ".join(f"'recall_at_{k}'" for k in (20, 50, 100))}, 'average_precision']) AS metric, unnest([{", ".join(f"k{k}::DOUBLE / least({k}, total)" for k in (20, 50, 100))}, {", ".join(f"k{k}::DOUBLE / hits" for k in (20, 50, 100))}, area / hits]) AS value FROM {name}_m)"""
+
+
+@query(_W + f", {_ranked_sql('m', 'p_strong')} SELECT metric, round(max(value) FILTER (b < 0), 6) AS point, round(quantile_cont(value, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(value, 0.975) FILTER (b >= 0), 6) AS high FROM m GROUP BY metric")
+def row_bootstrap(spark, d):
+    """Intervals of rank metrics when rows are drawn one by one."""
+    return resampling.intervals(resampling.rank_metrics(_scores(spark, d), "cid", "p_strong", "strong", times=_B))
+
+
+@query(_W + f", {_ranked_sql('m', 'p_strong')}, {_ranked_sql('k', 'p_svm')}, d AS (SELECT b, metric, round(k.value - m.value, 9) AS v FROM m JOIN k USING (b, metric)) SELECT metric, round(max(v) FILTER (b < 0), 6) AS delta, round(quantile_cont(v, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (b >= 0), 6) AS high, round(avg((v > 0)::INTEGER) FILTER (b >= 0), 4) AS share_above FROM d GROUP BY metric")
+def paired_row_bootstrap(spark, d):
+    """Differences of two orders' rank metrics, both on the same drawn rows."""
+    x = _scores(spark, d)
+    return resampling.paired(*[resampling.rank_metrics(x, "cid", c, "strong", times=_B) for c in ("p_strong", "p_svm")])
+
+
+# -- containment both ways
+
+_UNITS = f"{_SENT}, t AS (SELECT doc_id * 100000 + sent_id AS unit, sentence, length(sentence)::BIGINT AS n_chars FROM sent)"
+
+
+@query(f"""WITH {_UNITS}, m AS (SELECT item_id, unit, n_chars, CASE WHEN text = sentence THEN 0 ELSE 1 END AS kind FROM benchmark JOIN t ON contains(text, sentence) OR contains(sentence, text))
+, f AS (SELECT item_id, arg_min(unit, (kind, unit)) AS unit, min(kind) AS kind FROM m GROUP BY item_id)
+SELECT item_id, CASE WHEN f.kind IS NULL THEN 'missing' WHEN f.kind = 0 THEN 'exact' ELSE 'substring' END AS kind, coalesce(n_chars, 0) AS n_chars, coalesce(f.unit, 0) AS at FROM benchmark LEFT JOIN f USING (item_id) LEFT JOIN t ON t.unit = f.unit""")
+def evidence_lookup(spark, d):
+    """For every benchmark passage the sentence of the same text, else one that it holds or that holds it, else zeros."""
+    s = corpus.sentences(_t(spark, d, "documents")).select((F.col("doc_id") * 100000 + F.col("sent_id")).cast("long").alias("unit"), "sentence").withColumn("n_chars", F.length("sentence").cast("long")).withColumn("at", F.col("unit"))
+    return containment.lookup(_t(spark, d, "benchmark"), "item_id", "text", s, "unit", "sentence", ["n_chars", "at"])
+
+
+@query(f"WITH {_UNITS} SELECT item_id, count(*) AS n, min(unit) AS first, max(n_chars) AS longest FROM benchmark JOIN t ON contains(text, sentence) GROUP BY item_id")
+def contained_sentences(spark, d):
+    """How many sentences of all documents stand inside each benchmark passage."""
+    s = corpus.sentences(_t(spark, d, "documents")).select((F.col("doc_id") * 100000 + F.col("sent_id")).cast("long").alias("unit"), "sentence")
+    got = containment.contained(s, "unit", "sentence", _t(spark, d, "benchmark"), "item_id", "text")
+    return got.join(s, "unit").groupBy("item_id").agg(F.count("*").alias("n"), F.min("unit").alias("first"), F.max(F.length("sentence")).cast("long").alias("longest"))
+
+
+# -- fronts
+
+_FOUR = "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, -l_tax::DOUBLE AS c, -l_extendedprice::DOUBLE AS e FROM lineitem"
+
+
+def _four(spark, d):
+    k = lambda c: F.col(c).cast("double")
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", k("l_quantity").alias("a"), k("l_discount").alias("b"), (-k("l_tax")).alias("c"), (-k("l_extendedprice")).alias("e"))
+
+
+@query(f"WITH m AS ({_FOUR}), v AS (SELECT a, b, c, max(e) AS e FROM m GROUP BY a, b, c), f AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.e >= x.e AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.e > x.e))) SELECT l_orderkey, l_linenumber FROM m JOIN f USING (a, b, c, e)")
+def skyline_four(spark, d):
+    """Lines that no other line beats in quantity, discount, tax and price together."""
+    return skyline.front(_four(spark, d), ["a", "b", "c", "e"]).select("l_orderkey", "l_linenumber")
+
+
+_WEIGHTS = {"a": 0.4, "b": 0.3, "c": 0.2, "e": 0.1}
+
+
+@query(f"WITH m AS ({_FOUR}), r AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in _WEIGHTS)} FROM m), v AS (SELECT a, b, c, max(e) AS e FROM m GROUP BY a, b, c), f AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.e >= x.e AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.e > x.e))) SELECT l_orderkey, l_linenumber, round({' + '.join(f'{w}::DOUBLE * ({c} - lo_{c}) / (hi_{c} - lo_{c})' for c, w in _WEIGHTS.items())}, 6) AS utility FROM m JOIN f USING (a, b, c, e), r")
+def skyline_utility(spark, d):
+    """The front with each line's weighted utility over the extremes of all lines."""
+    return skyline.front(skyline.utility(_four(spark, d), _WEIGHTS), list(_WEIGHTS)).select("l_orderkey", "l_linenumber", F.round("_utility", 6).alias("utility"))
