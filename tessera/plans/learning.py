@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
-from tessera.operators import containment, corpus, ensemble, resampling, scoring, skyline, sparse, thresholds
+from tessera.operators import containment, corpus, ensemble, forest, resampling, scoring, skyline, sparse, thresholds
 from tessera.plans.catalog import _SENT, _W, _scores, _t, query
 
 # -- the thresholds of the cascade
@@ -234,3 +234,35 @@ _WEIGHTS = {"a": 0.4, "b": 0.3, "c": 0.2, "e": 0.1}
 def skyline_utility(spark, d):
     """The front with each line's weighted utility over the extremes of all lines."""
     return skyline.front(skyline.utility(_four(spark, d), _WEIGHTS), list(_WEIGHTS)).select("l_orderkey", "l_linenumber", F.round("_utility", 6).alias("utility"))
+
+
+# -- rankers
+
+_KS = (10, 20, 50, 100)
+
+
+@query(_W + f""", g AS (SELECT p_strong AS s, sum(strong::INTEGER) AS p, count(*) AS n FROM s GROUP BY 1), c AS (SELECT s, p, n, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS called, sum(p) OVER () AS hits, sum(n) OVER () AS total FROM g)
+, a AS (SELECT max(total)::BIGINT AS n, max(hits)::BIGINT AS n_positive, round(1 - sum(p * (called - tp - (n - p) / 2.0::DOUBLE)) / (max(hits) * (max(total) - max(hits))), 6) AS auc, round(sum(p * tp::DOUBLE / called) / max(hits), 6) AS average_precision FROM c)
+, o AS (SELECT strong::INTEGER AS p, row_number() OVER (ORDER BY p_strong DESC, cid) AS place, greatest(1, floor(count(*) OVER () * 0.05::DOUBLE)) AS reviewed FROM s)
+, k AS (SELECT {", ".join(f"count(*) FILTER (p = 1 AND place <= {k}) AS k{k}" for k in _KS)}, count(*) FILTER (p = 1 AND place <= reviewed) AS tp, max(reviewed) AS reviewed FROM o)
+SELECT a.*, {", ".join(f"round(k{k} / {k}.0::DOUBLE, 6) AS precision_at_{k}" for k in _KS)}, {", ".join(f"round(k{k}::DOUBLE / n_positive, 6) AS recall_at_{k}" for k in _KS)}, round((reviewed - tp) / greatest(tp, 1), 6) AS fp_tp FROM a, k""")
+def ranker_metrics(spark, d):
+    """Area, average precision and precision at k of one score over all candidates."""
+    return forest.ranking(_scores(spark, d), "cid", "p_strong", "strong", _KS)
+
+
+@query()
+def learned_ranker(spark, d):
+    """A forest and a logistic model that learn toxic documents on some groups, measured on others."""
+    x = _shaped(spark, d).withColumn("toxic", (F.col("label") >= 2).cast("int"))
+    split = {0: _runs(0, 85)[0]}
+    train, test = x.filter(split[0]), x.filter(~split[0])
+    grown = forest.fit(train, "doc_id", list(_SHAPE), "toxic")
+    target = {"toxic": ensemble.Target("toxic", tuple(_SHAPE))}
+    line = ensemble.fit(x, target, split).get((0, "toxic"))
+    made = {"forest": forest.score(test, "doc_id", grown, keep=("toxic",)), "logistic": test.select("doc_id", "toxic", ensemble.probability(line).alias("score"))}
+    out = None
+    for name, s in made.items():
+        row = forest.ranking(s, "doc_id", "score", "toxic", _KS).withColumn("learner", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
