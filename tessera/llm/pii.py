@@ -28,21 +28,37 @@ _TOKEN = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][_-])(?=(?:[A-Za-z]|[_-](?=[A-Za-z0-9]
 _KEY = r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,})$"
 
 
+#: Matches whose spans one fold gathers; a fold copies what it gathered at every match.
+_FOLD = 256
+
+
 def _located(text: Column, pattern: str, kind: int, wanted) -> Column:
     """Spans of the matches of pattern that are wanted, from the lengths of the pieces between them and of themselves.
 
-    c is the context of a match in the piece before it, which reaches back to the match before or to the start."""
+    c is the context of a match in the piece before it, which reaches back to the match before or to the start. Matches
+    are taken in folds of bounded size, each begun where the ones before it end, so the cost follows their number."""
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("g"), _context(g).alias("c"), h.alias("h"), F.char_length(h).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, x):
         s = acc["at"] + x["g"]
         one = F.array(F.struct(F.lit(kind).alias("k"), s.alias("s"), (s + x["n"]).alias("e"), x["h"].alias("t"), x["c"].alias("c")))
         return F.struct((s + x["n"]).alias("at"), F.when(wanted(x["h"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    def spans(fold, at):
+        return F.aggregate(fold, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step)["out"]
+
+    def begins(folds):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        length = lambda fold: F.aggregate(fold, F.lit(0), lambda n, x: n + x["g"] + x["n"])
+        return F.aggregate(F.transform(folds, length), none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    # an array of one binds what it holds, which is so made once and not at every use
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _FOLD).cast("int")), lambda i: F.slice(p, i * _FOLD + 1, F.lit(_FOLD)))
+    laid = lambda folds: F.flatten(F.zip_with(folds, begins(folds), spans))
+    return F.when(F.size(hits) > 0, bound(bound(pairs, cut), laid)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(x: Column) -> Column:
@@ -151,7 +167,9 @@ def find(docs: DataFrame, **graph) -> DataFrame:
     and then kind; spans holds base and what the bootstrap adds (kind id: key-shaped seeds, and strings that a trusted
     pattern precedes, unless they overlap a base span). Null text counts as empty and has no spans. Equal texts have
     equal spans; repeated rows and ids keep one row each; other columns are ignored; an empty table gives an empty
-    result. Texts are read once; what is shuffled are spans and contexts only.
+    result. Texts are read once; what is shuffled are spans and contexts only. What the bootstrap adds are strings of
+    eight or more ASCII letters, digits, hyphens and underscores with a digit among them: a secret without a digit, or
+    with other characters inside, is not found.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_key"), text.alias("t")).select(

@@ -123,7 +123,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
     Empty and null texts are scored as the empty text. Equal texts get equal scores; every row is kept, repeated ones
-    too; other columns pass through, except ones named score or predicted, which are replaced. Without labelled rows
+    too; other columns pass through, except ones named score or predicted, which are replaced. An id labelled both 0
+    and 1 counts as labelled 1. Without labelled rows
     of both classes every score is the labelled share of class 1, smoothed (0.5 with no labels at all). Labels, ids
     and other columns are never inputs of a score. One scan for the bounded sample, then a map without a shuffle.
     """

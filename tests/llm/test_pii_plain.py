@@ -122,3 +122,12 @@ def test_all_spans(spark, which):
         assert (r.base_sha256, r.spans) == (hashlib.sha256(base.encode()).hexdigest(), spans), t[:300]
         added += r.n_id
     assert added  # else nothing but base spans was compared
+
+
+def test_spans_of_many_matches_are_gathered_in_folds(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a@b.cd", "1.2.3.4", "ab12cd34ef", "plain", "+49 (30) 123 4567"]) for _ in range(n)) for n in (0, 1, 6, 7, 8, 70)]
+    monkeypatch.setattr(pii, "_FOLD", 3)
+    got = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for (base, spans), r in zip(plain(texts), got, strict=True):
+        assert (r.base_sha256, r.spans) == (hashlib.sha256(base.encode()).hexdigest(), spans)
