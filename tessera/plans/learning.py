@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
-from tessera.operators import containment, corpus, ensemble, forest, resampling, scoring, skyline, sparse, thresholds
+from tessera.operators import containment, corpus, ensemble, forest, nested, resampling, scoring, skyline, sparse, thresholds
 from tessera.plans.catalog import _SENT, _W, _scores, _t, query
 
 # -- the thresholds of the cascade
@@ -266,3 +266,25 @@ def learned_ranker(spark, d):
         row = forest.ranking(s, "doc_id", "score", "toxic", _KS).withColumn("learner", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# -- nested manifests
+
+
+def _manifests(spark, d):
+    """One JSON an order: its lines as records, in arrays under their return flag, with a field some lack."""
+    rec = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("double").alias("quantity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("mode"), F.struct(F.col("l_suppkey").alias("supplier")).alias("source"))
+    by = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(rec)).alias("r"))  # an order's lines
+    return by.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "r")))).alias("manifest"))
+
+
+@query("SELECT l_orderkey, l_returnflag AS grp, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_quantity, l_linestatus, l_suppkey) - 1)::INTEGER AS place, l_linenumber::BIGINT AS line, l_quantity::DOUBLE AS quantity, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS mode FROM lineitem")
+def nested_ledger(spark, d):
+    """The records of manifests whose groups are not known before."""
+    return nested.ledger(_manifests(spark, d), ["l_orderkey"], "manifest", {"line": "bigint", "quantity": "double", "mode": "string"})
+
+
+@query("""WITH x AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem) SELECT path, count(*) AS n FROM (SELECT f || '[].line' AS path FROM x UNION ALL SELECT f || '[].quantity' FROM x UNION ALL SELECT f || '[].mode' FROM x WHERE n % 2 = 0 UNION ALL SELECT f || '[].source.supplier' FROM x) GROUP BY path""")
+def manifest_paths(spark, d):
+    """Every path to a value in the manifests and how many values it leads to."""
+    return nested.leaves(_manifests(spark, d), ["l_orderkey"], "manifest").groupBy("path").agg(F.count("*").alias("n"))
