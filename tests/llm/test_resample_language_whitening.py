@@ -168,7 +168,7 @@ def test_whitening_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(whitening, "PAIRS", 4)  # several aggregations
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 1 + j) for j in range(5)]) for i in range(60)]
-    rows += [(100, rows[0][1]), (101, rows[0][1][:3]), (102, []), (103, [-1e6] * 5), (104, [0.0] * 4)]
+    rows += [(100, rows[0][1]), (101, rows[0][1][:3]), (102, []), (103, [-1e5] * 5), (104, [0.0] * 4)]
     odd = [(200, None), (201, [1.0, None, 2.0]), (202, [float("nan")] * 5), (203, [1.0, float("inf")])]
     v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("n", F.lit(1)).withColumn("x", F.lit("y"))
     compare(whitening.whiten(v).collect(), rows + odd)
@@ -178,3 +178,9 @@ def test_whitening_of_odd_rows(spark, monkeypatch):
     assert whitening.whiten(v.filter("vec_id in (0, 100, 200)")).collect() == []
     two = whitening.whiten(v.filter("vec_id in (0, 1, 100)")).collect()
     assert {r.component for r in two} == {1} and {r.n for r in two} == {2}
+
+
+def test_deviation_that_no_long_holds_is_an_error(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), (-1) ** i * 1e8]) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds a long"):
+        whitening.whiten(v).collect()
