@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import store
+
 #: Characters of the runs that index texts; shorter texts are looked up by runs of their own length.
 RUN = 8
+#: Characters of the pieces that runs are cut from.
+PIECE = 256
 
 
 def _anchors(needles: DataFrame) -> DataFrame:
@@ -17,9 +21,10 @@ def _anchors(needles: DataFrame) -> DataFrame:
     return needles.select("needle", size.alias("size"), F.explode(F.transform(starts, lambda i: F.substring(F.col("needle"), i, size))).alias("run"))
 
 
-def _runs(size: int):
-    starts = F.sequence(F.lit(1), F.greatest(F.length("hay") - (size - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(F.col("hay"), i, F.lit(size)))
+def _runs(size: int) -> Column:
+    """All runs that start in a piece; a longer text would be walked from its start for each."""
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length("piece") - (size - 1), F.lit(PIECE)), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(F.col("piece"), i, F.lit(size)))
 
 
 def contained(needles: DataFrame, needle_key: str, needle: str, hays: DataFrame, hay_key: str, hay: str) -> DataFrame:
@@ -36,9 +41,11 @@ def contained(needles: DataFrame, needle_key: str, needle: str, hays: DataFrame,
     sizes = sorted(r[0] for r in anchors.select("size").distinct().collect())  # RUN of them at most
     if not sizes:
         return n.join(h, F.lit(False)).select(needle_key, hay_key)
-    runs = h.select(hay_key, F.explode(F.array_distinct(F.concat(*[_runs(s) for s in sizes]))).alias("run"))
+    begins = F.sequence(F.lit(0), F.floor((F.length("hay") - 1) / PIECE).cast("int"))
+    cut = h.select(hay_key, F.explode(F.transform(begins, lambda j: F.substring(F.col("hay"), j * PIECE + 1, F.lit(PIECE + RUN - 1)))).alias("piece"))
+    runs = cut.select(hay_key, F.explode(F.array_distinct(F.concat(*[_runs(s) for s in sizes]))).alias("run"))
     wanted = anchors.select("run").distinct()
-    met = runs.join(wanted, "run", "left_semi")
+    met = runs.join(wanted, "run", "left_semi").distinct()
     count = met.groupBy("run").agg(F.count("*").alias("n"))
     ranked = anchors.join(count, "run", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.groupBy("needle").agg(F.min(F.struct("n", "run")).alias("best")).filter("best.n > 0").select("needle", F.col("best.run").alias("run"))
@@ -49,8 +56,12 @@ def contained(needles: DataFrame, needle_key: str, needle: str, hays: DataFrame,
 def lookup(rows: DataFrame, key: str, text: str, table: DataFrame, order: str, table_text: str, values: list[str]) -> DataFrame:
     """(key, kind, values): for each row the table's row of the same text, else one that holds it or is held by it, else zeros.
 
-    Of several the least by order, which no two rows of the table share. kind is exact, substring or missing.
+    Of several the least by order, which no two rows of the table share. kind is exact, substring or missing. The table
+    is read four times, so it is stored first.
     """
+    path = store.scratch(table.sparkSession, "lookup")
+    table.write.parquet(path)
+    table = table.sparkSession.read.parquet(path)
     t = table.select(F.col(order).alias("_o"), F.col(table_text).alias("_t"))
     r = rows.select(key, F.col(text).alias("_x"))
     exact = r.join(t, F.col("_x") == F.col("_t")).select(key, "_o", F.lit(0).alias("_rank"))

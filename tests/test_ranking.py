@@ -105,7 +105,9 @@ def test_rank_metrics_of_resamples_equal_plain_lists(spark, size):
     assert resampling.rank_metrics(df.limit(0), "k", "s", "y", times=2).agg(F.max("value")).first()[0] == 0.0
 
 
-def test_containment_equals_all_pairs(spark):
+@pytest.mark.parametrize("piece", [3, 256])
+def test_containment_equals_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(containment, "PIECE", piece)
     rng = random.Random(1)
     make = lambda n: "".join(rng.choices("ab ", k=n))
     hays = [(i, make(rng.randint(0, 60))) for i in range(60)] + [(900, None), (901, "the long éáí passage")]
