@@ -70,6 +70,14 @@ def forward_windows(rows: DataFrame, size: int = 3, key: str = "doc_id") -> Data
     return out.filter(F.col("rn") <= F.greatest(F.lit(1), F.col("total") - size + 1)).select(key, "start", F.size("parts").alias("n"), F.array_join("parts", " ").alias("window"))
 
 
+def document_windows(docs: DataFrame, size: int = 3, key: str = "doc_id") -> DataFrame:
+    """(key, start, n, window): forward_windows of whole texts, cut from a document's sentences within its row, without a shuffle."""
+    rows = docs.select(key, T.split_sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - (size - 1)))
+    cut = F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.slice("s", i, F.lit(size)).alias("parts")))
+    return rows.select(key, F.inline(cut)).select(key, "start", F.size("parts").alias("n"), F.array_join("parts", " ").alias("window"))
+
+
 def centred_windows(rows: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """(key, order, window): each unit with the one before and the one after."""
     w = Window.partitionBy(key).orderBy(order)

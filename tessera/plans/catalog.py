@@ -110,7 +110,7 @@ def sentence_split(spark, d):
 
 @query(f"WITH {_SENT}, w AS (SELECT doc_id, sent_id AS start, list(sentence) OVER f AS parts, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM sent WINDOW f AS (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT doc_id, start, len(parts)::INTEGER AS n, md5(array_to_string(parts, ' ')) AS win FROM w WHERE rn <= greatest(1, total - 2)")
 def window_forward(spark, d):
-    return corpus.forward_windows(corpus.sentences(_t(spark, d, "documents"))).select("doc_id", F.col("start").cast("long").alias("start"), "n", F.md5("window").alias("win"))
+    return corpus.document_windows(_t(spark, d, "documents")).select("doc_id", F.col("start").cast("long").alias("start"), "n", F.md5("window").alias("win"))
 
 
 @query("SELECT conv_id, turn, md5(concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w)) AS win FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

@@ -155,7 +155,8 @@ class PdfPages:
     """
 
     def __init__(self, f: pa.NativeFile) -> None:
-        self.f, self.at, self.offsets, self.pages, self.labels, self.glyphs = f, 0, {}, [], [], {}
+        self.f, self.at, self.offsets, self.pages, self.labels = f, 0, {}, [], []
+        self.glyphs, self.shown = np.full(1 << 16, -1, np.int32), []  # a glyph's number by code unit, and the other way round
         self._put(b"%PDF-1.7\n")
 
     def _put(self, b: bytes) -> None:
@@ -173,15 +174,18 @@ class PdfPages:
     def add(self, row: T.Row) -> None:
         number, lines = 5 + 2 * len(self.pages), []
         for line in [] if row["page_text"] is None else row["page_text"].split("\n"):
-            units = np.frombuffer(line.encode("utf-16-be"), ">u2").tolist()
-            lines.append(b"<%s> Tj" % b"".join(b"%04X" % self.glyphs.setdefault(u, len(self.glyphs)) for u in units))
+            units = np.frombuffer(line.encode("utf-16-be"), ">u2")
+            new = np.unique(units[self.glyphs[units] < 0])
+            self.glyphs[new] = np.arange(len(self.shown), len(self.shown) + len(new))
+            self.shown += new.tolist()
+            lines.append(b"<%s> Tj" % self.glyphs[units].astype(">u2").tobytes().hex().encode())
         self._stream(number, b"BT /F1 10 Tf 12 TL 40 800 Td\n%s\nET" % b" T*\n".join(lines) if lines else b"")
         self._object(number + 1, b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % number)
         self.pages.append(number + 1)
         self.labels.append(str(row["label"]).encode("utf-16-be").hex().upper().encode())
 
     def close(self) -> None:
-        pairs = [b"<%04X> <%04X>" % (g, u) for u, g in self.glyphs.items()]
+        pairs = [b"<%04X> <%04X>" % (g, u) for g, u in enumerate(self.shown)]
         maps = b"".join(b"%d beginbfchar\n%s\nendbfchar\n" % (len(p), b"\n".join(p)) for p in (pairs[i : i + 100] for i in range(0, len(pairs), 100)))
         self._stream(4, b"/CIDInit /ProcSet findresource begin begincmap\n1 begincodespacerange <0000> <FFFF> endcodespacerange\n%sendcmap end" % maps)
         self._object(3, b"<< /Type /Font /Subtype /Type0 /BaseFont /Text /Encoding /Identity-H /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Text /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> >>] /ToUnicode 4 0 R >>")
@@ -196,8 +200,10 @@ class PdfPages:
 class PdfFile:
     """Objects of a PDF file with a classic cross-reference table, read one by one at their offsets."""
 
+    UNKNOWN: dict[int, bytes] = {}
+
     def __init__(self, f: pa.NativeFile) -> None:
-        self.f, self.offsets, self.fonts, self.root = f, {}, {}, None
+        self.f, self.offsets, self.fonts, self.tables, self.root = f, {}, {}, {}, None
         size = f.size()
         tail = self._bytes(max(0, size - 2048), size)
         found = re.findall(rb"startxref\s+(\d+)", tail)
@@ -279,23 +285,36 @@ class PdfFile:
             self.fonts[number] = known
         return self.fonts[number]
 
+    def plain(self, font: dict[int, bytes]) -> np.ndarray | None:
+        """The map of a font as a table of code units, if every code stands for just one."""
+        if id(font) not in self.tables:
+            table = np.arange(1 << 16).astype(">u2")
+            single = all(len(v) == 2 for v in font.values())
+            if single and font:
+                table[list(font)] = np.frombuffer(b"".join(font.values()), ">u2")
+            self.tables[id(font)] = table if single else None
+        return self.tables[id(font)]
+
     def text(self, page: int) -> str:
         """What a page shows: hexadecimal strings by the font's map, literal ones as Latin-1 where the font has none."""
         body = self.get(page)
         fonts = {name: self.unicode(int(n)) for name, n in re.findall(rb"/(\w+)\s+(\d+)\s+0\s+R", (re.search(rb"/Font\s*<<(.*?)>>", body, re.S) or [b"", b""])[1])}
         inside = re.search(rb"/Contents\s*\[(.*?)\]", body, re.S)
         parts = [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", inside[1])] if inside else [self._ref(body, b"Contents")]
-        out, font, shown = [], {}, False
+        out, font, shown = [], self.UNKNOWN, False
         for m in re.finditer(rb"/(?P<font>\w+)\s+[\d.]+\s+Tf|<(?P<hex>[0-9A-Fa-f\s]*)>|\((?P<lit>(?:\\.|[^\\()])*)\)|(?P<move>\bT\*|\bT[dD]\b|'|\")", b"\n".join(map(self.stream, parts)), re.S):
             if m["font"] is not None:
-                font = fonts.get(m["font"], {})
+                font = fonts.get(m["font"], self.UNKNOWN)
             elif m["move"] is not None:
                 out += [b"\x00\n"] if shown else []
             else:
                 shown = True
                 if m["hex"] is not None:
-                    digits = re.sub(rb"\s", b"", m["hex"])
-                    codes = np.frombuffer(bytes.fromhex(digits.decode()), ">u2").tolist()
+                    codes = np.frombuffer(bytes.fromhex(m["hex"].decode()), ">u2")
+                    if (plain := self.plain(font)) is not None:
+                        out.append(plain[codes].tobytes())
+                        continue
+                    codes = codes.tolist()
                 else:
                     codes = re.sub(rb"\\(.)", lambda e: {b"n": b"\n", b"t": b"\t", b"r": b"\r"}.get(e[1], e[1]), m["lit"], flags=re.S)
                 out += [font.get(c, c.to_bytes(2, "big")) for c in codes]
