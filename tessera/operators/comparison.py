@@ -17,8 +17,9 @@ def by_dice(units: DataFrame, claims: DataFrame, key: str, order: str, text: str
 
     One claim a document; a document's units meet its claim alone, so the work is linear in the text.
     """
-    score = F.round(K.dice(K.tokenize(F.col(claim)), K.tokenize(F.col(text))), 6)
-    scored = units.join(claims.select(key, claim), key).select(key, order, score.alias("score"))
+    terms = lambda c: F.array_distinct(K.tokenize(F.col(c)))
+    both = units.select(key, order, terms(text).alias("_u")).join(claims.select(key, terms(claim).alias("_c")), key)
+    scored = both.select(key, order, F.round(K.dice(F.col("_c"), F.col("_u")), 6).alias("score"))
     at = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), order))
     return scored.withColumn("rank", at).filter(F.col("rank") <= most)
 

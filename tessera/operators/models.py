@@ -104,14 +104,43 @@ def temperature(df: DataFrame, p: str, positive: str, grid: list[float]) -> Data
     return by.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).groupBy("t").agg(F.round(-F.sum(F.col("pos") * F.log(q) + (F.col("n") - F.col("pos")) * F.log(1 - q)) / F.sum("n"), 6).alias("loss"))
 
 
+def platt(counts: DataFrame, steps: int = 25, least: float = 1e-12) -> tuple[float, float]:
+    """(slope, intercept) of the logistic curve that fits counts (s, p, n) best: n rows of score s, of which p are positive.
+
+    Newton's method; a step is one scan of the counts that brings five sums back. It ends when the largest change is
+    below `least`. Where the positives lie wholly apart there is no best curve, and the one after `steps` steps is given.
+    """
+    a = b = 0.0
+    for _ in range(steps):
+        q = 1 / (1 + F.exp(-(a * F.col("s") + b)))
+        r, w = F.col("p") - F.col("n") * q, F.col("n") * q * (1 - q)
+        ga, gb, haa, hab, hbb = counts.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (r * F.col("s"), r, w * F.col("s") * F.col("s"), w * F.col("s"), w)]).first()
+        det = haa * hbb - hab * hab
+        if det <= 1e-12 * max(haa * hbb, 1e-300):  # one distinct score, or none: the slope says nothing
+            da, db = 0.0, gb / hbb if hbb > 0 else 0.0
+        else:
+            da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        a, b = a + da, b + db
+        if max(abs(da), abs(db)) < least:
+            break
+    return a, b
+
+
 def calibrate(df: DataFrame, key: str, p: str, positive: str) -> DataFrame:
-    """(key, isotonic, platt): scores mapped by isotonic regression and by a logistic curve, both fitted on df."""
-    from pyspark.ml.classification import LogisticRegression
+    """(key, isotonic, platt): scores mapped by isotonic regression and by a logistic curve, both fitted on df.
+
+    Rows are counted by distinct score once, and both fits read these counts alone.
+    """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = VectorAssembler(inputCols=[p], outputCol="features").transform(df.select(key, F.col(p), F.col(positive).cast("double").alias("label")))
-    iso = IsotonicRegression(featuresCol="features", labelCol="label", predictionCol="isotonic").fit(rows)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", probabilityCol="prob", maxIter=50).fit(rows)
-    return lr.transform(iso.transform(rows)).select(key, F.col("isotonic"), vector_to_array("prob")[1].alias("platt"))
+    from tessera.sources import store
+
+    path = store.scratch(df.sparkSession, "score-counts")
+    df.groupBy(F.col(p).cast("double").alias("s")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count("*").cast("double").alias("n")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    points = VectorAssembler(inputCols=["s"], outputCol="features").transform(counts.withColumn("label", F.col("p") / F.col("n")))
+    iso = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="n", predictionCol="isotonic").fit(points)
+    a, b = platt(counts)
+    mapped = iso.transform(points).select(F.col("s").alias(p), F.round("isotonic", 6).alias("isotonic"), F.round(1 / (1 + F.exp(-(a * F.col("s") + b))), 6).alias("platt"))
+    return df.select(key, F.col(p).cast("double").alias(p)).join(mapped, p).select(key, "isotonic", "platt")

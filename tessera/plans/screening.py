@@ -129,8 +129,16 @@ def temperature_grid(spark, d):
     return models.temperature(_scores(spark, d), "p_strong", "strong", [0.5, 0.75, 1.0, 1.5, 2.0, 3.0])
 
 
-@query()
+# isotonic: the largest, over starts at or before a score, of the smallest, over ends at or after it, of the mean between
+_ISO = """by_ AS (SELECT p_strong AS s, count(*) FILTER (strong)::DOUBLE AS p, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p_strong) AS i FROM s GROUP BY p_strong), up AS (SELECT *, sum(p) OVER (ORDER BY i) AS sp, sum(n) OVER (ORDER BY i) AS sn FROM by_)
+, pair AS (SELECT a.i AS i, b.i AS j, (b.sp - a.sp + a.p) / (b.sn - a.sn + a.n) AS m FROM up a JOIN up b ON a.i <= b.i), low AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM pair), iso AS (SELECT j AS i, max(m) AS isotonic FROM low GROUP BY j)"""
+_PLATT = """fit AS (SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT k + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT k, a, b, sum((p - n * q) * s) AS ga, sum(p - n * q) AS gb, sum(n * q * (1 - q) * s * s) AS haa, sum(n * q * (1 - q) * s) AS hab, sum(n * q * (1 - q)) AS hbb FROM (SELECT fit.*, by_.*, 1 / (1 + exp(-(a * s + b))) AS q FROM fit, by_ WHERE k < 12) GROUP BY k, a, b))"""
+
+
+@query(_W.replace("WITH", "WITH RECURSIVE", 1) + f", {_ISO}, {_PLATT} SELECT cid, round(isotonic, 6) AS isotonic, round(1 / (1 + exp(-(a * p_strong + b))), 6) AS platt FROM s JOIN by_ ON by_.s = p_strong JOIN iso USING (i) CROSS JOIN (SELECT a, b FROM fit WHERE k = 12)")
 def calibrated(spark, d):
+    """Scores calibrated by isotonic regression and by a logistic curve."""
     return models.calibrate(_scores(spark, d), "cid", "p_strong", "strong")
 
 

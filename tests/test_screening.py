@@ -1,5 +1,6 @@
 """Operators without a SQL form against plain versions, and the schema guards."""
 
+import math
 import difflib
 import hashlib
 from fractions import Fraction
@@ -146,3 +147,12 @@ def test_action_shortcut(spark):
     rows = [("we improve and extend it", "they improved things", True), ("we improve and extend it", "improvements extended", False), ("we build it", "building on sand", False), ("we build it", "no such thing", True), ("nothing here", "x", False), ("we build it", "", False)]
     got = spark.createDataFrame(rows, "c string, e string, want boolean").select("want", errors.action_shortcut(F.col("c"), F.col("e")).alias("got"))
     assert all(r.got == r.want for r in got.collect())
+
+
+def test_platt_of_odd_counts(spark):
+    counts = lambda rows: spark.createDataFrame(rows, "s double, p double, n double")
+    assert models.platt(counts([])) == (0.0, 0.0)
+    a, b = models.platt(counts([(0.5, 3.0, 4.0)]))
+    assert a == 0.0 and b == pytest.approx(math.log(3))
+    a, b = models.platt(counts([(0.0, 1.0, 4.0), (1.0, 3.0, 4.0)]))
+    assert (a, b) == (pytest.approx(2 * math.log(3)), pytest.approx(-math.log(3)))
