@@ -133,7 +133,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     bound the shortest stretch that holds them, the earliest of equals; n_windows counts the stretches that reach the
     threshold and hold no shorter one that does. Templates (a dict, so bounded by the caller) must have five words.
     Null, empty and short texts quote nothing; a repeated row or id gives its rows once, with the best of its texts;
-    other columns are ignored; an empty table gives an empty result. All figures are exact. Map side only, apart from
+    rows with a null id are documents of their own, told apart by their texts; other columns are ignored; an empty table gives an empty result. All figures are exact. Map side only, apart from
     dropping repeated rows of retrieved texts and the final grouping by document and template of what was verified.
     """
     spark = docs.sparkSession
@@ -152,18 +152,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     # an explode of one element keeps the optimiser from moving the filters below and repeating the words in them
     held = lambda x, name: F.explode(F.array(x)).alias(name)
     h = docs.select("doc_id", held(words(F.col("text").cast("string")), "w")).select("doc_id", held(shingles(F.col("w")), "h")).filter(F.size("h") > 0)
-    found = h.select("doc_id", "h", held(F.array_intersect(band_keys(F.col("h"), single), bands), "k")).filter(F.size("k") > 0)
+    # documents without an id are told apart by their texts
+    h = h.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.xxhash64("h")))
+    found = h.select("doc_id", "nameless", "h", held(F.array_intersect(band_keys(F.col("h"), single), bands), "k")).filter(F.size("k") > 0)
     named = F.array_compact(F.array(*[F.when(F.arrays_overlap("k", array(v)), F.lit(name)) for name, v in keys.items()]))
     own = F.array_intersect("h", every)
-    hits = found.select("doc_id", named.alias("licenses"), "h", held(own, "own"))
+    hits = found.select("doc_id", "nameless", named.alias("licenses"), "h", held(own, "own"))
     at = F.filter(F.transform("h", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_contains("own", p["x"]))
-    near = durable(hits.select("doc_id", "licenses", at.alias("p")).distinct(), "license-shingles")
+    near = durable(hits.select("doc_id", "nameless", "licenses", at.alias("p")).distinct(), "license-shingles")
     least = {k: next(m for m in range(1, len(v) + 1) if m / len(v) >= threshold or m == len(v)) for k, v in sets.items()}
     sides = F.broadcast(spark.createDataFrame([(k, v, least[k]) for k, v in sets.items()], "license string, t array<bigint>, need int"))
-    pairs = near.select("doc_id", "p", F.explode("licenses").alias("license")).join(sides, "license").withColumn("found", F.size(F.array_intersect("p.x", "t")))
+    pairs = near.select("doc_id", "nameless", "p", F.explode("licenses").alias("license")).join(sides, "license").withColumn("found", F.size(F.array_intersect("p.x", "t")))
     pairs = pairs.withColumn("containment", F.col("found") / F.size("t").cast("double")).filter(F.col("containment") >= threshold)
     best = F.struct(-F.col("containment"), F.col("x.width"), F.col("x.s"), F.col("x.e"))
-    out = pairs.withColumn("x", _stretches()).groupBy("doc_id", "license").agg(F.min(best).alias("b"), F.sum("x.n").alias("n_windows")).select(
+    out = pairs.withColumn("x", _stretches()).groupBy("doc_id", "nameless", "license").agg(F.min(best).alias("b"), F.sum("x.n").alias("n_windows")).select(
         "doc_id", "license", (-F.col("b.col1")).alias("containment"), F.col("b.s").cast("long").alias("start_word"), (F.col("b.e") + SHINGLE).cast("long").alias("end_word"), "n_windows"
     )
     out = durable(out, "license-found")

@@ -157,6 +157,8 @@ def test_licenses_of_repeated_rows_and_scattered_shingles(spark):
     assert {k for k in got if k[1] != "mit-grant"} == {*((i, "mit-text") for i in (1, 2, 3, 4)), (5, "mit"), (6, "mit")}
     assert got[1, "mit-text"].containment == got[3, "mit-text"].containment == 1.0 and got[4, "mit-text"].start_word == 50_000
     assert licenses.scan(docs, {}).count() == 0
+    nameless = spark.createDataFrame([(None, full), (None, full), (None, "one " + full), (None, "two three " + full)], "doc_id long, text string")
+    assert sorted(r.start_word for r in licenses.scan(nameless).filter("license = 'mit-text'").collect()) == [0, 1, 2]
 
 
 def test_quality_of_empty_tables_and_long_texts(spark):
