@@ -72,8 +72,9 @@ def forward_windows(rows: DataFrame, size: int = 3, key: str = "doc_id") -> Data
 
 def document_windows(docs: DataFrame, size: int = 3, key: str = "doc_id") -> DataFrame:
     """(key, start, n, window): forward_windows of whole texts, cut from a document's sentences within its row, without a shuffle."""
-    rows = docs.select(key, T.split_sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - (size - 1)))
+    rows = docs.select(key, T.split_sentences(F.col("text")).alias("s"))
+    # a filter on the number of sentences would split every text twice
+    starts = F.when(F.size("s") > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - (size - 1)))).otherwise(F.array().cast("array<int>"))
     cut = F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.slice("s", i, F.lit(size)).alias("parts")))
     return rows.select(key, F.inline(cut)).select(key, "start", F.size("parts").alias("n"), F.array_join("parts", " ").alias("window"))
 
@@ -87,8 +88,9 @@ def centred_windows(rows: DataFrame, key: str = "conv_id", order: str = "turn",
 def chunks(docs: DataFrame, size: int = 200, stride: int = 150, least: int = 10, key: str = "doc_id") -> DataFrame:
     """(key, chunk, n_words, chunk_text): overlapping runs of words; runs under `least` words are dropped."""
     words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    rows = docs.select(key, words.alias("w")).filter(F.size("w") > 0)
-    cut = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(stride)), lambda i: F.slice("w", i, F.lit(size)))
+    rows = docs.select(key, words.alias("w"))
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda i: F.slice("w", i, F.lit(size)))
     return rows.select(key, F.posexplode(cut).alias("chunk", "part")).filter(F.size("part") >= least).select(key, "chunk", F.size("part").alias("n_words"), F.array_join("part", " ").alias("chunk_text"))
 
 

@@ -60,3 +60,8 @@ def test_windows_within_the_row(spark):
     docs = spark.createDataFrame([(1, "One is. Two is. Three is. Four is."), (2, "Only one."), (3, ""), (4, None)], "doc_id int, text string")
     a = corpus.forward_windows(corpus.sentences(docs)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, corpus.document_windows(docs).collect())) and len(a) == 3
+
+
+def test_chunks_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(12)))), (2, "too short"), (3, " \n"), (4, ""), (5, None)], "doc_id int, text string")
+    assert [(r.doc_id, r.chunk, r.n_words) for r in corpus.chunks(docs, 10, 6, 5).orderBy("doc_id", "chunk").collect()] == [(1, 0, 10), (1, 1, 6)]
