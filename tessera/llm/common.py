@@ -184,15 +184,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         return met(e, least, total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
+    def settled(e: DataFrame) -> bool:
+        """Whether every node below another has that one only, and none below it: components are stars around their least ids."""
+        ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("low").alias("low")).filter("up > 1 OR (up = 1 AND low = 1)").isEmpty()
+
     cur = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
-        state = cur.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1000003))).first()
-        if state == before or state[0] == 0:
+        if settled(cur):
             break
-        before, old = state, cur
-        star = durable(large(cur, state[0]).filter("a > b").distinct(), "edges")
-        cur = durable(small(star, state[0]).filter("a > b").distinct(), "edges")
+        old, total = cur, cur.count()
+        star = durable(large(cur, total).filter("a > b").distinct(), "edges")
+        cur = durable(small(star, total).filter("a > b").distinct(), "edges")
         discard(old)
         discard(star)
     else:

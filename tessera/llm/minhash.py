@@ -2,10 +2,13 @@
 
 Documents with equal shingle sets are one class. Each class is posted under its (coordinate, value) pairs. Two
 signatures that agree in t of K coordinates agree in one of any K - t + 1, so only that prefix is posted; lists with one
-member are skipped; in the others collisions over all coordinates are counted and pairs with t or more stay. What leaves
-a list are the links of its components, never its pairs. Components of these candidates are confirmed inside on the full
-sets, again leaving only links, and the components of confirmed links are the answer. Lists and candidate components
-over a block's size are dealt out as pairs of blocks.
+member are skipped. Inside a list the members' other coordinates form inverted lists of their own. A member merges its
+lists of a prefix of these, counting collisions with the members that no component of the list holds yet; the lists of
+the remaining coordinates are skipped, and only looked into for members that the prefix has named. Those with t or more
+collisions join its component and merge in turn, so that copies cost their number and not their pairs. What leaves a
+list are the links of its components. Components of these candidates are confirmed inside on the full sets in the same
+way, and the components of confirmed links are the answer. Lists and candidate components over a block's size are dealt
+out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, discard, durable, fresh, join_counted, numbered, runs, small_batches, tasks
-from tessera.llm.hashing import WordDigests, digest, mix, roots
+from tessera.llm.hashing import WordDigests, digest, mix
 
 COORDINATES = 64
 WORDS = 5
@@ -31,7 +34,6 @@ BLOCK_SHINGLES = 600_000
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
-_PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def agreement(percent: int) -> int:
@@ -47,24 +49,22 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
     A-Z become a-z; words are runs without space and bytes 9-13; a shingle is five words; with one to four words the
-    whole sequence is the only shingle; without words the set is empty. A shingle is the sum of its words' digests, each
-    times an odd number for its place.
+    whole sequence is the only shingle; without words the set is empty. A shingle's hash takes in the digests of its words
+    one after the other and is mixed in between, so that their order counts.
     """
     out = []
     for t in texts:
         words = t.lower().split()  # of bytes: A-Z only, and just the white space named above
         n = len(words)
-        word = np.fromiter(map(_WORD.__getitem__, words), np.uint64, n)
-        if n >= WORDS:
-            five = word[: n - WORDS + 1] * _PLACE[0]
-            for k in range(1, WORDS):
-                five += word[k : k + len(five)] * _PLACE[k]
-            out.append(np.unique(mix(five)))
-        elif n:
-            whole = (int((word * _PLACE[:n]).sum(dtype=np.uint64)) + n * 0xA0761D6478BD642F) % (1 << 64)
-            out.append(mix(np.array([whole], np.uint64)))
-        else:
+        if not n:
             out.append(np.zeros(0, np.uint64))
+            continue
+        word = np.fromiter(map(_WORD.__getitem__, words), np.uint64, n)
+        width = min(n, WORDS)
+        h = word[: n - width + 1] + np.uint64(width)
+        for k in range(1, width):
+            h = mix(h) + word[k : k + len(h)]
+        out.append(np.unique(mix(h)))
     return out
 
 
@@ -101,30 +101,99 @@ def sketches(docs: DataFrame, prefix: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, prefix array<long>, sketch binary")
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Coordinates in which the sketches of a and b agree, for every pair."""
-    out = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(a.shape[1]):
-        out += a[:, k][:, None] == b[:, k]
-    return out
-
-
-def _near(one: dict, two: dict | None, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into one, into two; two None: within one) that may be similar enough."""
-    other = one if two is None else two
-    ok = _agree(one["sketch"], other["sketch"]) >= least
-    n, m = one["n"][:, None], other["n"][None, :]
-    ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    if two is None:
-        ok = np.triu(ok, 1)
-    return np.nonzero(ok)
-
-
-def _links(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between ids that connect what x-y connects: each to the first of its component."""
-    root = roots(len(ids), x, y)
-    far = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[far], ids[root[far]]
+class _Lists:
+    """Inverted lists over a prefix of the coordinates of a block's members; members leave once a component holds them."""
+
+    def __init__(self, block: dict, least: int, percent: int):
+        self.sketch, self.n, self.least, self.percent = block["sketch"], block["n"], least, percent
+        columns = self.sketch.shape[1]
+        self.base = 256 * np.arange(min(columns, columns - least + 1))
+        self.left = np.ones(len(self.n), bool)
+        self.many = len(self.n)
+        self._post()
+
+    def _post(self) -> None:
+        self.own = np.flatnonzero(self.left)
+        codes = (self.sketch[self.own, : len(self.base)] + self.base).T.ravel()
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.members = codes[order], order % max(1, len(self.own))
+
+    def leave(self, who: np.ndarray) -> None:
+        self.left[who] = False
+        self.many -= len(who)
+        if 2 * self.many <= len(self.own):
+            self._post()
+
+    def near(self, sketch: np.ndarray, n: int) -> np.ndarray:
+        """Members left that agree with sketch in `least` coordinates and whose sizes allow the similarity."""
+        k = len(self.base)
+        code = sketch[:k] + self.base
+        lo, hi = np.searchsorted(self.codes, code), np.searchsorted(self.codes, code, "right")
+        hits = np.bincount(self.members[_spans(lo, hi - lo)], minlength=len(self.own))
+        met = np.flatnonzero(hits >= min(1, self.least))
+        who, hits = self.own[met], hits[met]
+        m = self.n[who]
+        fit = self.left[who] & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
+        who, hits = who[fit], hits[fit]
+        return who[hits + (self.sketch[who, k:] == sketch[k:]).sum(1) >= self.least]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, then those of the next, and so on."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+class _Sets:
+    """Common shingles of the members of some blocks, numbered through."""
+
+    def __init__(self, blocks: list[dict]):
+        sets = [s for b in blocks for s in b["shingles"]]
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        _, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(self.code), np.uint8)
+
+    def similar(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of others (one at least) reach the similarity with x."""
+        own = self.code[self.at[x] : self.at[x] + self.size[x]]
+        size = self.size[others]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[self.code[_spans(self.at[others], size)]], np.cumsum(size) - size, dtype=np.int64)
+        self.mark[own] = 0
+        return 100 * both >= percent * (self.size[x] + size - both)
+
+
+def _links(one: dict, two: dict | None, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ids that connect every near pair (one with two; two None: within one): each to the first of its component.
+
+    Near is who agrees in `least` coordinates and, where the blocks have shingles, reaches the similarity on them.
+    """
+    blocks = [one] if two is None else [one, two]
+    lists = [_Lists(b, least, percent) for b in blocks]
+    sets, offset = None, (0, len(one["id"]))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(len(one["id"])):
+        if not lists[0].left[first]:
+            continue
+        lists[0].leave(np.array([first]))
+        if not lists[-1].many:
+            break
+        todo = [(0, first)]
+        while todo:
+            side, x = todo.pop()
+            far = len(blocks) - 1 - side
+            if not lists[far].many:
+                continue
+            got = lists[far].near(blocks[side]["sketch"][x], blocks[side]["n"][x])
+            if len(got) and "shingles" in one:
+                sets = sets or _Sets(blocks)
+                got = got[sets.similar(offset[side] + x, offset[far] + got, percent)]
+            if len(got):
+                lists[far].leave(got)
+                a.append(blocks[far]["id"][got])
+                b.append(np.full(len(got), one["id"][first]))
+                todo += [(far, y) for y in got.tolist()]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _sides(t: pa.Table) -> tuple[dict, dict | None]:
@@ -169,9 +238,10 @@ def candidate_links(reps: DataFrame, least: int, percent: int) -> DataFrame:
             one, two = _sides(t)
             if not len(one["id"]) or (two is not None and not len(two["id"])):
                 continue
-            x, y = _near(one, two, least, percent)
-            ids = one["id"] if two is None else np.concatenate((one["id"], two["id"]))
-            p, q = _links(ids, x, y if two is None else y + len(one["id"]))
+            shared = t.column("pair")[0].as_py() >> 32  # the coordinate in which all agree
+            for side in (one,) if two is None else (one, two):
+                side["sketch"] = side["sketch"][:, np.arange(side["sketch"].shape[1]) != shared]
+            p, q = _links(one, two, least - 1, percent)
             a.append(p)
             b.append(q)
             if len(a) > 4096:
@@ -184,33 +254,6 @@ def candidate_links(reps: DataFrame, least: int, percent: int) -> DataFrame:
     return links
 
 
-def _similar(one: dict, two: dict | None, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs reach the similarity on their full sets."""
-    other = one if two is None else two
-    n, m = one["n"][x], other["n"][y]
-    if len(x) <= 3000:
-        both = np.array([len(np.intersect1d(one["shingles"][i], other["shingles"][j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
-    else:  # common counts of all pairs as a product of incidence matrices over shared shingles, a slice at a time
-        sets = list(one["shingles"]) + ([] if two is None else list(two["shingles"]))
-        flat = np.concatenate(sets)
-        who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count[code] > 1
-        rank = np.cumsum(count > 1) - 1
-        code, who = rank[code[shared]], who[shared]
-        order = np.argsort(code, kind="stable")
-        code, who = code[order], who[order]
-        k = len(one["id"])
-        total = np.zeros((k, len(other["id"])), np.float32)
-        for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 4096):
-            a, b = np.searchsorted(code, (lo, lo + 4096))
-            inc = np.zeros((len(sets), 4096), np.float32)
-            inc[who[a:b], code[a:b] - lo] = 1
-            total += inc[:k] @ (inc.T if two is None else inc[k:].T)
-        both = total[x, y].astype(np.int64)
-    return 100 * both >= percent * (n + m - both)
-
-
 def confirmed_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, least: int, percent: int) -> DataFrame:
     """Links that connect every similar pair of classes within the candidate components (id, component).
 
@@ -236,12 +279,7 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, least
             one, two = _sides(t)
             if not len(one["id"]) or (two is not None and not len(two["id"])):
                 continue
-            x, y = _near(one, two, least, percent)
-            if not len(x):
-                continue
-            ok = _similar(one, two, x, y, percent)
-            ids = one["id"] if two is None else np.concatenate((one["id"], two["id"]))
-            p, q = _links(ids, x[ok], (y if two is None else y + len(one["id"]))[ok])
+            p, q = _links(one, two, least, percent)
             a.append(p)
             b.append(q)
             if len(a) > 4096:

@@ -1,6 +1,7 @@
 """Odd inputs of the operators for training text: look-alike hashes, repeated ids, clashing columns, hot keys, long strings."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import common, embeddings, licenses, minhash, mixing, pii, quality, repeats
+from tessera.llm.hashing import roots
 
 ABC = "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,6 +66,58 @@ def test_minhash_hot_set_and_list(spark):
     assert Counter(r.component_id == 0 for r in got) == {True: 1700, False: 50}
 
 
+def test_minhash_order_of_words_counts(spark):
+    five = "alpha beta gamma delta omega".split()
+    texts = [" ".join(p) for p in itertools.permutations(five)]
+    got = minhash.shingle_sets([t.encode() for t in [*texts, *texts, texts[0].upper(), "alpha beta gamma delta", " alpha\tbeta gamma\x0bdelta "]])
+    assert len({g.tobytes() for g in got}) == len(texts) + 1 and {len(g) for g in got} == {1}
+
+
+@pytest.mark.parametrize("least, percent", [(40, 85), (9, 60), (1, 10), (0, 10)])
+def test_minhash_merging_finds_what_all_pairs_find(least, percent):
+    rng = np.random.default_rng(least)
+    for _ in range(30):
+        n, kinds = int(rng.integers(2, 60)), int(rng.integers(1, 6))
+        base = rng.integers(0, 256, (kinds, 63), dtype=np.uint8)
+        sketch = base[rng.integers(0, kinds, n)].copy()
+        noise = rng.random(sketch.shape) < rng.random((n, 1)) * 0.7
+        sketch[noise] = rng.integers(0, 256, int(noise.sum()))
+        pool = rng.integers(1, 1 << 62, 40, dtype=np.uint64)
+        shingles = np.empty(n, object)
+        shingles[:] = [np.unique(rng.choice(pool, int(rng.integers(20, 40)), replace=False)) for _ in range(n)]
+        rows = {"id": np.arange(n) * 3 + 5, "n": np.array([len(x) for x in shingles]), "sketch": sketch}
+        for full in (False, True):
+            cols = rows | ({"shingles": shingles} if full else {})
+            side = rng.random(n) < 0.5
+            for split in (False, True):
+                cut = [{k: v[m] for k, v in cols.items()} for m in (side, ~side)]
+                if split and not (len(cut[0]["id"]) and len(cut[1]["id"])):
+                    continue
+                a, b = minhash._links(*cut, least, percent) if split else minhash._links(cols, None, least, percent)
+                want = []
+                for i, j in itertools.combinations(range(n), 2):
+                    common = len(np.intersect1d(shingles[i], shingles[j]))
+                    small, large = sorted((len(shingles[i]), len(shingles[j])))
+                    near = (sketch[i] == sketch[j]).sum() >= least and 100 * small >= percent * large
+                    if near and (not split or side[i] != side[j]) and (not full or 100 * common >= percent * (small + large - common)):
+                        want.append((i, j))
+                x, y = np.array(want, np.int64).reshape(-1, 2).T
+                got = roots(n, (a - 5) // 3, (b - 5) // 3)
+                assert np.array_equal(got, roots(n, x, y)) and len(a) < n
+
+
+def test_components_of_chains_and_cliques(spark):
+    rng = random.Random(8)
+    names = rng.sample(range(10_000), 400)
+    edges = [(names[i], names[i + 1]) for i in range(150)] + [(names[i], names[j]) for i in range(200, 215) for j in range(200, 215)] + [(names[i], names[rng.randrange(230, 400)]) for i in range(230, 330)]
+    at = {v: i for i, v in enumerate(sorted(names))}
+    want = roots(400, np.array([at[a] for a, _ in edges]), np.array([at[b] for _, b in edges]))
+    back = sorted(names)
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {v for a, b in edges for v in (a, b) if a != b}
+    assert got == {v: back[want[at[v]]] for v in linked}
+
+
 def test_components_of_a_hub(spark):
     edges = spark.range(1, 20_001).select(F.lit(50_000).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(7).cast("long").alias("b")))
     got = common.components(edges).agg(F.count("*"), F.max("component"), F.count_distinct("id")).first()
