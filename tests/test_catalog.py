@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.operators import scoring
-from tessera.plans import catalog, comparing, evidence, filework, judging, learning, modelling, protocols, screening, tablework  # noqa: F401
+from tessera.plans import catalog, comparing, evidence, filework, judging, learning, modelling, protocols, reviewing, screening, tablework  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
