@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.functions import text as T
+
 # Token patterns by name, each operator says which it takes; and words that it leaves out.
 PATTERNS = {
     "hyphen": r"[a-z0-9]+(?:[-'][a-z0-9]+)*",
@@ -87,4 +89,4 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def word_cues(x: Column, cues: list[str], short: int = 3) -> Column:
     """How many cues occur in x: short ones as whole words, others as substrings."""
     low = F.lower(x)
-    return sum(((F.rlike(low, F.lit(rf"\b{c}\b")) if len(c) <= short else F.contains(low, F.lit(c))).cast("int") for c in cues), F.lit(0))
+    return sum(((F.rlike(low, F.lit(T.edged(rf"\b{c}\b"))) if len(c) <= short else F.contains(low, F.lit(c))).cast("int") for c in cues), F.lit(0))

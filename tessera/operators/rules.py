@@ -42,7 +42,7 @@ def _any(x: Column, patterns) -> Column:
     low = F.lower(x)
     out = F.lit(False)
     for p in patterns:
-        out = out | F.rlike(low, F.lit(p))
+        out = out | F.rlike(low, F.lit(T.edged(p)))
     return out
 
 
@@ -100,8 +100,8 @@ def gradient(sm: Column, ms: Column, sc: Column) -> Column:
 def single_realism(claim: Column, evidence: Column, label: Column) -> Column:
     """The realism risk of one claim, of several the first by PRIORITY; none where there is none."""
     low, n = F.lower(claim), T.count_words(claim)
-    hit = lambda p: F.rlike(low, F.lit(p))
-    count = lambda p: F.regexp_count(low, F.lit(p))
+    hit = lambda p: F.rlike(low, F.lit(T.edged(p)))
+    count = lambda p: F.regexp_count(low, F.lit(T.edged(p)))
     # whole words, any letter being part of one, that are of four plain letters or more
     four = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.rlike(w, F.lit("^[a-z]{4,}$"))))
     shared = F.try_divide(F.size(F.array_intersect(four(claim), four(evidence))).cast("double"), F.size(four(claim)))
