@@ -112,7 +112,7 @@ def purity_lift(df: DataFrame, text: str, positive: str, least: int = 2, lift: f
 def mask_cues(x, cues: list[str]):
     """x without the cues as whole words, longest first, with its punctuation closed up."""
     words = "|".join(sorted(cues, key=lambda c: (-len(c), c)))
-    out = T.normalize_space(F.regexp_replace(x, T.edged(rf"(?i)\b(?:{words})\b"), ""))
+    out = T.normalize_space(F.regexp_replace(x, T.edged(rf"(?i)\b(?:{words})\b", words=False), ""))
     out = F.regexp_replace(F.regexp_replace(out, r"\s+([,.])", "$1"), r",\s*,", ",")
     return T.normalize_space(F.regexp_replace(out, r"\s+and\s+\.", "."))
 
