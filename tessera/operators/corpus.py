@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import store
 
 
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -85,6 +86,18 @@ def centred_windows(rows: DataFrame, key: str = "conv_id", order: str = "turn",
     return rows.select(key, order, F.concat_ws(" ", F.lag(text).over(w), F.col(text), F.lead(text).over(w)).alias("window"))
 
 
+def document_centred(docs: DataFrame, least: int = 5, key: str = "doc_id") -> DataFrame:
+    """(key, sent_id, window): each sentence of `least` words or more with those before and after it, within a document's row."""
+    long_ = F.filter(F.transform(T.split_sentences(F.col("text")), lambda s, i: F.struct(s.alias("s"), i.cast("long").alias("sent_id"))), lambda x: T.count_words(x["s"]) >= least)
+    near = F.transform("l", lambda x, k: F.struct(x["sent_id"].alias("sent_id"), F.concat_ws(" ", F.get("l", k - 1)["s"], x["s"], F.get("l", k + 1)["s"]).alias("window")))
+    return docs.select(key, long_.alias("l")).select(key, F.inline(near))
+
+
+def among(docs: DataFrame, ranked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that stand in ranked, a table of a few rows a claim that is stored."""
+    return docs.join(small(ranked.select(key).distinct()), key, "left_semi")
+
+
 def chunks(docs: DataFrame, size: int = 200, stride: int = 150, least: int = 10, key: str = "doc_id") -> DataFrame:
     """(key, chunk, n_words, chunk_text): overlapping runs of words; runs under `least` words are dropped."""
     words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
@@ -110,4 +123,9 @@ def chunk_hits(chunks_: DataFrame, claims: DataFrame, least: int = 30) -> DataFr
     q = q.withColumn("head", F.array_join(F.slice(F.split("needle", " "), 1, 5), " "))
     c = chunks_.withColumn("hay", T.normalize_plain(F.col("chunk_text"))).withColumn("w", F.split("hay", " "))
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))
-    return c.select("doc_id", "chunk", "hay", F.explode(heads).alias("head")).join(q, "head").filter(F.contains("hay", F.col("needle"))).select("doc_id", "chunk", "item_id").distinct()
+    # a chunk's text would be copied for each of its words: only the few that meet are looked at as a whole
+    met = c.select("doc_id", "chunk", F.explode(heads).alias("head")).join(small(q), "head").select("doc_id", "chunk", "item_id", "needle")
+    path = store.scratch(met.sparkSession, "met")
+    met.write.parquet(path)
+    met = small(met.sparkSession.read.parquet(path))
+    return c.select("doc_id", "chunk", "hay").join(met, ["doc_id", "chunk"]).filter(F.contains("hay", F.col("needle"))).select("doc_id", "chunk", "item_id").distinct()

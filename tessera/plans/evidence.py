@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.operators import corpus, retrieval, selection
 from tessera.plans.catalog import _BM25_S, _KEPT, _SENT, _TOKENS, _ranked_sentences, _sentences, _t, query
+from tessera.sources import store
 
 _WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda w: w <> ''))"
 _SEL = f"list_filter({_TOKENS}, lambda w: w NOT IN (" + ",".join(f"'{w}'" for w in K.STOP_WORDS["selection"]) + "))"
@@ -41,14 +42,25 @@ _WIN = r"""wn AS (SELECT doc_id, sent_id, concat_ws(' ', lag(sentence) OVER v, s
 
 
 def _chunks(spark, d):
-    return corpus.chunks(_t(spark, d, "documents")).select("doc_id", F.col("chunk").alias("unit"), F.col("chunk_text").alias("text"))
+    return _cut_chunks(_t(spark, d, "documents"))
+
+
+def _kept(spark, ranked):
+    """A ranking stored, a few rows a claim, so that it is made once and only its documents are cut again."""
+    path = store.scratch(spark, "ranked")
+    ranked.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _cut_chunks(docs):
+    return corpus.chunks(docs).select("doc_id", F.col("chunk").alias("unit"), F.col("chunk_text").alias("text"))
 
 
 def _top(spark, d):
     """The five best chunks of every claim with their texts: at most five rows a claim."""
     units, claims = _chunks(spark, d), _t(spark, d, "benchmark")
-    ranked = retrieval.bm25(units, ["doc_id", "unit"], "text", claims, "item_id", "text", top=5, stop=K.STOP_WORDS["retrieval"])
-    return ranked.join(claims.withColumnRenamed("text", "claim"), "item_id").join(units, ["doc_id", "unit"])
+    ranked = _kept(spark, retrieval.bm25(units, ["doc_id", "unit"], "text", claims, "item_id", "text", top=5, stop=K.STOP_WORDS["retrieval"]))
+    return ranked.join(claims.withColumnRenamed("text", "claim"), "item_id").join(_cut_chunks(corpus.among(_t(spark, d, "documents"), ranked)), ["doc_id", "unit"])
 
 
 def _windows(spark, d):
@@ -86,11 +98,14 @@ def _selector(name: str):
     def run(spark, d):
         claims = _t(spark, d, "benchmark")
         if name == "sentence_bm25_top1":
-            got = _ranked_sentences(spark, d).filter("rank = 1").join(_sentences(spark, d), ["doc_id", "sent_id"]).select("item_id", "doc_id", F.col("sent_id").alias("unit"), "rank", "score", F.col("sentence").alias("text"))
+            first = _kept(spark, _ranked_sentences(spark, d).filter("rank = 1"))
+            units = corpus.sentences(corpus.among(_t(spark, d, "documents"), first)).withColumn("sent_id", F.col("sent_id").cast("long"))
+            got = first.join(units, ["doc_id", "sent_id"]).select("item_id", "doc_id", F.col("sent_id").alias("unit"), "rank", "score", F.col("sentence").alias("text"))
             out = selection.select(name, claims, "item_id", got, sentences=got)
         elif name == "window_bm25_top1":
-            units = _windows(spark, d)
-            got = retrieval.bm25(units, ["doc_id", "sent_id"], "text", claims, "item_id", "text", top=1, stop=K.STOP_WORDS["retrieval"]).join(units, ["doc_id", "sent_id"]).withColumnRenamed("sent_id", "unit")
+            first = _kept(spark, retrieval.bm25(_windows(spark, d), ["doc_id", "sent_id"], "text", claims, "item_id", "text", top=1, stop=K.STOP_WORDS["retrieval"]))
+            units = corpus.document_centred(corpus.among(_t(spark, d, "documents"), first)).withColumnRenamed("window", "text")
+            got = first.join(units, ["doc_id", "sent_id"]).withColumnRenamed("sent_id", "unit")
             out = selection.select(name, claims, "item_id", got, windows=got)
         else:
             out = selection.select(name, claims, "item_id", _top(spark, d))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import tokens as K
-from tessera.operators import rules, sparse
+from tessera.operators import corpus, retrieval, rules, sparse
 
 
 def test_letters_beyond_ascii_end_words(spark):
@@ -33,3 +33,19 @@ def test_terms_of_a_text_are_counted_within_its_row(spark):
     terms = sparse.fold_terms(rows, "k", "fold", F.col("text"))
     assert sorted(map(tuple, terms.collect())) == [(1, 0, "aa", 2), (1, 0, "aa bb", 2), (1, 0, "bb", 2), (1, 0, "bb aa", 1)]
     assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_in_small_blocks_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 2 + i % 40))) for i in range(300)] + [(300, None)], "doc_id long, text string")
+    claims = spark.createDataFrame([(i, f"w{i % 17} w{i % 5} w{i % 3}") for i in range(60)], "item_id long, text string")
+    run = lambda: sorted(map(tuple, retrieval.bm25(docs, ["doc_id"], "text", claims, "item_id", "text").collect()))
+    want = run()
+    monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", 7)
+    assert want and run() == want
+
+
+def test_centred_windows_are_cut_within_the_row(spark):
+    docs = spark.createDataFrame([(1, "A b c d e. Short one. F g h i j? K l m n o."), (2, None), (3, "")], "doc_id long, text string")
+    got = corpus.document_centred(docs)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "A b c d e. F g h i j?"), (1, 2, "A b c d e. F g h i j? K l m n o."), (1, 3, "F g h i j? K l m n o.")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
