@@ -22,6 +22,8 @@ PLACEHOLDERS = ("197", "nan", "none", "null", "n/a", "na", "todo", "tbd", "-")
 
 #: Query terms held by a worker at once (about 50 MB); more queries are taken in blocks of that size.
 BLOCK_TERMS = 500_000
+#: Pairs of a unit's word and a query that holds it which a worker adds up at once, and cells of units by queries.
+BLOCK_POSTINGS, BLOCK_CELLS = 3_000_000, 4_000_000
 
 
 def bm25(units: DataFrame, keys: list[str], text: str, queries: DataFrame, query_id: str, query_text: str, top: int = 10, k1: float = 1.5, b: float = 0.75, dedup_query: bool = False, stop: list[str] | None = None) -> DataFrame:
@@ -62,28 +64,35 @@ def _scored(sized: DataFrame, keys: list[str], q: DataFrame, top: int, k1: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, edge, qs, qtf, idf = index.value
-        known, many = pa.array(words, pa.string()), max(1, len(ids))
+        known, many, reps_of = pa.array(words, pa.string()), max(1, len(ids)), np.diff(edge)
+        step = max(1, BLOCK_CELLS // many)
         best: pd.DataFrame | None = None
         bar = np.zeros(many)
         for whole in batches:
-            step = max(1, 4_000_000 // many)
-            for lo in range(0, whole.num_rows, step):
-                part = whole.slice(lo, step)
-                column = part.column(len(keys))
-                dl = np.asarray(pc.list_value_length(column).fill_null(0), float)
-                code = pc.index_in(column.flatten(), known)
-                unit = np.repeat(np.arange(part.num_rows), dl.astype(int))[np.asarray(code.is_valid())]
-                pair, tf = np.unique(unit * len(words) + np.asarray(code.drop_null(), np.int64), return_counts=True)
+            column = whole.column(len(keys))
+            sizes = np.asarray(pc.list_value_length(column).fill_null(0), float)
+            found = pc.index_in(column.flatten(), known)
+            at_unit, codes = np.repeat(np.arange(whole.num_rows), sizes.astype(int))[np.asarray(found.is_valid())], np.asarray(found.drop_null())
+            ends = np.concatenate(([0], np.cumsum(np.bincount(at_unit, minlength=whole.num_rows))))
+            cost = np.concatenate(([0], np.cumsum(np.bincount(at_unit, reps_of[codes], whole.num_rows))))
+            hi = 0
+            while hi < whole.num_rows:
+                lo, hi = hi, min(hi + step, whole.num_rows, max(hi + 1, int(np.searchsorted(cost, cost[hi] + BLOCK_POSTINGS, side="right")) - 1))
+                part, dl = whole.slice(lo, hi - lo), sizes[lo:hi]
+                unit = at_unit[ends[lo] : ends[hi]] - lo
+                pair, tf = np.unique(unit * len(words) + codes[ends[lo] : ends[hi]].astype(np.int64), return_counts=True)
                 u, t = np.divmod(pair, max(1, len(words)))
                 weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[u] / (avgdl or 1.0)))
                 reps = edge[t + 1] - edge[t]
                 posting = np.repeat(edge[t] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
                 score = np.bincount(np.repeat(u, reps) * many + qs[posting], np.repeat(weight, reps) * qtf[posting], part.num_rows * many).reshape(-1, many)
-                score = np.floor(score * 1e4 + 0.5) / 1e4
-                i, j = np.nonzero((score > 0) & (score >= bar))
+                i, j = np.nonzero(score >= np.maximum(bar - 1e-4, 1e-5))  # what rounding may lift over the bar
+                s = np.floor(score[i, j] * 1e4 + 0.5) / 1e4
+                kept = (s > 0) & (s >= bar[j])
+                i, j, s = i[kept], j[kept], s[kept]
                 if not len(i):
                     continue
-                new = part.select(range(len(keys))).to_pandas().iloc[i].reset_index(drop=True).assign(_q=j, _s=score[i, j])
+                new = part.select(range(len(keys))).to_pandas().iloc[i].reset_index(drop=True).assign(_q=j, _s=s)
                 best = new if best is None else pd.concat((best, new), ignore_index=True)
                 best = best.sort_values(["_q", "_s", *keys], ascending=[True, False, *[True] * len(keys)]).groupby("_q", sort=False).head(top)
                 last = best.groupby("_q").agg(c=("_s", "size"), s=("_s", "min"))
