@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import tokens as K
 from tessera.sources import store
 
 
@@ -93,6 +94,20 @@ def document_centred(docs: DataFrame, least: int = 5, key: str = "doc_id") -> Da
     return docs.select(key, long_.alias("l")).select(key, F.inline(near))
 
 
+def centred_words(docs: DataFrame, least: int = 5, stop: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, sent_id, words): document_centred() as words, without stop words.
+
+    No word reaches over the space between sentences, so each sentence is cut into words once, for the three windows
+    that hold it, and the sentences' words are stored, since retrieval reads windows twice.
+    """
+    long_ = F.filter(F.transform(T.split_sentences(F.col("text")), lambda s, i: F.struct(s.alias("s"), i.cast("long").alias("sent_id"))), lambda x: T.has_words(x["s"], least))
+    path = store.scratch(docs.sparkSession, "words")
+    docs.select(key, F.transform(long_, lambda x: F.struct(x["sent_id"].alias("sent_id"), K.tokenize(x["s"], stop=stop).alias("words"))).alias("l")).write.parquet(path)
+    beside = lambda k: F.coalesce(F.get("l", k)["words"], F.array().cast("array<string>"))
+    near = F.transform("l", lambda x, k: F.struct(x["sent_id"].alias("sent_id"), F.concat(beside(k - 1), x["words"], beside(k + 1)).alias("words")))
+    return docs.sparkSession.read.parquet(path).select(key, F.inline(near))
+
+
 def among(docs: DataFrame, ranked: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that stand in ranked, a table of a few rows a claim that is stored."""
     return docs.join(small(ranked.select(key).distinct()), key, "left_semi")

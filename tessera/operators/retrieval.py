@@ -26,9 +26,10 @@ BLOCK_TERMS = 500_000
 BLOCK_POSTINGS, BLOCK_CELLS = 3_000_000, 4_000_000
 
 
-def bm25(units: DataFrame, keys: list[str], text: str, queries: DataFrame, query_id: str, query_text: str, top: int = 10, k1: float = 1.5, b: float = 0.75, dedup_query: bool = False, stop: list[str] | None = None) -> DataFrame:
+def bm25(units: DataFrame, keys: list[str], text: str, queries: DataFrame, query_id: str, query_text: str, top: int = 10, k1: float = 1.5, b: float = 0.75, dedup_query: bool = False, stop: list[str] | None = None, cut: bool = False) -> DataFrame:
     """(query_id, keys, score, rank): the top units by Okapi BM25 over all units.
 
+    With cut, the column text holds a unit's words, as K.tokenize gives them, without stop words.
     Query terms count as often as they occur, or once with dedup_query; stop words are left out of units and queries.
     Units without a query term are not ranked (see pad); ties go by keys; a missing text is a unit of no words. Two passes over the units: one counts lengths
     and, by map-side sums, the documents of the queries' terms; the other scores every unit against the queries where
@@ -37,7 +38,7 @@ def bm25(units: DataFrame, keys: list[str], text: str, queries: DataFrame, query
     """
     toks = K.tokenize(F.col(query_text), stop=stop)
     q = queries.select(F.col(query_id).alias("q_id"), F.explode(F.array_distinct(toks) if dedup_query else toks).alias("term")).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
-    sized = units.select(*keys, K.tokenize(F.coalesce(F.col(text), F.lit("")), stop=stop).alias("toks"))
+    sized = units.select(*keys, (F.col(text) if cut else K.tokenize(F.coalesce(F.col(text), F.lit("")), stop=stop)).alias("toks"))
     blocks = max(1, -(-q.count() // BLOCK_TERMS))
     parts = [_scored(sized, keys, q.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i), top, k1, b) for i in range(blocks)]
     total = parts[0]

@@ -63,9 +63,10 @@ def _top(spark, d):
     return ranked.join(claims.withColumnRenamed("text", "claim"), "item_id").join(_cut_chunks(corpus.among(_t(spark, d, "documents"), ranked)), ["doc_id", "unit"])
 
 
-def _windows(spark, d):
-    s = _sentences(spark, d).filter(T.count_words(F.col("sentence")) >= 5)
-    return corpus.centred_windows(s, "doc_id", "sent_id", "sentence").withColumnRenamed("window", "text")
+def _ranked_windows(spark, d, top):
+    stop = K.STOP_WORDS["retrieval"]
+    windows = corpus.centred_words(_t(spark, d, "documents"), stop=stop)
+    return retrieval.bm25(windows, ["doc_id", "sent_id"], "words", _t(spark, d, "benchmark"), "item_id", "text", top=top, stop=stop, cut=True)
 
 
 @query(f"WITH {_CHUNKS}, {_bm25_sql('c', 'ch', 'doc_id, unit', 'text')} SELECT item_id, doc_id, unit, score, rank FROM rc WHERE rank <= 20")
@@ -77,7 +78,7 @@ def bm25_chunks(spark, d):
 @query(f"WITH {_SENT}, {_WIN}, {_bm25_sql('w', 'wn', 'doc_id, sent_id', 'text')} SELECT item_id, doc_id, sent_id, score, rank FROM rw WHERE rank <= 10")
 def bm25_windows(spark, d):
     """Ten windows of a sentence and its neighbours for every claim."""
-    return retrieval.bm25(_windows(spark, d), ["doc_id", "sent_id"], "text", _t(spark, d, "benchmark"), "item_id", "text", stop=K.STOP_WORDS["retrieval"])
+    return _ranked_windows(spark, d, 10)
 
 
 _OUT = "SELECT b.item_id, x.doc_id, x.unit, coalesce(x.rank, 0)::INTEGER AS rank, coalesce(x.score, 0.0::DOUBLE) AS score, coalesce(x.n_words, 0)::INTEGER AS n_words, coalesce(x.source_type, 'empty') AS source_type, md5(coalesce(x.evidence, '')) AS evidence FROM benchmark b LEFT JOIN x USING (item_id)"
@@ -103,7 +104,7 @@ def _selector(name: str):
             got = first.join(units, ["doc_id", "sent_id"]).select("item_id", "doc_id", F.col("sent_id").alias("unit"), "rank", "score", F.col("sentence").alias("text"))
             out = selection.select(name, claims, "item_id", got, sentences=got)
         elif name == "window_bm25_top1":
-            first = _kept(spark, retrieval.bm25(_windows(spark, d), ["doc_id", "sent_id"], "text", claims, "item_id", "text", top=1, stop=K.STOP_WORDS["retrieval"]))
+            first = _kept(spark, _ranked_windows(spark, d, 1))
             units = corpus.document_centred(corpus.among(_t(spark, d, "documents"), first)).withColumnRenamed("window", "text")
             got = first.join(units, ["doc_id", "sent_id"]).withColumnRenamed("sent_id", "unit")
             out = selection.select(name, claims, "item_id", got, windows=got)
