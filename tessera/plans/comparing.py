@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.operators import comparison, corpus
 from tessera.plans.catalog import _PRED, _SENT, _TOKENS, _W, _predicted, _scores, _t, query
+from tessera.sources import store
 
 _WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda w: w <> ''))"
 #: A document's claim is its second sentence of eight words or more, its known evidence the first; ten sentences are a page.
@@ -16,11 +17,27 @@ _DICE = "coalesce(2.0 * len(list_intersect({0}, {1})) / nullif(len({0}) + len({1
 _DISTINCT = lambda x: f"list_distinct({_TOKENS.format(x)})"
 
 
+def _stored(df):
+    """df written and read back: texts are cut once however often it is read, and filters on it do not cut them again."""
+    path = store.scratch(df.sparkSession, "claims")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _long(sentences):
+    """The first two sentences of eight words or more with their places."""
+    at = F.transform(sentences, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    return F.slice(F.filter(at, lambda x: T.has_words(x["s"], 8)), 1, 2)
+
+
+def _page(at):
+    return F.floor(at / 10) + 1
+
+
 def _claims(spark, d):
     """(doc_id, claim, claim_at, evidence, page): the first two long sentences of a document, found within its row."""
-    long = F.filter(F.transform(T.split_sentences(F.col("text")), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: T.count_words(x["s"]) >= 8)
-    x = _t(spark, d, "documents").select("doc_id", F.slice(long, 1, 2).alias("l")).filter(F.size("l") == 2)
-    return x.select("doc_id", F.col("l")[1]["s"].alias("claim"), F.col("l")[1]["i"].alias("claim_at"), F.col("l")[0]["s"].alias("evidence"), (F.floor(F.col("l")[0]["i"] / 10) + 1).alias("page"))
+    x = _stored(_t(spark, d, "documents").select("doc_id", _long(T.split_sentences(F.col("text"))).alias("l"))).filter(F.size("l") == 2)
+    return x.select("doc_id", F.col("l")[1]["s"].alias("claim"), F.col("l")[1]["i"].alias("claim_at"), F.col("l")[0]["s"].alias("evidence"), _page(F.col("l")[0]["i"]).alias("page"))
 
 
 @query(rf"""WITH {_CLAIMS}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS w FROM documents), c AS (SELECT doc_id, ((s - 1) // 150)::INTEGER AS chunk, array_to_string(w[s : s + 199], ' ') AS t FROM w, unnest(range(1, len(w) + 1, 150)) AS t(s) WHERE len(w[s : s + 199]) >= 10)
