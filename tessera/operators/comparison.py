@@ -24,6 +24,19 @@ def by_dice(units: DataFrame, claims: DataFrame, key: str, order: str, text: str
     return scored.withColumn("rank", at).filter(F.col("rank") <= most)
 
 
+def closest(df: DataFrame, sentences: str, claim: str, claim_at: str) -> DataFrame:
+    """df with selected and selected_at: of a row's sentences the one that shares most tokens with its claim (Dice), ties to the first.
+
+    The claim's own place is left out; both are null where there is no claim or no other sentence. All stays within the
+    row, so nothing is shuffled and every sentence is cut into tokens once.
+    """
+    terms = lambda x: F.array_distinct(K.tokenize(x))
+    x = df.withColumn("_c", terms(F.col(claim)))
+    scored = F.transform(F.transform(sentences, terms), lambda u, i: F.when(i != F.col(claim_at), F.struct(F.round(K.dice(F.col("_c"), u), 6).alias("score"), (-i).alias("turn"))))
+    x = x.withColumn("_best", F.array_max(scored)).withColumn("selected_at", -F.col("_best.turn"))
+    return x.withColumn("selected", F.get(sentences, F.col("selected_at"))).drop("_c", "_best")
+
+
 def selection_oracle(df: DataFrame, selected: str, selected_page: str, evidence: str, page: str, least: float = 0.65) -> DataFrame:
     """df with hash_exact, page_match, overlap and hit: whether what was selected is the known evidence.
 

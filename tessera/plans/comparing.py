@@ -54,13 +54,13 @@ def chunks_by_dice(spark, d):
 SELECT lang, count(*) AS n, round(avg(hash_exact::INTEGER), 6) AS hash_exact, round(avg(page_match::INTEGER), 6) AS page_match, round(avg(overlap), 6) AS overlap, round(avg((hash_exact OR (page_match AND overlap >= 0.65))::INTEGER), 6) AS hit FROM o JOIN documents USING (doc_id) GROUP BY lang""")
 def selected_evidence_oracle(spark, d):
     """How often the sentence that is closest to a document's claim is the known evidence, by language."""
-    docs, claims = _t(spark, d, "documents"), _claims(spark, d)
-    s = corpus.sentences(docs)
-    others = s.join(claims.select("doc_id", "claim_at"), "doc_id").filter("sent_id <> claim_at").select("doc_id", "sent_id", "sentence")
-    best = comparison.by_dice(others, claims, "doc_id", "sent_id", "sentence", "claim", 1).join(s, ["doc_id", "sent_id"]).select("doc_id", F.col("sentence").alias("selected"), (F.floor(F.col("sent_id") / 10) + 1).alias("selected_page"))
-    x = comparison.selection_oracle(best.join(claims, "doc_id"), "selected", "selected_page", "evidence", "page")
+    x = _t(spark, d, "documents").select("lang", T.split_sentences(F.col("text")).alias("all"))
+    x = x.select("lang", "all", _long(F.col("all")).alias("l")).select("lang", "all", F.get("l", F.lit(0)).alias("known"), F.get("l", F.lit(1)).alias("claim"))
+    best = comparison.closest(x.select("lang", "all", "known", F.col("claim.s").alias("claim"), F.col("claim.i").alias("claim_at")), "all", "claim", "claim_at")
+    kept = _stored(best.select("lang", "selected", _page(F.col("selected_at")).alias("selected_page"), F.col("known.s").alias("evidence"), _page(F.col("known.i")).alias("page")))
+    x = comparison.selection_oracle(kept.filter("selected IS NOT NULL"), "selected", "selected_page", "evidence", "page")
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
-    return x.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), *map(share, ("hash_exact", "page_match", "overlap", "hit")))
+    return x.groupBy("lang").agg(F.count("*").alias("n"), *map(share, ("hash_exact", "page_match", "overlap", "hit")))
 
 
 # -- what the right evidence adds
