@@ -13,39 +13,76 @@ RUN = 8
 PIECE = 256
 
 
-def _anchors(needles: DataFrame) -> DataFrame:
-    """(needle, size, run): the first, middle and last run of each distinct text."""
-    n = F.length("needle")
+#: Hays, and characters of them, whose runs are sent to all needles; and runs that are compared with hays as literals.
+FEW, FEW_CHARS, LITERALS = 10_000, 1_000_000, 5_000
+
+
+def _anchor_runs(needle: str) -> Column:
+    """The first, middle and last run of a text."""
+    n = F.length(needle)
     size = F.least(F.lit(RUN), n)
-    starts = F.array_distinct(F.array(F.lit(1), F.floor((n - size) / 2).cast("int") + 1, n - size + 1))
-    return needles.select("needle", size.alias("size"), F.explode(F.transform(starts, lambda i: F.substring(F.col("needle"), i, size))).alias("run"))
+    return F.array(*[F.substring(F.col(needle), i, size) for i in (F.lit(1), F.floor((n - size) / 2).cast("int") + 1, n - size + 1)])
+
+
+def _anchors(needles: DataFrame) -> DataFrame:
+    """(needle, run): the first, middle and last run of each distinct text."""
+    return needles.select("needle", F.explode(F.array_distinct(_anchor_runs("needle"))).alias("run"))
 
 
-def _runs(size: int) -> Column:
+def _runs(piece: Column, size: int) -> Column:
     """All runs that start in a piece; a longer text would be walked from its start for each."""
-    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length("piece") - (size - 1), F.lit(PIECE)), F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(F.col("piece"), i, F.lit(size)))
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length(piece) - (size - 1), F.lit(PIECE)), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(piece, i, F.lit(size)))
+
+
+def _found(hay: str, sizes: list[int], only: list[str] | None = None) -> Column:
+    """The distinct runs of a text, or those that stand in `only`."""
+    begins = F.sequence(F.lit(0), F.floor((F.length(hay) - 1) / PIECE).cast("int"))
+    pieces = F.transform(begins, lambda j: F.substring(F.col(hay), j * PIECE + 1, F.lit(PIECE + RUN - 1)))
+    wanted = lambda runs: runs if only is None else F.filter(runs, lambda r: r.isin(*only))
+    return F.array_distinct(F.flatten(F.transform(pieces, lambda p: F.concat(*[wanted(_runs(p, s)) for s in sizes]))))
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = store.scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _possible(n: DataFrame, h: DataFrame) -> DataFrame:
+    """The needles of which no anchor is missing in all hays, if the hays are few: their runs are then sent to the needles."""
+    size = h.select(F.length("hay").alias("c")).limit(FEW + 1).agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
+    if size.n > FEW or (size.c or 0) > FEW_CHARS:
+        return n
+    runs = F.broadcast(_stored(h.select(F.explode(_found("hay", list(range(1, RUN + 1)))).alias("run")).distinct(), "runs"))
+    for k in range(3):
+        n = n.join(runs, F.get(_anchor_runs("needle"), F.lit(k)) == F.col("run"), "left_semi")
+    return _stored(n, "needles")
 
 
 def contained(needles: DataFrame, needle_key: str, needle: str, hays: DataFrame, hay_key: str, hay: str) -> DataFrame:
     """(needle_key, hay_key) of all pairs whose first text stands in the second, itself included if equal.
 
     Null and empty texts neither hold nor are held. Each distinct needle is looked up by that of its first, middle and
-    last run which the fewest different hays hold; a run that no hay holds ends the search for its needle at once. Runs
-    of hays meet the anchors by equi-join and only what meets is counted; a run that very many hays hold is joined only
+    last run which the fewest different hays hold; a run that no hay holds ends the search for its needle at once. Where
+    hays are few, needles with a run that they lack go first, where they stand. Runs of hays meet the anchors within the
+    hay's row where the anchors are few, else by equi-join, and what meets is stored; a run that very many hays hold is joined only
     for needles which have no rarer one, and then all its hays are candidates that the whole texts decide.
     """
     n = needles.filter(F.length(needle) > 0).select(F.col(needle_key), F.col(needle).alias("needle"))
     h = hays.filter(F.length(hay) > 0).select(F.col(hay_key), F.col(hay).alias("hay"))
+    n = _possible(n, h)
     anchors = _anchors(n.select("needle").distinct())
-    sizes = sorted(r[0] for r in anchors.select("size").distinct().collect())  # RUN of them at most
+    sizes = sorted(r[0] for r in n.select(F.least(F.lit(RUN), F.length("needle"))).distinct().collect())  # RUN of them at most
     if not sizes:
         return n.join(h, F.lit(False)).select(needle_key, hay_key)
-    begins = F.sequence(F.lit(0), F.floor((F.length("hay") - 1) / PIECE).cast("int"))
-    cut = h.select(hay_key, F.explode(F.transform(begins, lambda j: F.substring(F.col("hay"), j * PIECE + 1, F.lit(PIECE + RUN - 1)))).alias("piece"))
-    runs = cut.select(hay_key, F.explode(F.array_distinct(F.concat(*[_runs(s) for s in sizes]))).alias("run"))
     wanted = anchors.select("run").distinct()
-    met = runs.join(wanted, "run", "left_semi").distinct()
+    few = [r.run for r in wanted.limit(LITERALS + 1).collect()]
+    if len(few) <= LITERALS:
+        met = h.select(hay_key, F.explode(_found("hay", sizes, few)).alias("run"))
+    else:
+        met = h.select(hay_key, F.explode(_found("hay", sizes)).alias("run")).join(wanted, "run", "left_semi")
+    met = _stored(met, "met")
     count = met.groupBy("run").agg(F.count("*").alias("n"))
     ranked = anchors.join(count, "run", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.groupBy("needle").agg(F.min(F.struct("n", "run")).alias("best")).filter("best.n > 0").select("needle", F.col("best.run").alias("run"))
