@@ -17,8 +17,24 @@ CHANCES = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for
 
 def draws(key: str, times: int, seed: int = 42) -> Column:
     """How often each of `times` resamples draws a row: a Poisson variable of mean 1 from the hash of seed, resample and key."""
-    u = F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda b: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0)
-    return F.transform(u, lambda v: sum(((v >= c).cast("int") for c in CHANCES), F.lit(0)))
+    first = F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda b: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), F.col(key).cast("string"))), 1, 8))
+    return F.transform(first, _drawn)
+
+
+def _drawn(digits: Column) -> Column:
+    """How many of CHANCES are at most a fraction of 32 bits, given as eight hexadecimal digits: these stand in the order of the numbers."""
+    least = [math.ceil(c * 4294967296) for c in CHANCES]
+    out = F.when(digits < F.lit(f"{least[0]:08x}"), F.lit(0).cast("tinyint"))
+    for k, n in enumerate(least[1:], 1):
+        out = out.when(digits < F.lit(f"{n:08x}" if n < 4294967296 else "g"), F.lit(k).cast("tinyint"))
+    return out.otherwise(F.lit(len(CHANCES)).cast("tinyint"))
+
+
+def weighted(df: DataFrame, key: str, times: int = 100, seed: int = 42) -> DataFrame:
+    """df with _w, draws() of every row, stored: for several orders of the same rows."""
+    path = store.scratch(df.sparkSession, "weighted")
+    df.withColumn("_w", draws(key, times, seed)).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def rank_metrics(df: DataFrame, key: str, score: str, positive: str, ks: tuple[int, ...] = (20, 50, 100), times: int = 100, seed: int = 42, rows_a_range: int = 100_000) -> DataFrame:
@@ -26,13 +42,16 @@ def rank_metrics(df: DataFrame, key: str, score: str, positive: str, ks: tuple[i
 
     Rows stand by falling score, then key, which no two rows share; a row drawn w times stands w times. Rows with a null
     score are left out, a null positive is none. An empty resample scores 0. Rows are sorted once, by range; a range
-    starts from the sums of those before it, two numbers a resample, and passes on a few numbers a resample.
+    starts from the sums of those before it, two numbers a resample, and passes on a few numbers a resample. Rows of
+    weighted() come with their draws, by the same key, times and seed.
     """
     spark = df.sparkSession
-    x = df.filter(F.col(score).isNotNull()).select(F.col(key).alias("k"), F.col(score).cast("double").alias("s"), F.coalesce(F.col(positive).cast("int"), F.lit(0)).alias("p"), F.concat(F.array(F.lit(1)), draws(key, times, seed)).alias("w"))
+    x = df.filter(F.col(score).isNotNull()).select(F.col(key).alias("k"), F.col(score).cast("double").alias("s"), F.coalesce(F.col(positive).cast("int"), F.lit(0)).alias("p"), *(["_w"] if "_w" in df.columns else []))
     n = x.count()
     path = store.scratch(spark, "ranges")
-    x.repartitionByRange(max(1, -(-n // rows_a_range)), F.desc("s"), "k").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    sorted_ = x.repartitionByRange(max(1, -(-n // rows_a_range)), F.desc("s"), "k").withColumn("part", F.spark_partition_id())
+    # if need be drawn after the exchange: it would carry the draws, and looking for its bounds would make them once more
+    sorted_.withColumn("w", F.concat(F.array(F.lit(1).cast("tinyint")), F.col("_w") if "_w" in df.columns else draws("k", times, seed))).drop("_w").write.parquet(path)
     ranges = spark.read.parquet(path)
     width = times + 1
     sums = ranges.groupBy("part").agg(F.array(*[F.sum(F.get("w", F.lit(b))) for b in range(width)]).alias("w"), F.array(*[F.sum(F.get("w", F.lit(b)) * F.col("p")) for b in range(width)]).alias("p"))
@@ -62,16 +81,16 @@ def rank_metrics(df: DataFrame, key: str, score: str, positive: str, ks: tuple[i
     return both.select("b", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in made])))
 
 
-def intervals(metrics: DataFrame) -> DataFrame:
-    """(metric, point, low, high): the value of the rows themselves, and the middle 95 of 100 resamples."""
+def intervals(metrics: DataFrame, *more: Column) -> DataFrame:
+    """(metric, point, low, high, more): the value of the rows themselves, and the middle 95 of 100 resamples."""
     again = F.col("b") >= 0
     q = lambda p: F.round(F.percentile(F.when(again, F.col("value")), p), 6)
-    return metrics.groupBy("metric").agg(F.round(F.max(F.when(~again, F.col("value"))), 6).alias("point"), q(0.025).alias("low"), q(0.975).alias("high"))
+    return metrics.groupBy("metric").agg(F.round(F.max(F.when(~again, F.col("value"))), 6).alias("point"), q(0.025).alias("low"), q(0.975).alias("high"), *more)
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """(metric, delta, low, high, share_above): second less first, resample by resample; share_above counts rises."""
     both = first.select("b", "metric", F.col("value").alias("v1")).join(second.select("b", "metric", F.col("value").alias("v2")), ["b", "metric"])
     d = both.select("b", "metric", F.round(F.col("v2") - F.col("v1"), 9).alias("value"))
-    up = d.filter("b >= 0").groupBy("metric").agg(F.round(F.avg((F.col("value") > 0).cast("int")), 4).alias("share_above"))
-    return intervals(d).withColumnRenamed("point", "delta").join(up, "metric")
+    up = F.round(F.avg(F.when(F.col("b") >= 0, (F.col("value") > 0).cast("int"))), 4).alias("share_above")
+    return intervals(d, up).withColumnRenamed("point", "delta")  # one aggregation: another would make the resamples again
