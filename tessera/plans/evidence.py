@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.operators import corpus, retrieval, selection
-from tessera.plans.catalog import _BM25_S, _KEPT, _SENT, _TOKENS, _ranked_sentences, _sentences, _t, query
+from tessera.plans.catalog import _BM25_S, _KEPT, _SENT, _TOKENS, _ranked_sentences, _t, query
 from tessera.sources import store
 
 _WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda w: w <> ''))"
